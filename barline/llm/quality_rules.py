@@ -21,9 +21,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.llm.common import BLANKS, checkpoint, with_cleared
+from barline.llm.common import WORD, checkpoint, with_cleared
 
-MIN_WORDS, REPEAT_PERCENT, SYMBOLS = 10, 20, "#*$%&|<>"
+MIN_WORDS, REPEAT_PERCENT, SYMBOLS, BLANK = 10, 20, "#*$%&|<>", r"[\x20\x09-\x0D]"
 RISK, DELTA, COST = 0.02, 0.05, 10
 #: Statistic, as whole parts of a thousand, and its ladder from the loosest cutoff to the tightest.
 LADDERS = {
@@ -54,9 +54,8 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     own = with_cleared(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     t = F.coalesce(F.col(text), F.lit(""))
-    plain = F.translate(t, BLANKS, " " * len(BLANKS))
-    words = F.filter(F.split(plain, " "), lambda w: w != "")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+    words = F.filter(F.split(t, f"{BLANK}+"), lambda w: w != "")
+    lines = F.filter(F.split(t, "\n"), lambda x: F.regexp_like(x, F.lit(WORD)))
 
     def repeated(w: Column) -> Column:
         n = F.size(w)
@@ -73,8 +72,8 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     stats = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated(w).alias("n_repeat_words")))
     out = own.withColumn("_s", stats).withColumns({
         "n_words": F.col("_s.n_words"),
-        "word_chars": F.length(F.translate(t, BLANKS, "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        "word_chars": (F.length(t) - F.regexp_count(t, F.lit(BLANK))).cast("long"),
+        "n_symbols": F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": F.col("_s.n_repeat_words"),
     })
@@ -114,29 +113,86 @@ def binomial_tail(n: str, k: str, share: float) -> Column:
     return F.when(F.col(k) > share * F.col(n), F.lit(1.0)).otherwise(tail)
 
 
+def row_key(key: str, text: str, stratum: str) -> Column:
+    """Tells rows apart; rows equal in all three are judged alike anyway."""
+    return F.xxhash64(F.col(key).cast("string"), F.col(text), F.col(stratum).cast("string"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """All rows and columns of ``docs`` with the statistics, base_failed and kept.
+    """(row, doc_id, stratum, the statistics, base_failed, kept), a row for each row of ``docs``.
 
     ``labels`` (doc_id, quality) is the holdout. A null label or id, or an id
     without a document, doesn't count; a document whose id occurs several times
     counts as often as rows match. A null stratum is a stratum of its own. A
     stratum without enough good labels has no cutoffs and loses only what the
     base rules reject. Repeated rows are judged alike; an empty table gives an
-    empty result. Input columns named as those added are replaced.
+    empty result. Texts are read once: what goes on is a small row for each.
     """
-    own = with_cleared(docs, "kept", "_cut")
-    stats = statistics(own, text)
-    marks = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("quality").alias("_good")).distinct()
-    held = own.join(marks, own[key] == F.col("_id")).select(F.col(text).alias("text"), F.col(stratum).alias("_stratum"), "_good")
-    found = thresholds(statistics(held), "_stratum", "_good", risk, delta)
-    cuts = {(r.stratum, r.statistic): r.cutoff for r in found.collect()}  # at most strata x statistics
+    own = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col(text).alias("text"), row_key(key, text, stratum).alias("row"))
+    stats = checkpoint(statistics(own).drop("text"))
+    marks = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").alias("_label")).distinct()
+    held = stats.join(marks, "doc_id")
+    cuts = thresholds(held, "stratum", "_label", risk, delta).collect()  # at most strata x statistics
     kept = ~F.col("base_failed")
-    group = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
-    for (s, k), v in sorted(cuts.items()):
-        kept = kept & ~((group == s) & (F.expr(LADDERS[k]) > v))
+    for r in sorted(cuts):
+        kept = kept & ~((F.col("stratum") == r.stratum) & (F.expr(LADDERS[r.statistic]) > r.cutoff))
     return stats.withColumn("kept", kept)
 
 
-def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def reject(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    return judge(docs, labels).where("kept").select(*docs.columns)
+    own = with_cleared(docs, "_row")
+    out = judge(own, labels, key, text, stratum).where("not kept").select(F.col("row").alias("_row")).distinct()
+    return own.withColumn("_row", row_key(key, text, stratum)).join(out, "_row", "left_anti").select(*docs.columns)
+
+
+def oracle() -> str:
+    """The same verdicts in DuckDB SQL, over ``documents`` and ``labels``."""
+    ladder = {k: e.replace(" div ", " // ") for k, e in LADDERS.items()}
+    rungs = ", ".join(f"('{k}', {i}, {v})" for k in LADDERS for i, v in enumerate(RUNGS[k]))
+    values = " UNION ALL ".join(f"SELECT doc_id, stratum, quality, '{k}' AS statistic, {e} AS value FROM held" for k, e in ladder.items())
+    over = " OR ".join(f"(c.statistic = '{k}' AND {e} > c.cutoff)" for k, e in ladder.items())
+    share = RISK / len(LADDERS)
+    return f"""
+        WITH w AS (
+          SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
+                 regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+        ), g AS (
+          SELECT doc_id, i, words[i:i + 4] AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w)
+        ), d AS (
+          SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1
+        ), covered AS (
+          SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM d) GROUP BY doc_id
+        ), s AS (
+          SELECT w.doc_id, stratum, len(words) AS n_words,
+                 CAST(coalesce(list_sum(list_transform(words, x -> length(x))), 0) AS BIGINT) AS word_chars,
+                 length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                 len(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')))
+                   - len(list_distinct(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) AS n_dup_lines,
+                 coalesce(covered.n, 0) AS n_repeat_words
+          FROM w LEFT JOIN covered ON w.doc_id = covered.doc_id
+        ), b AS (
+          SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM s
+        ), held AS (
+          SELECT b.*, quality FROM b JOIN (SELECT DISTINCT doc_id, quality FROM labels WHERE quality IS NOT NULL) l ON b.doc_id = l.doc_id WHERE NOT base_failed
+        ), v AS ({values}
+        ), sizes AS (
+          SELECT stratum, count(*) FILTER (quality = 1) AS n FROM held GROUP BY stratum
+        ), t AS (
+          SELECT v.stratum, v.statistic, r.rung, r.cutoff, any_value(n) AS n,
+                 count(*) FILTER (quality = 1 AND value > cutoff) AS k, count(*) FILTER (quality <> 1 AND value > cutoff) AS bad
+          FROM v JOIN (VALUES {rungs}) r(statistic, rung, cutoff) ON v.statistic = r.statistic JOIN sizes ON v.stratum = sizes.stratum
+          GROUP BY ALL
+        ), p AS (
+          SELECT *, k <= {share} * n AND list_sum(list_transform(range(0, CAST(least(k, {share} * n) AS BIGINT) + 1),
+              j -> exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln({share}) + (n - j) * ln(1 - {share}))))
+            <= {DELTA} / (greatest(1, (SELECT count(*) FROM sizes)) * {len(LADDERS)}) AS passed FROM t
+        ), ok AS (
+          SELECT *, bool_and(passed) OVER (PARTITION BY stratum, statistic ORDER BY rung) AS allowed FROM p
+        ), cuts AS (
+          SELECT stratum, statistic, arg_max(cutoff, (bad - {COST} * k) * 1000 - rung) AS cutoff FROM ok
+          WHERE allowed GROUP BY ALL HAVING max(bad - {COST} * k) > 0
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT EXISTS (SELECT 1 FROM cuts c WHERE c.stratum = b.stratum AND ({over})) AS kept
+        FROM b"""
