@@ -12,9 +12,11 @@ with the ids of all files before.
 
 from __future__ import annotations
 
+import gc
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -119,11 +121,17 @@ class FileWriter:
 class ChunkEncoder:
     """The tokenizers library over chunks between spaces and line ends, each distinct chunk once.
 
-    Exact where the tokenizer drops white space and no piece spans it: then the
-    ids of a text are those of its chunks in order.
+    Exact where the tokenizer lower-cases, drops white space, and no piece spans
+    white space or the end of a run of letters: then the ids of a text are those
+    of its chunks in order, of a chunk those of its A-Z lower-cased form, and of
+    a chunk that ends in a letter and ASCII marks those of both parts in order.
+    Ids are kept as bytes, 4 each, which join fast and are no concern of the
+    collector's. Two generations of them are kept: what is in use moves on.
     """
 
     CHUNKS = 300_000
+    MARKS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
+    _LOWER = {i: i + 32 for i in range(65, 91)}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -131,22 +139,63 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tok.get_vocab_size()
-        self.cache: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        cache = self.cache
-        if len(cache) > self.CHUNKS:
-            cache.clear()
+        self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode_words(self, words: list[str]) -> None:
+        """Runs of letters, many in one call, told apart by the pieces' numbers; where those don't tally, they are left to the caller."""
+        lines = [words[i : i + 64] for i in range(0, len(words), 64)]
+        for line, e in zip(lines, self.tok.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            number = np.array(e.word_ids)
+            if len(number) and number[-1] == len(line) - 1:
+                cuts = (4 * np.r_[np.searchsorted(number, np.arange(len(line))), len(number)]).tolist()
+                data = array("I", e.ids).tobytes()
+                self.cache.update(zip(line, [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+
+    def _parts(self, chunk: str) -> tuple[str, str]:
+        if chunk.isalpha() and chunk.islower():
+            return chunk, ""
+        low = chunk.lower() if chunk.isascii() else chunk.translate(self._LOWER)
+        base = low.rstrip(self.MARKS)
+        return (base, low[len(base) :]) if base[-1:].isalpha() else (low, "")
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({c for x in chunks for c in x if c not in cache})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            cache.update(zip(some, [e.ids for e in self.tok.encode_batch(some, add_special_tokens=False)], strict=True))
+        gc.disable()  # nothing here is cyclic, and the collector would walk all chunks again and again
+        try:
+            self._learn(chunks)
+        finally:
+            gc.enable()
         for x in chunks:
-            out: list[int] = []
-            for c in x:
-                out += cache[c]
-            yield out
+            yield np.frombuffer(b"".join(map(self.cache.__getitem__, x)), dtype=np.uint32)
+
+    def _learn(self, chunks: list[list[str]]) -> None:
+        """Puts all chunks into the cache."""
+        if len(self.cache) > self.CHUNKS:
+            self.old, self.cache = self.cache, {}
+        cache, old = self.cache, self.old
+        new = set().union(*chunks).difference(cache)
+        parts: dict[str, tuple[str, str]] = {}
+        for c in new:
+            if c in old:
+                cache[c] = old[c]
+            else:
+                parts[c] = self._parts(c)
+        bases = []
+        for b in {x for p in parts.values() for x in p}.difference(cache):
+            if b in old:
+                cache[b] = old[b]
+            else:
+                bases.append(b)
+        words = [b for b in bases if b.isalpha()]
+        for i in range(0, len(words), 64 * 64):
+            self._encode_words(words[i : i + 64 * 64])
+        others = [b for b in bases if b not in cache]
+        for i in range(0, len(others), 4096):
+            some = others[i : i + 4096]
+            cache.update(zip(some, [array("I", e.ids).tobytes() for e in self.tok.encode_batch(some, add_special_tokens=False)], strict=True))
+        for c, (b, e) in parts.items():
+            cache[c] = cache[b] + cache[e]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -161,7 +210,7 @@ def chunk_encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def write(docs: DataFrame, make: Callable[[], Callable[[list[str]], Iterator[list[int]]]], vocabulary: int, end_id: int | None, folder: str | None = None, key: str = "doc_id", text: str = "text", file_rows: int = 20_000) -> tuple[str, int]:
+def write(docs: DataFrame, make: Callable[[], Callable[[list[str]], Iterator[np.ndarray]]], vocabulary: int, end_id: int | None, folder: str | None = None, key: str = "doc_id", text: str = "text", file_rows: int = 20_000) -> tuple[str, int]:
     """Writes the ids of all ``docs`` in ascending doc_id order; returns the folder and the number of files.
 
     ``make`` gives, in a worker, a function from texts to their ids; ``end_id``
@@ -183,7 +232,8 @@ def write(docs: DataFrame, make: Callable[[], Callable[[list[str]], Iterator[lis
         part = F.expr(f"array_size(filter(array({', '.join(f'{c}L' for c in cuts)}), c -> c < doc_id))") if len(cuts) <= 64 else F.expr(_bisect(cuts, 0, len(cuts)))
 
     def tokens(b: pa.RecordBatch) -> pa.RecordBatch:
-        got = [np.array([*x, end_id] if end_id is not None else x, dtype=np.uint32) for x in make()([t or "" for t in b.column(1).to_pylist()])]
+        tail = [] if end_id is None else [end_id]
+        got = [np.append(x, tail).astype(np.uint32) for x in make()([t or "" for t in b.column(1).to_pylist()])]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(x) for x in got], pa.int64()), pa.array([pack(x, bits) for x in got], pa.binary())], names=["doc_id", "tie", "n", "ids"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
