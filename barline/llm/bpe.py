@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,7 +66,7 @@ class Transducer:
         self._ends: list[tuple[int, ...] | None] = [None]
 
     def _merged(self, data: bytes, limit: int) -> list[int] | None:
-        """BPE of a short byte string by definition; None as soon as more than ``limit`` parts can't be avoided is not needed here."""
+        """BPE of a short byte string by definition; None if that has more than ``limit`` tokens."""
         parts = [data[i : i + 1] for i in range(len(data))]
         ranks = self.ranks
         while len(parts) > 1:
@@ -153,6 +154,30 @@ class Transducer:
             yield from self._end(state)
 
 
+class _Pieces(dict):
+    """Ids of pieces as bytes, which join fast and are no concern of the collector's; long pieces are not kept."""
+
+    def __init__(self, fst: Transducer):
+        super().__init__()
+        self.fst = fst
+
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array("I", self.fst.stream(piece.encode("utf-8", "surrogatepass"))).tobytes()
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+    def bound(self, most: int) -> None:
+        """Starts another generation; of the one before, what is used moves on."""
+        if len(self) > most:
+            self.old = dict(self)
+            self.clear()
+
+
 class Codec:
     """Encodes and decodes whole texts; pieces are the matches of ``pattern``, each encoded separately."""
 
@@ -160,21 +185,15 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.fst = Transducer(ranks)
         self.vocab = self.fst.bytes
-        self._cache: dict[str, list[int]] = {}
+        self._cache = _Pieces(self.fst)
+
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        self._cache.bound(PIECES)
+        return b"".join(map(self._cache.__getitem__, self.find(text)))
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        cache = self._cache
-        for piece in self.find(text):
-            ids = cache.get(piece)
-            if ids is None:
-                ids = list(self.fst.stream(piece.encode("utf-8", "surrogatepass")))
-                if len(piece) <= 64:
-                    if len(cache) >= PIECES:
-                        cache.clear()
-                    cache[piece] = ids
-            out += ids
-        return out
+        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocab.__getitem__, ids))
@@ -261,11 +280,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", *, ids:
         for b in batches:
             toks, n, sums, back = [], [], [], []
             for t in b.column(text).to_pylist():
-                got = c.encode(t or "")
-                a = np.array(got, dtype="<u4")
-                n.append(len(got))
-                sums.append(hashlib.sha256(a.tobytes()).hexdigest())
-                back.append(hashlib.sha256(c.decode_bytes(got)).hexdigest())
+                data = c.encode_bytes(t or "")
+                a = np.frombuffer(data, "<u4")
+                n.append(len(a))
+                sums.append(hashlib.sha256(data).hexdigest())
+                back.append(hashlib.sha256(c.decode_bytes(a.tolist())).hexdigest())
                 if ids:
                     toks.append(a.astype(np.int32))
             cols = [pa.array(toks, pa.list_(pa.int32()))] if ids else []
