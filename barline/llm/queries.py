@@ -3,8 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from barline.llm import quality_rules
 from barline.llm.common import table
+from barline.llm.mixing import MAX_LABELLED
+
+
+#: Share of tokens that each domain, a language, is to have in the mix.
+MIX_WEIGHTS = {"en": 0.55, "de": 0.16, "fr": 0.16, "es": 0.13}
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, domain): the labelled documents, with their language as domain."""
+    marks = labels.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(MAX_LABELLED)
+    # at most MAX_LABELLED ids: safe to broadcast whatever the tables' size
+    return docs.join(F.broadcast(marks), "doc_id", "left_semi").select("text", F.col("lang").alias("domain"))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +36,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barline.llm.quality_rules import judge
 
-    found = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    found = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -42,5 +56,54 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op5_quality_rules, op6_byte_bpe, op9_token_files)}
-ORACLES: dict[str, str] = {}
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barline.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op4_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barline.llm.maxscore import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op10_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barline.llm.quality_gbt import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barline.llm.mixing import rates
+
+    docs = table(spark, sf_dir, "documents")
+    return rates(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), MIX_WEIGHTS)
+
+
+def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barline.llm.ngram_lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_license_scan, op4_maxscore_topk, op5_quality_rules, op6_byte_bpe, op7_mixing, op8_ngram_lm, op9_token_files, op10_quality_gbt)
+}
+ORACLES = {
+    "op5_quality_rules": quality_rules.oracle(),
+    "op4_maxscore_topk": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+          FROM embeddings
+          WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, x -> coalesce(isfinite(x), false)))
+        ), s AS (
+          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        ), r AS (
+          SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
