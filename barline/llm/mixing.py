@@ -22,20 +22,18 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import BLANKS, checkpoint, with_cleared
+from barline.llm.common import checkpoint, with_cleared
 
-BUCKETS, MAX_LABELLED, MAX_DOMAINS = 1024, 20_000, 256
+BUCKETS, MAX_LABELLED, MAX_DOMAINS, BLANK = 1024, 20_000, 256, r"[\x20\x09-\x0D]+"
 #: Words' worth of evidence that a posterior counts at most; more would make all memberships hard.
 EVIDENCE = 50
-RIDGE, ROUNDS, CLOSE = 1e-3, 60, 1e-4
+RIDGE, ROUNDS, CLOSE = 1e-4, 60, 1e-4
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{BLANKS}]+", " "), " "), lambda w: w != "")
-
-
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lower(word)), F.lit(BUCKETS)).cast("int")
+def _exploded(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
+    """A row for each word, lower-cased, and one with an empty word for a text without any; its bucket is ``b``."""
+    words = F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), BLANK)).alias("w")
+    return docs.select(*keep, words).withColumn("b", F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int"))
 
 
 def row_key(key: str, text: str) -> Column:
@@ -43,20 +41,23 @@ def row_key(key: str, text: str) -> Column:
     return F.xxhash64(F.col(key).cast("long"), F.col(text), F.lit("mix"))
 
 
-def classifier(labelled: DataFrame, text: str = "text", domain: str = "domain", max_rows: int = MAX_LABELLED) -> tuple[list[str], list[list[float]]]:
+def classifier(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = MAX_LABELLED) -> tuple[list[str], list[list[float]]]:
     """Domains in order, and for each the log probabilities of the buckets, the last entry the log prior.
 
-    Fitted on the rows of a labelled table of at most ``max_rows`` rows, in the
-    order of a hash of the text; at most MAX_DOMAINS x BUCKETS counts reach the driver.
+    Fitted on the documents of a labelled table (doc_id, domain), at most
+    ``max_rows`` rows of it in the order of a hash of the id; at most
+    MAX_DOMAINS x BUCKETS counts reach the driver.
     """
-    rows = labelled.where(F.col(domain).isNotNull()).select(F.col(domain).cast("string").alias("d"), F.col(text).alias("t")).orderBy(F.xxhash64("t"), "d").limit(max_rows)
-    rows = checkpoint(rows)
-    sizes = {r.d: r.n for r in rows.groupBy("d").agg(F.count("*").alias("n")).orderBy("d").limit(MAX_DOMAINS + 1).collect()}
+    marks = labelled.where("doc_id is not null and domain is not null").select(F.col("doc_id").alias("_id"), F.col("domain").cast("string").alias("d"))
+    marks = checkpoint(marks.orderBy(F.xxhash64("_id"), "d").limit(max_rows))
+    sizes = {r.d: r.n for r in marks.groupBy("d").agg(F.count("*").alias("n")).orderBy("d").limit(MAX_DOMAINS + 1).collect()}
     if len(sizes) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
     names = sorted(sizes)
     counts = {n: [1.0] * BUCKETS for n in names}
-    for r in rows.select("d", F.explode(_words(F.col("t"))).alias("w")).groupBy("d", _bucket(F.col("w")).alias("b")).count().collect():
+    # at most max_rows short rows: safe to broadcast whatever the tables' size
+    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("t")).join(F.broadcast(marks), "_id")
+    for r in _exploded(rows, "t", F.col("d")).where("w <> ''").groupBy("d", "b").count().collect():
         counts[r.d][r.b] += r["count"]
     total = sum(sizes.values())
     return names, [[math.log(c / sum(counts[n])) for c in counts[n]] + [math.log(sizes[n] / total)] for n in names]
@@ -68,9 +69,10 @@ def posteriors(docs: DataFrame, names: list[str], weights: list[list[float]], ke
     Words are exploded and summed within the task that read them; one small row
     for each document is shuffled. A text without words has the prior.
     """
-    base = docs.select(row_key(key, text).alias("row"), F.col(key).cast("long").alias("doc_id"), F.explode_outer(_words(F.col(text))).alias("w"))
-    sums = [F.sum(F.coalesce(F.get(F.lit(w[:BUCKETS]), _bucket(F.col("w"))), F.lit(0.0))).alias(f"l{i}") for i, w in enumerate(weights)]
-    got = base.groupBy("row", "doc_id").agg(F.count("w").alias("tokens"), *sums)
+    base = _exploded(docs, text, row_key(key, text).alias("row"), F.col(key).cast("long").alias("doc_id"))
+    is_word = F.col("w") != ""
+    sums = [F.sum(F.when(is_word, F.get(F.lit(w[:BUCKETS]), F.col("b"))).otherwise(F.lit(0.0))).alias(f"l{i}") for i, w in enumerate(weights)]
+    got = base.groupBy("row", "doc_id").agg(F.count(F.when(is_word, 1)).alias("tokens"), *sums)
     share = F.least(F.lit(1.0), EVIDENCE / F.greatest(F.col("tokens"), F.lit(1)))
     logs = F.array(*[F.col(f"l{i}") * share + F.lit(w[BUCKETS]) for i, w in enumerate(weights)])
     top = got.select("row", "doc_id", "tokens", logs.alias("l")).withColumn("m", F.array_max("l"))
@@ -87,8 +89,13 @@ def _rate(history: list[list[float]], ridge: float, least: float) -> Column:
     return F.aggregate(F.lit(history), F.lit(1.0), lambda r, u: F.greatest(F.lit(float(least)), r - F.lit(step) * (dot(u) + F.lit(ridge) * (r - 1))))
 
 
-def fit_rates(table: DataFrame, targets: list[float], ridge: float = RIDGE, rounds: int = ROUNDS, close: float = CLOSE, natural: list[float] | None = None, least: float = 0.0) -> tuple[Column, list[list[float]]]:
-    """The rate as an expression over ``p``, and the domain totals after each round (natural ones first)."""
+def fit_rates(table: DataFrame, targets: list[float], ridge: float = RIDGE, rounds: int = ROUNDS, close: float = CLOSE, stalled: float = 1e-6, natural: list[float] | None = None, least: float = 0.0) -> tuple[Column, list[list[float]]]:
+    """The rate as an expression over ``p``, and the domain totals after each round (natural ones first).
+
+    Ends where every total is within ``close`` of its target, or where no total
+    moves by more than ``stalled`` of all tokens (the ridge keeps it off), or
+    after ``rounds``.
+    """
     n = len(targets)
     sums = lambda rate: [float(x or 0.0) for x in table.agg(*[F.sum(F.col("tokens") * F.get("p", F.lit(i)) * rate) for i in range(n)]).first()]
     seen = [natural or sums(F.lit(1.0))]
@@ -96,7 +103,7 @@ def fit_rates(table: DataFrame, targets: list[float], ridge: float = RIDGE, roun
     while len(history) < rounds and any(abs(s - t) > close * max(t, 1.0) for s, t in zip(seen[-1], targets, strict=True)):
         history.append([(s - t) / a if a else 0.0 for s, t, a in zip(seen[-1], targets, seen[0], strict=True)])
         seen.append(sums(_rate(history, ridge, least)))
-        if max(abs(x - y) for x, y in zip(seen[-1], seen[-2], strict=True)) <= 1e-9 * max(1.0, sum(seen[0])):
+        if max(abs(x - y) for x, y in zip(seen[-1], seen[-2], strict=True)) <= stalled * max(1.0, sum(seen[0])):
             break
     return _rate(history, ridge, least), seen
 
@@ -104,7 +111,7 @@ def fit_rates(table: DataFrame, targets: list[float], ridge: float = RIDGE, roun
 def rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], key: str = "doc_id", text: str = "text", total: float | None = None) -> DataFrame:
     """(row, doc_id, tokens, domain, posterior, rate, copies) of every document.
 
-    ``labelled`` (text, domain); ``weights``: the share of tokens each domain
+    ``labelled`` (doc_id, domain) marks some of them; ``weights``: the share of tokens each domain
     is to have (any scale; domains without a weight get none; weights of unknown
     domains don't count). ``total``: tokens of the mix; by default the least at
     which no domain is cut, and rates are then projected to at least 1, so that
@@ -114,7 +121,7 @@ def rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], key:
     empty texts have no tokens, the prior as posterior and the rate that fits
     it. Without labelled rows, or without weights of theirs, every rate is 1.
     """
-    names, model = classifier(labelled)
+    names, model = classifier(docs, labelled, key, text)
     if not names:
         names, model = [""], [[0.0] * BUCKETS + [0.0]]
     table = checkpoint(posteriors(docs, names, model, key, text))
