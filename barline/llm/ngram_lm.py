@@ -37,7 +37,7 @@ DISCOUNT = 0.75
 STEPS = 4000
 END = b"\n"  # no word has a line end
 #: Words a worker remembers; n-grams that it gathers before they are summed; tokens behind one group of the second level.
-WORDS, GATHERED, GROUP_TOKENS = 500_000, 3_000_000, 4_000_000
+WORDS, GATHERED, GROUP_TOKENS = 300_000, 3_000_000, 4_000_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -67,6 +67,7 @@ class Reader:
     def __init__(self, model: Model):
         self.m, self.files = model, SharedFiles(model.folder)
         self.cache: dict[bytes, int] = {}
+        self.old: dict[bytes, int] = {}
         self.shards: dict[int, dict[str, np.ndarray]] = {}
         self.parts: dict[int, dict[str, np.ndarray] | None] = {}
         self.starts = np.array(model.offsets, dtype=np.int64)
@@ -82,10 +83,15 @@ class Reader:
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Id of each word, -1 for an unknown one."""
-        cache = self.cache
-        if len(cache) > WORDS:
-            cache.clear()
-        new = [w for w in set(words) if w not in cache]
+        if len(self.cache) > WORDS:
+            self.old, self.cache = self.cache, {}
+        cache, old = self.cache, self.old
+        new = []
+        for w in set(words).difference(cache):
+            if w in old:
+                cache[w] = old[w]
+            else:
+                new.append(w)
         if new:
             h = np.fromiter(map(xxhash.xxh3_64_intdigest, new), dtype=np.uint64, count=len(new))
             order = np.argsort(h)
@@ -140,16 +146,11 @@ class Reader:
             p = self.part(int(group[at[0]]))
             if p is None:
                 continue
-            j = context[at] - p["first"]
-            ok = np.flatnonzero((j >= 0) & (j + 1 < p["ptr"].n))
-            at, j = at[ok], j[ok]
-            begin, end = p["ptr"].access(j).astype(np.int64), p["ptr"].access(j + 1).astype(np.int64)
-            some = np.flatnonzero(end > begin)
-            at, begin, end = at[some], begin[some], end[some]
+            fresh = np.r_[True, np.diff(context[at]) != 0]  # pairs come in the order of contexts
+            begin, end, base = (x[np.cumsum(fresh) - 1] for x in self._ranges(p, context[at[fresh]]))
             span[at] = end - begin
-            base = np.zeros(len(at), dtype=np.uint64)
-            later = np.flatnonzero(begin > 0)
-            base[later] = p["succ"].access(begin[later] - 1)
+            some = np.flatnonzero(end > begin)
+            at, begin, end, base = at[some], begin[some], end[some], base[some]
             i, found = p["succ"].successor(base + word[at].astype(np.uint64) + np.uint64(1))
             hit = np.flatnonzero(found & (i >= begin) & (i < end))
             seen[at[hit]] = 10.0 ** (-p["code"][i[hit]].astype(np.float64) / STEPS)
@@ -158,6 +159,16 @@ class Reader:
             span = np.where(self.hot[i] == context, self.hot_t[i], span)
         return seen, span
 
+    def _ranges(self, p: dict, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Range of entries of each context in a group (empty if not there), and the value before it."""
+        begin, end, base = np.zeros(len(context), np.int64), np.zeros(len(context), np.int64), np.zeros(len(context), np.uint64)
+        j = context - p["first"]
+        ok = np.flatnonzero((j >= 0) & (j + 1 < p["ptr"].n))
+        begin[ok], end[ok] = p["ptr"].access(j[ok]).astype(np.int64), p["ptr"].access(j[ok] + 1).astype(np.int64)
+        later = np.flatnonzero((begin > 0) & (end > begin))
+        base[later] = p["succ"].access(begin[later] - 1)
+        return begin, end, base
+
     def score(self, texts: list[str | None]) -> list[tuple[int, int, float, float]]:
         """(tokens, known tokens, base score, score) of each text."""
         lists = [tokens(t) for t in texts]
