@@ -165,10 +165,10 @@ def oracle() -> str:
           SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM d) GROUP BY doc_id
         ), s AS (
           SELECT w.doc_id, stratum, len(words) AS n_words,
-                 CAST(coalesce(list_sum(list_transform(words, x -> length(x))), 0) AS BIGINT) AS word_chars,
+                 CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
                  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-                 len(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')))
-                   - len(list_distinct(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) AS n_dup_lines,
+                 len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))
+                   - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) AS n_dup_lines,
                  coalesce(covered.n, 0) AS n_repeat_words
           FROM w LEFT JOIN covered ON w.doc_id = covered.doc_id
         ), b AS (
@@ -185,7 +185,7 @@ def oracle() -> str:
           GROUP BY ALL
         ), p AS (
           SELECT *, k <= {share} * n AND list_sum(list_transform(range(0, CAST(least(k, {share} * n) AS BIGINT) + 1),
-              j -> exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln({share}) + (n - j) * ln(1 - {share}))))
+              lambda j: exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln({share}) + (n - j) * ln(1 - {share}))))
             <= {DELTA} / (greatest(1, (SELECT count(*) FROM sizes)) * {len(LADDERS)}) AS passed FROM t
         ), ok AS (
           SELECT *, bool_and(passed) OVER (PARTITION BY stratum, statistic ORDER BY rung) AS allowed FROM p

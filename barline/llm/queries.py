@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from barline.llm import quality_rules
 from barline.llm.common import table
-from barline.llm.mixing import MAX_LABELLED
 
 
 #: Share of tokens that each domain, a language, is to have in the mix.
@@ -15,10 +14,8 @@ MIX_WEIGHTS = {"en": 0.55, "de": 0.16, "fr": 0.16, "es": 0.13}
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, domain): the labelled documents, with their language as domain."""
-    marks = labels.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(MAX_LABELLED)
-    # at most MAX_LABELLED ids: safe to broadcast whatever the tables' size
-    return docs.join(F.broadcast(marks), "doc_id", "left_semi").select("text", F.col("lang").alias("domain"))
+    """(doc_id, domain): the labelled documents, with their language as domain."""
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id"), "doc_id", "left_semi")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,11 +93,11 @@ ORACLES = {
     "op5_quality_rules": quality_rules.oracle(),
     "op4_maxscore_topk": """
         WITH v AS (
-          SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
           FROM embeddings
-          WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, x -> coalesce(isfinite(x), false)))
+          WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
         ), s AS (
-          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
         ), r AS (
           SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
