@@ -1 +1,6 @@
-"""See the package README section of the same name."""
+"""Registered queries, by family. Importing this package registers all of them."""
+
+from barline.plans import bars, features, joins, portfolios, research, signals
+from barline.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "bars", "features", "joins", "portfolios", "research", "signals"]

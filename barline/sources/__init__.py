@@ -1 +1,5 @@
-"""See the package README section of the same name."""
+"""Readers, sinks and the canonical input views."""
+
+from barline.sources.readers import candles_from_json, read_csv, read_files, read_table, unnest_price_arrays, write_table
+
+__all__ = ["candles_from_json", "read_csv", "read_files", "read_table", "unnest_price_arrays", "write_table"]

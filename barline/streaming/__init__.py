@@ -1 +1,5 @@
-"""See the package README section of the same name."""
+"""Structured Streaming forms of the bars, the upserts and the position state."""
+
+from barline.streaming.streams import dedup_stream, event_stream, hour_bar_stream, position_stream, run_available, session_stream, sliding_stream, upsert_batch
+
+__all__ = ["dedup_stream", "event_stream", "hour_bar_stream", "position_stream", "run_available", "session_stream", "sliding_stream", "upsert_batch"]
