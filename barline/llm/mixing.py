@@ -30,10 +30,15 @@ EVIDENCE = 50
 RIDGE, ROUNDS, CLOSE = 1e-4, 60, 1e-4
 
 
-def _exploded(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
-    """A row for each word, lower-cased, and one with an empty word for a text without any; its bucket is ``b``."""
-    words = F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), BLANK)).alias("w")
-    return docs.select(*keep, words).withColumn("b", F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int"))
+def _exploded(docs: DataFrame, text: str, **keep: Column) -> DataFrame:
+    """A row for each word, lower-cased, as its bucket ``b``; an empty word has the bucket BUCKETS.
+
+    What is kept is computed before the words are exploded: in one select it
+    would be computed for each word.
+    """
+    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), BLANK)
+    rows = docs.select(*[c.alias(n) for n, c in keep.items()], words.alias("ws")).select(*keep, F.explode("ws").alias("w"))
+    return rows.select(*keep, F.when(F.col("w") == "", F.lit(BUCKETS)).otherwise(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int")).alias("b"))
 
 
 def row_key(key: str, text: str) -> Column:
@@ -57,7 +62,7 @@ def classifier(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text:
     counts = {n: [1.0] * BUCKETS for n in names}
     # at most max_rows short rows: safe to broadcast whatever the tables' size
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("t")).join(F.broadcast(marks), "_id")
-    for r in _exploded(rows, "t", F.col("d")).where("w <> ''").groupBy("d", "b").count().collect():
+    for r in _exploded(rows, "t", d=F.col("d")).where(F.col("b") < BUCKETS).groupBy("d", "b").count().collect():
         counts[r.d][r.b] += r["count"]
     total = sum(sizes.values())
     return names, [[math.log(c / sum(counts[n])) for c in counts[n]] + [math.log(sizes[n] / total)] for n in names]
@@ -69,10 +74,9 @@ def posteriors(docs: DataFrame, names: list[str], weights: list[list[float]], ke
     Words are exploded and summed within the task that read them; one small row
     for each document is shuffled. A text without words has the prior.
     """
-    base = _exploded(docs, text, row_key(key, text).alias("row"), F.col(key).cast("long").alias("doc_id"))
-    is_word = F.col("w") != ""
-    sums = [F.sum(F.when(is_word, F.get(F.lit(w[:BUCKETS]), F.col("b"))).otherwise(F.lit(0.0))).alias(f"l{i}") for i, w in enumerate(weights)]
-    got = base.groupBy("row", "doc_id").agg(F.count(F.when(is_word, 1)).alias("tokens"), *sums)
+    base = _exploded(docs, text, row=row_key(key, text), doc_id=F.col(key).cast("long"))
+    sums = [F.sum(F.get(F.lit([*w[:BUCKETS], 0.0]), F.col("b"))).alias(f"l{i}") for i, w in enumerate(weights)]
+    got = base.groupBy("row", "doc_id").agg(F.sum((F.col("b") < BUCKETS).cast("long")).alias("tokens"), *sums)
     share = F.least(F.lit(1.0), EVIDENCE / F.greatest(F.col("tokens"), F.lit(1)))
     logs = F.array(*[F.col(f"l{i}") * share + F.lit(w[BUCKETS]) for i, w in enumerate(weights)])
     top = got.select("row", "doc_id", "tokens", logs.alias("l")).withColumn("m", F.array_max("l"))
