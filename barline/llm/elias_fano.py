@@ -102,15 +102,15 @@ class EliasFano:
         out[at] = w * 64 + _select(~self.high[w], z - self.zeros[w]) - z
         return out
 
-    def _run(self, place: np.ndarray) -> np.ndarray:
-        """Ones in a row from a place in the high bits on."""
+    def _run(self, lo: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Values whose high part is h, of which the first is the lo-th: ones in a row in the high bits."""
+        place = lo + h
         w, off = place >> 6, (place & 63).astype(_U)
         after = self.high[np.minimum(w + 1, len(self.high) - 1)]
         bits = (self.high[w] >> off) | np.where(off > 0, after << ((_U(64) - off) & _U(63)), _U(0))
         out = np.bitwise_count(bits & ~(bits + _U(1))).astype(np.int64)
-        for i in np.flatnonzero(out == 64):  # a long run: to the next zero
-            z = place[i] - int(self.ones[w[i]]) - int(np.bitwise_count(self.high[w[i]] & ((_U(1) << off[i]) - _U(1))))
-            out[i] = self._below(np.array([z + 1]))[0] - self._below(np.array([z]))[0]
+        many = np.flatnonzero((out >= 64) | (w + 1 >= len(self.high)))  # beyond the word at hand: by the next zero
+        out[many] = self._below(h[many] + 1) - lo[many]
         return out
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +119,7 @@ class EliasFano:
         last = int(self.zeros[-1]) - 1
         h = np.minimum(h, last)
         lo = self._below(h)
-        hi = lo + self._run(lo + h)
+        hi = lo + self._run(lo, h)
         want = x & _U((1 << self.bits) - 1)
         end = hi.copy()
         while len(open_ := np.flatnonzero(lo < hi)):
