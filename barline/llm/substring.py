@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from barline.llm.common import checkpoint, tune, with_cleared
 
 #: Words that a run of repeated units has at least, to be removed.
-MIN_WORDS = 40
+MIN_WORDS = 50
 #: Units of one partition among which repeats are told apart before the shuffle.
 LOCAL_UNITS = 2_000_000
 _CUT = re.compile(r"\n\s*|(?<=[.!?])[^\S\n]+(?:\n\s*)?")
