@@ -11,6 +11,7 @@ from barline.functions.columns import (
     pct_change,
     safe_div,
     stable_round,
+    truncated,
     week_end,
     week_start,
     zero_to_null,
@@ -19,6 +20,6 @@ from barline.functions.ranks import average_rank, dense_rank_desc, guarded_rank,
 
 __all__ = [
     "arr_last", "average_rank", "clip_below", "dense_rank_desc", "epoch_ms", "guarded_rank", "inf_to_null", "month_end",
-    "nearest_minute", "null_count", "pct_change", "pct_rank", "quantile_bin", "row_rank", "safe_div", "sql_percent_rank", "stable_round",
+    "nearest_minute", "null_count", "pct_change", "pct_rank", "quantile_bin", "row_rank", "safe_div", "sql_percent_rank", "stable_round", "truncated",
     "week_end", "week_start", "zero_to_null",
 ]

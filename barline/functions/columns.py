@@ -67,8 +67,13 @@ def month_end(d: ColumnOrName, months: int = 0) -> Column:
     return F.last_day(F.add_months(_c(d), months))
 
 
+def truncated(unit: str, ts: ColumnOrName) -> Column:
+    """The start of the unit, without a zone (date_trunc alone would give a zoned time)."""
+    return F.date_trunc(unit, _c(ts)).cast("timestamp_ntz")
+
+
 def nearest_minute(ts: ColumnOrName) -> Column:
-    return F.date_trunc("minute", _c(ts) + F.expr("INTERVAL 30 SECONDS"))
+    return truncated("minute", _c(ts) + F.expr("INTERVAL 30 SECONDS"))
 
 
 def epoch_ms(ts: ColumnOrName) -> Column:

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.functions.columns import arr_last, stable_round, week_end, week_start
+from barline.functions.columns import arr_last, stable_round, truncated, week_end, week_start
 
 LONG_COLUMNS = ["ticker", "date_start", "date_end", "field", "value"]
 
 
 def hour_bars(ticks: DataFrame) -> DataFrame:
     """Mean price, market cap and volume by id and hour."""
-    return ticks.groupBy("id", F.date_trunc("hour", "timestamp").alias("ts")).agg(F.avg("prices").alias("px"), F.avg("market_caps").alias("marketcap"), F.avg("total_volumes").alias("volume"))
+    return ticks.groupBy("id", truncated("hour", "timestamp").alias("ts")).agg(F.avg("prices").alias("px"), F.avg("market_caps").alias("marketcap"), F.avg("total_volumes").alias("volume"))
 
 
 def ohlc_bars(ticks: DataFrame, unit: str = "hour") -> DataFrame:
     """Open, high, low, close, volume and tick count by id and time unit."""
-    return ticks.groupBy(F.col("id").alias("symbol"), F.date_trunc(unit, "timestamp").alias("time_open")).agg(
+    return ticks.groupBy(F.col("id").alias("symbol"), truncated(unit, "timestamp").alias("time_open")).agg(
         F.min_by("prices", "timestamp").alias("open"), F.max("prices").alias("high"), F.min("prices").alias("low"), F.max_by("prices", "timestamp").alias("close"),
         F.sum("total_volumes").alias("volume"), F.count("*").alias("num"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.functions.columns import stable_round
+from barline.functions.columns import stable_round, truncated
 from barline.operators import relational as rel
 from barline.operators.bars import month_bars, period_close
 from barline.plans.bars import months, weekly
@@ -41,7 +41,7 @@ def left_join_chain(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT h.ts, h.n_ids, count(e.event_id) AS n_events FROM (SELECT ts, count(*) AS n_ids FROM {{hours}} GROUP BY 1) h LEFT JOIN events e ON h.ts = date_trunc('hour', e.ts) GROUP BY ALL")
 def derived_key_join(spark: SparkSession, d: str) -> DataFrame:
-    e = read_table(spark, d, "events", ["event_id", "event_type", "ts"]).withColumn("hour", F.date_trunc("hour", "ts"))
+    e = read_table(spark, d, "events", ["event_id", "event_type", "ts"]).withColumn("hour", truncated("hour", "ts"))
     h = e.groupBy("hour").agg(F.countDistinct("event_type").alias("n_ids"))
     n = e.groupBy("hour").agg(F.count("event_id").alias("n_events"))
     return h.join(n, "hour", "left").select(F.col("hour").alias("ts"), "n_ids", "n_events")
