@@ -6,8 +6,9 @@ the whole sequence would cross it in the pair too, for up to then either side
 merges on its own. So a nondeterministic transducer over bytes reads tokens off
 a trie and checks each token against the one before it. Its states (what token
 is being read after which token) are determinised on demand: a subset holds the
-hypotheses still open, each with the tokens not yet emitted; whatever all of
-them share is emitted at once, which is never later than the longest token.
+hypotheses still open and the one token that ends at this place. Tokens that
+all open hypotheses share are settled and emitted; hypotheses reach back no
+further than the longest token, so the lookahead is bounded.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 
 from barline.llm.common import tune, with_cleared
 
-#: Pieces and transitions that one worker remembers; beyond these it starts afresh.
-PIECES, STATES = 300_000, 400_000
+#: Pieces and states that one worker remembers (about 200 MB together); beyond these it starts afresh.
+PIECES, STATES = 250_000, 250_000
+_SHIFT, _LOW = 20, (1 << 20) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,11 +42,14 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes = {i: b for b, i in ranks.items()}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._own: dict[int, bool] = {}
         # trie: node -> {byte: node}; a node that is a token has its id
         self._next: list[dict[int, int]] = [{}]
         self._token: list[int] = [-1]
+        self._depth: list[int] = [0]
+        self._size = {i: len(b) for b, i in ranks.items()}
+        self._longest = max(map(len, ranks))
         for token, i in ranks.items():
             at = 0
             for b in token:
@@ -53,20 +58,20 @@ class Transducer:
                     to = self._next[at][b] = len(self._next)
                     self._next.append({})
                     self._token.append(-1)
+                    self._depth.append(self._depth[at] + 1)
                 at = to
             self._token[at] = i
         self._reset()
 
     def _reset(self) -> None:
-        # a subset: ((trie node, previous token, pending tokens), ...); at a boundary the node is 0
-        start = ((0, -1, ()),)
-        self._subsets = [start]
+        # a subset: codes of what is being read (a trie node, and the token before it), and last the token that ends here
+        start = (0, -1)
+        self._subsets: list[tuple[int, ...]] = [start]
         self._ids = {start: 0}
-        self._moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self._ends: list[tuple[int, ...] | None] = [None]
+        self._moves: dict[int, int] = {}  # state << 8 | byte -> next state
 
-    def _merged(self, data: bytes, limit: int) -> list[int] | None:
-        """BPE of a short byte string by definition; None if that has more than ``limit`` tokens."""
+    def _merged(self, data: bytes) -> list[int]:
+        """BPE of a short byte string by definition."""
         parts = [data[i : i + 1] for i in range(len(data))]
         ranks = self.ranks
         while len(parts) > 1:
@@ -75,83 +80,94 @@ class Transducer:
                 break
             i = best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [ranks[p] for p in parts] if len(parts) <= limit else None
+        return [ranks[p] for p in parts]
 
     def _follows(self, prev: int, token: int) -> bool:
         """Whether ``token`` may stand after ``prev`` (-1: at the start)."""
         if prev < 0:
             ok = self._own.get(token)
             if ok is None:
-                ok = self._own[token] = self._merged(self.bytes[token], 1) == [token]
+                ok = self._own[token] = self._merged(self.bytes[token]) == [token]
             return ok
-        ok = self._pairs.get((prev, token))
+        pair = prev << _SHIFT | token
+        ok = self._pairs.get(pair)
         if ok is None:
-            ok = self._merged(self.bytes[prev] + self.bytes[token], 2) == [prev, token]
-            if len(self._pairs) >= 4 * STATES:
+            ok = self._merged(self.bytes[prev] + self.bytes[token]) == [prev, token]
+            if len(self._pairs) >= 2 * STATES:
                 self._pairs.clear()
-            self._pairs[prev, token] = ok
+            self._pairs[pair] = ok
         return ok
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        open_, done = [], None
-        for node, prev, pending in self._subsets[state]:
-            to = self._next[node].get(byte)
+    def _move(self, state: int, byte: int) -> int:
+        live, done = [], -1
+        for code in (*self._subsets[state][:-1], self._subsets[state][-1] + 1):  # the last: a token may start here
+            to = self._next[code >> _SHIFT].get(byte)
             if to is None:
                 continue
-            if self._next[to] or prev == -1:
-                open_.append((to, prev, pending))
+            before = code & _LOW
+            if self._next[to] or not before:
+                live.append(to << _SHIFT | before)
             t = self._token[to]
-            if done is None and t >= 0 and self._follows(prev, t):
-                done = (0, t, (*pending, t))
-        if done is None:
+            if done < 0 and t >= 0 and self._follows(before - 1, t):
+                done = t
+        if done < 0:
             raise ValueError("a byte is no token of this vocabulary")
-        live = [*open_, done]
-        shared = 0
-        while all(len(p) > shared and p[shared] == live[0][2][shared] for _, _, p in live):
-            shared += 1
-        out = live[0][2][:shared]
-        subset = tuple((n, p, q[shared:]) for n, p, q in live)
+        live.append(done)
+        subset = tuple(live)
         to = self._ids.get(subset)
         if to is None:
             to = self._ids[subset] = len(self._subsets)
             self._subsets.append(subset)
-            self._moves.append({})
-            self._ends.append(None)
-        self._moves[state][byte] = (to, out)
-        return to, out
-
-    def _end(self, state: int) -> tuple[int, ...]:
-        end = self._ends[state]
-        if end is None:
-            end = next(p for n, _, p in reversed(self._subsets[state]) if n == 0)
-            for node, prev, _ in self._subsets[state]:
-                if prev == -1 and node and self._token[node] >= 0:  # the piece itself is a token, merged or not
-                    end = (self._token[node],)
-            self._ends[state] = end
-        return end
-
-    def stream(self, data: bytes) -> Iterator[int]:
-        """Token ids of one piece, each as soon as the bytes read so far settle it."""
+        self._moves[state << 8 | byte] = to
+        return to
+
+    def _chain(self, ends: list[int], first: int, at: int) -> list[int]:
+        """Tokens up to place ``at``, each found from its end; ``ends[i]`` ends at place first + i + 1."""
+        out = []
+        while at > first:
+            out.append(ends[at - first - 1])
+            at -= self._size[out[-1]]
+        return out[::-1]
+
+    def stream(self, data: Iterable[int]) -> Iterator[int]:
+        """Token ids of one piece, each as soon as the bytes read so far settle it.
+
+        The state at a place names the token that ends there, so tokens follow
+        from the last one back. What the chains of all open hypotheses share is
+        settled; it is emitted each time as many bytes as the longest token has
+        twice have come in.
+        """
         if len(self._subsets) > STATES:
             self._reset()
-        state, moves = 0, self._moves
+        moves, subsets = self._moves, self._subsets
+        state, first, n, ends = 0, 0, 0, []
         for b in data:
-            got = moves[state].get(b)
-            if got is None:
-                if len(self._subsets) > 4 * STATES:  # within one very long piece: keep the subset, drop the rest
-                    subset = self._subsets[state]
+            to = moves.get(state << 8 | b)
+            if to is None:
+                if len(subsets) > 2 * STATES:  # within one very long piece: keep the subset, drop the rest
+                    subset = subsets[state]
                     self._reset()
-                    moves = self._moves
-                    state = len(self._subsets)
-                    self._ids[subset] = state
-                    self._subsets.append(subset)
-                    moves.append({})
-                    self._ends.append(None)
-                got = self._move(state, b)
-            state, out = got
-            yield from out
-        if data:
-            yield from self._end(state)
+                    moves, subsets = self._moves, self._subsets
+                    state = self._ids[subset] = len(subsets)
+                    subsets.append(subset)
+                to = self._move(state, b)
+            state = to
+            n += 1
+            ends.append(subsets[state][-1])
+            if len(ends) >= 2 * self._longest:
+                depths = [self._depth[c >> _SHIFT] for c in subsets[state][:-1]]
+                chains = [self._chain(ends, first, n - d) for d in (*depths, 0)]
+                for tokens in zip(*chains, strict=False):
+                    if len(set(tokens)) > 1:
+                        break
+                    yield tokens[0]
+                    first += self._size[tokens[0]]
+                ends = ends[len(ends) - (n - first) :]
+        for code in subsets[state][:-1]:  # the piece itself is a token, merged or not
+            if code >> _SHIFT and not code & _LOW and self._token[code >> _SHIFT] >= 0:
+                yield self._token[code >> _SHIFT]
+                return
+        yield from self._chain(ends, first, n)
 
 
 class _Pieces(dict):
