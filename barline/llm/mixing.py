@@ -146,7 +146,7 @@ def rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], key:
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], key: str = "doc_id", text: str = "text", total: float | None = None) -> DataFrame:
     """``docs`` with every row repeated as its document's copies say; the columns of ``docs``."""
-    own = with_cleared(docs, "_row", "_copies", "_n")
-    found = rates(own, labelled, weights, key, text, total).select(F.col("row").alias("_row"), F.col("copies").alias("_copies"))
-    joined = own.withColumn("_row", row_key(key, text)).join(found, "_row").where("_copies > 0")
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    own = with_cleared(docs, "__bl_row", "__bl_copies", "__bl_n")
+    found = rates(own, labelled, weights, key, text, total).select(F.col("row").alias("__bl_row"), F.col("copies").alias("__bl_copies"))
+    joined = own.withColumn("__bl_row", row_key(key, text)).join(found, "__bl_row").where("__bl_copies > 0")
+    return joined.withColumn("__bl_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__bl_copies")))).select(*docs.columns)

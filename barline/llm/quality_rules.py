@@ -70,14 +70,14 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.when(n < 6, F.lit(0).cast("long")).otherwise(_let(F.sort_array(hashed), lambda s: _let(found(s), covered)))
 
     stats = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated(w).alias("n_repeat_words")))
-    out = own.withColumn("_s", stats).withColumns({
-        "n_words": F.col("_s.n_words"),
+    out = own.withColumn("__bl_s", stats).withColumns({
+        "n_words": F.col("__bl_s.n_words"),
         "word_chars": (F.length(t) - F.regexp_count(t, F.lit(BLANK))).cast("long"),
         "n_symbols": F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": F.col("_s.n_repeat_words"),
+        "n_repeat_words": F.col("__bl_s.n_repeat_words"),
     })
-    return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))).drop("_s")
+    return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))).drop("__bl_s")
 
 
 def thresholds(labelled: DataFrame, stratum: str = "lang", good: str = "quality", risk: float = RISK, delta: float = DELTA, strata: int | None = None) -> DataFrame:
@@ -141,9 +141,9 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def reject(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    own = with_cleared(docs, "_row")
-    out = judge(own, labels, key, text, stratum).where("not kept").select(F.col("row").alias("_row")).distinct()
-    return own.withColumn("_row", row_key(key, text, stratum)).join(out, "_row", "left_anti").select(*docs.columns)
+    own = with_cleared(docs, "__bl_row")
+    out = judge(own, labels, key, text, stratum).where("not kept").select(F.col("row").alias("__bl_row")).distinct()
+    return own.withColumn("__bl_row", row_key(key, text, stratum)).join(out, "__bl_row", "left_anti").select(*docs.columns)
 
 
 def oracle() -> str:

@@ -177,9 +177,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     Of repeated rows with that id one stays. Rows without an id can't be told
     apart by it and all stay. Every column of ``docs`` is returned.
     """
-    own = with_cleared(docs, "_one", "_nth")
-    heads = checkpoint(near_duplicates(own, key, text).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_one")).agg(F.count("*").alias("_nth")))
-    kept = own.join(heads.select("_one"), own[key].cast("long") == F.col("_one"), "left_semi")
-    if not heads.where("_nth > 1").isEmpty():
-        kept = kept.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text), text))).where("_nth = 1").drop("_nth")
+    own = with_cleared(docs, "__bl_one", "__bl_nth")
+    heads = checkpoint(near_duplicates(own, key, text).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__bl_one")).agg(F.count("*").alias("__bl_nth")))
+    kept = own.join(heads.select("__bl_one"), own[key].cast("long") == F.col("__bl_one"), "left_semi")
+    if not heads.where("__bl_nth > 1").isEmpty():
+        kept = kept.withColumn("__bl_nth", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text), text))).where("__bl_nth = 1").drop("__bl_nth")
     return kept.unionByName(own.where(F.col(key).isNull()))

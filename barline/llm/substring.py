@@ -122,16 +122,16 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     text. A text that consists of repeats alone becomes empty and its row
     stays. Input columns named as those added are replaced.
     """
-    own = with_cleared(docs, "removed_spans", "removed_words", "removed_units", "_row", "_removed")
+    own = with_cleared(docs, "removed_spans", "removed_words", "removed_units", "__bl_row", "__bl_removed")
     found = repeats(own, key, text, min_words)
-    tagged = own.withColumn("_row", row_key(key, text))
-    joined = tagged.join(found.select(F.col("row").alias("_row"), F.col("removed").alias("_removed")), "_row", "left")
+    tagged = own.withColumn("__bl_row", row_key(key, text))
+    joined = tagged.join(found.select(F.col("row").alias("__bl_row"), F.col("removed").alias("__bl_removed")), "__bl_row", "left")
     names = [c for c in own.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, spans, words, counts = [], [], [], []
-            for t, runs in zip(b.column(text).to_pylist(), b.column("_removed").to_pylist(), strict=True):
+            for t, runs in zip(b.column(text).to_pylist(), b.column("__bl_removed").to_pylist(), strict=True):
                 cut, n, k = [], 0, 0
                 if runs and t:
                     at = units(t)

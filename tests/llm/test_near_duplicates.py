@@ -53,7 +53,7 @@ def test_odd_rows(spark):
 def test_keep_one(spark):
     docs = odd_documents(spark)
     kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and {r._row for r in kept.select('_row').collect()} == {3}
     ids = sorted((r.doc_id for r in kept.collect()), key=lambda x: -1 if x is None else x)
     assert ids == [None, 1, 4, 7, 8, 9, 10, 11, 12, 13, 14]
 
