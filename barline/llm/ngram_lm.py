@@ -169,14 +169,19 @@ class Reader:
         base[later] = p["succ"].access(begin[later] - 1)
         return begin, end, base
 
-    def score(self, texts: list[str | None]) -> list[tuple[int, int, float, float]]:
-        """(tokens, known tokens, base score, score) of each text."""
+    def in_context(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Ids of all tokens of the texts, the ids before them, where each text ends, and the id of the end."""
         lists = [tokens(t) for t in texts]
         ends = np.cumsum([len(x) for x in lists])
-        ids = np.concatenate([self.ids(x) for x in lists])
-        boundary = self.ids([END])[0]
+        ids = self.ids([w for x in lists for w in x])
+        boundary = int(self.ids([END])[0])
         before = np.r_[boundary, ids[:-1]]
         before[ends[:-1]] = boundary
+        return ids, before, ends, boundary
+
+    def score(self, texts: list[str | None]) -> list[tuple[int, int, float, float]]:
+        """(tokens, known tokens, base score, score) of each text."""
+        ids, before, ends, boundary = self.in_context(texts)
         types, inverse = np.unique(ids, return_inverse=True)
         count = self.counts(types)
         p1 = self.unigram(count)
@@ -288,7 +293,7 @@ def train(texts: DataFrame, text: str = "text") -> Model:
         size = 0
 
         def told() -> Iterator[pa.RecordBatch]:
-            key, n = _summed(np.concatenate(held), np.ones(size, dtype=np.int64))
+            key, n = np.unique(np.concatenate(held), return_counts=True)
             context, word = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
             group = r.group_of(context, word)
             order = np.argsort(group, kind="stable")
@@ -296,12 +301,11 @@ def train(texts: DataFrame, text: str = "text") -> Model:
             got = [(g, _blob(np.diff(context[a:b], prepend=0).astype(np.uint32), word[a:b].astype(np.uint32), n[a:b].astype(np.uint32))) for g, a, b in _shards(group)]
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], names=["part", "data"])
 
-        boundary = r.ids([END])
         for b in batches:
-            for t in b.column(0).to_pylist():
-                ids = np.r_[boundary, r.ids(tokens(t))].astype(np.uint64)
-                held.append((ids[:-1] << np.uint64(32)) | ids[1:])
-                size += len(ids) - 1
+            if b.num_rows:
+                ids, before, _, _ = r.in_context(b.column(0).to_pylist())
+                held.append((before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64))
+                size += len(ids)
             if size >= GATHERED:
                 yield from told()
                 held, size = [], 0
