@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch: bounds a Python worker's memory where documents are long.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 WORD = r"[^\x20\x09-\x0D]+"
-BLANKS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
