@@ -11,10 +11,10 @@ from barline.llm.common import checkpoint
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b: long); component is the smallest node reachable.
 
-    Each round points every node at its smallest neighbour (or itself), jumps
-    once along these pointers and contracts the edges to the nodes pointed at.
-    Every node that is not the smallest among its neighbours goes away in each
-    round, so the rounds are logarithmic in the longest chain. Nothing is
+    Each round points every node at its smallest neighbour (or itself), doubles
+    these pointers until they all end at nodes that are smallest among their
+    neighbours, and contracts the edges to those. All other nodes go away in
+    each round, so rounds, and jumps within a round, are logarithmic. Nothing is
     collected: only the count of edges left reaches the driver. Degrees may be
     skewed: minima are combined before the shuffle, and joins are ordinary
     sort-merge joins that adaptive execution may split. Self-loops and repeated
@@ -27,8 +27,12 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
             break
         ends = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(left.select(F.col("b"), F.col("a")))
         low = checkpoint(ends.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("p")))
-        jump = low.join(low.select(F.col("node").alias("p"), F.col("p").alias("q")), "p").select("node", F.col("q").alias("p"))
-        moved = checkpoint(jump)
+        while True:
+            jump = checkpoint(low.join(low.select(F.col("node").alias("p"), F.col("p").alias("q")), "p").select("node", "p", "q"))
+            low = jump.select("node", F.col("q").alias("p"))
+            if jump.where("p <> q").isEmpty():
+                break
+        moved = low
         if labels is None:
             labels = moved.select("node", F.col("p").alias("component"))
         else:
