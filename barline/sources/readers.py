@@ -20,9 +20,21 @@ def read_table(spark: SparkSession, base: str, name: str, columns: list[str] | N
 
 def read_files(spark: SparkSession, paths: list[str], required: list[str] | None = None, skip_broken: bool = True) -> DataFrame:
     """Many Parquet files as one table, without rows that miss a key; unreadable files are left out if so asked."""
-    reader = spark.read.option("ignoreCorruptFiles", str(skip_broken).lower()).option("ignoreMissingFiles", str(skip_broken).lower())
-    df = reader.parquet(*paths)
-    return df.dropna("any", required) if required else df
+    from py4j.protocol import Py4JError
+    from pyspark.errors import PySparkException
+
+    good = []
+    for p in paths:
+        try:
+            spark.read.parquet(p)  # reads a footer, no rows
+            good.append(p)
+        except (PySparkException, Py4JError):
+            if not skip_broken:
+                raise
+    if not good:
+        raise ValueError("none of the files can be read")
+    df = spark.read.option("ignoreCorruptFiles", str(skip_broken).lower()).option("ignoreMissingFiles", str(skip_broken).lower()).parquet(*good)
+    return df.dropna("any", subset=required) if required else df
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
