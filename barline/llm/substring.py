@@ -89,8 +89,11 @@ def _occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
         dig, ids, rows, unit, num = (np.concatenate(x) for x in zip(*got, strict=True))
         order = np.lexsort((unit, rows, ids, dig))
         first = np.r_[True, dig[order][1:] != dig[order][:-1]]
+        lead = order[np.flatnonzero(first)[np.cumsum(first) - 1]]  # the partition's first of each digest
+        keep = first | (rows[order] != rows[lead]) | (unit[order] != unit[lead])  # a repeated row's copy of it is the same one
+        order, first = order[keep], first[keep]
         cols = [x[order] for x in (dig.view(np.int64), ids, rows, unit, num)] + [first]
-        for i in range(0, len(dig), 100_000):
+        for i in range(0, len(order), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in cols], names=["digest", "rank", "row", "unit", "words", "first"])
 
     source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("rank"), row_key(key, text).alias("row"), F.col(text).alias("text"))
@@ -101,10 +104,11 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words:
     """(row, removed): for each row with repeated passages the unit numbers to remove, as [first, last] pairs in order."""
     tune(docs.sparkSession)
     seen = checkpoint(_occurrences(docs, key, text))
-    nth = F.row_number().over(Window.partitionBy("digest").orderBy("rank", "row", "unit"))
+    # equal ranks are copies of one unit in repeated rows: none of them is a repeat of another
+    nth = F.rank().over(Window.partitionBy("digest").orderBy("rank", "row", "unit"))
     across = seen.where("first").select("row", "unit", "words", nth.alias("nth")).where("nth > 1").drop("nth")
     again = across.unionAll(seen.where("not first").select("row", "unit", "words"))
-    # repeated rows yield a unit twice: as of one document, neither is a repeat of the other
+    # repeated rows yield a repeat twice
     again = again.groupBy("row", "unit").agg(F.max("words").alias("words"))
     island = F.col("unit") - F.row_number().over(Window.partitionBy("row").orderBy("unit"))
     runs = again.withColumn("island", island).groupBy("row", "island").agg(F.min("unit").alias("a"), F.max("unit").alias("b"), F.sum("words").alias("words")).where(F.col("words") >= min_words)

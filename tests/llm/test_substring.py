@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from barline.llm import substring as sub
 from tests.compare import DATA
-from tests.llm.fixtures import no_documents, odd_documents
+from tests.llm.fixtures import DOCS, no_documents, odd_documents, prose
 
 
 def brute(rows: list[tuple[int, str]], least: int) -> dict[int, list[tuple[int, int]]]:
@@ -58,3 +58,12 @@ def test_odd_rows(spark):
     out = sub.deduplicate(docs)
     assert out.columns == [c for c in docs.columns if c != "removed_units"] + ["removed_spans", "removed_words", "removed_units"]
     assert out.count() == 16 and sub.deduplicate(no_documents(spark)).count() == 0
+
+
+def test_repeated_rows_keep_their_text(spark):
+    a, b = prose(150, 21) + ".", prose(120, 22) + "."
+    rows = [(1, a), (1, a), (2, b), (2, b), (3, a + "\n" + b), (3, a + "\n" + b), (None, b + "\n" + b), (None, b + "\n" + b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    for parts in (1, 5):
+        got = [(r.doc_id, r.text.strip()) for r in sub.deduplicate(docs.repartition(parts)).collect()]
+        assert sorted(got, key=str) == sorted([(1, a), (1, a), (2, ""), (2, ""), (3, ""), (3, ""), (None, b), (None, b)], key=str)
