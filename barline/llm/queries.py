@@ -27,7 +27,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barline.llm.substring import deduplicate
 
-    return deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), extend=True)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

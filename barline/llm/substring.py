@@ -7,7 +7,10 @@ with single spaces. Units group by digest over all documents; the occurrence of
 the lowest rank (doc_id, then position) is the first and stays. Repeats go
 where a run of consecutive repeats has at least ``min_words`` words: a passage
 is found wherever it stands in a line, and short sentences that occur twice by
-chance stay.
+chance stay. With ``extend`` a run grows word by word into the units beside it,
+as far as they agree with what stands beside its first occurrence, and the
+words of the whole stretch count: a passage that starts or ends within a
+sentence is then cut whole.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from barline.llm.common import checkpoint, tune, with_cleared
 MIN_WORDS = 50
 #: Units of one partition among which repeats are told apart before the shuffle.
 LOCAL_UNITS = 2_000_000
+_WORDS = re.compile(r"[^ \t-\r]+")
 _CUT = re.compile(r"\n\s*|(?<=[.!?])[^\S\n]+(?:\n\s*)?")
 
 
@@ -56,8 +60,9 @@ def row_key(key: str = "doc_id", text: str = "text") -> Column:
 
 
 def _occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(digest, rank, row, unit, words, first): units; ``first`` is false where the partition holds a lower rank of the digest.
+    """(digest, rank, row, unit, words, before, after, row0, unit0, first): units; ``first`` is false where the partition holds a lower rank of the digest.
 
+    ``before`` and ``after`` are the words of the units beside it; (row0, unit0) is the partition's lowest.
     Only the lowest of each partition can be the first of all, so a digest's
     rows in the later shuffle are at most the partitions, however frequent it is.
     """
@@ -67,17 +72,21 @@ def _occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
         held = 0
         for b in batches:
             ids, rows = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            dig, num, unit, owner = [], [], [], []
+            dig, num, unit, owner, before, after = [], [], [], [], [], []
             for i, t in enumerate(b.column(2).to_pylist()):
+                at = len(num)
                 for u, (s, e) in enumerate(units(t)):
                     d, n = digest(t[s:e])
                     dig.append(d)
                     num.append(n)
                     unit.append(u)
                     owner.append(i)
+                if len(num) > at:
+                    before += [0, *num[at:-1]]
+                    after += [*num[at + 1 :], 0]
             if dig:
                 owner = np.array(owner)
-                got.append([np.array(dig, dtype=np.uint64), ids[owner], rows[owner], np.array(unit, dtype=np.int32), np.array(num, dtype=np.int32)])
+                got.append([np.array(dig, dtype=np.uint64), ids[owner], rows[owner], *(np.array(x, dtype=np.int32) for x in (unit, num, before, after))])
                 held += len(dig)
             if held >= LOCAL_UNITS:
                 yield from told(got)
@@ -86,36 +95,110 @@ def _occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield from told(got)
 
     def told(got: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        dig, ids, rows, unit, num = (np.concatenate(x) for x in zip(*got, strict=True))
+        dig, ids, rows, unit, num, before, after = (np.concatenate(x) for x in zip(*got, strict=True))
         order = np.lexsort((unit, rows, ids, dig))
         first = np.r_[True, dig[order][1:] != dig[order][:-1]]
         lead = order[np.flatnonzero(first)[np.cumsum(first) - 1]]  # the partition's first of each digest
         keep = first | (rows[order] != rows[lead]) | (unit[order] != unit[lead])  # a repeated row's copy of it is the same one
-        order, first = order[keep], first[keep]
-        cols = [x[order] for x in (dig.view(np.int64), ids, rows, unit, num)] + [first]
+        order, lead, first = order[keep], lead[keep], first[keep]
+        cols = [x[order] for x in (dig.view(np.int64), ids, rows, unit, num, before, after)] + [rows[lead], unit[lead], first]
         for i in range(0, len(order), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in cols], names=["digest", "rank", "row", "unit", "words", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in cols], names=["digest", "rank", "row", "unit", "words", "before", "after", "row0", "unit0", "first"])
 
     source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("rank"), row_key(key, text).alias("row"), F.col(text).alias("text"))
-    return source.mapInArrow(run, "digest long, rank long, row long, unit int, words int, first boolean")
+    return source.mapInArrow(run, "digest long, rank long, row long, unit int, words int, before int, after int, row0 long, unit0 int, first boolean")
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(row, removed): for each row with repeated passages the unit numbers to remove, as [first, last] pairs in order."""
+def _runs(docs: DataFrame, key: str, text: str, min_words: int, extend: bool) -> DataFrame:
+    """(row, a, b, words, head, tail): runs of repeats of units a to b that have ``min_words`` words, with ``extend`` counting the units beside them.
+
+    ``head`` and ``tail``: an earlier occurrence (row0, unit0) of the unit at either end, and the words ``near`` it in this row's next unit outwards.
+    """
     tune(docs.sparkSession)
     seen = checkpoint(_occurrences(docs, key, text))
     # equal ranks are copies of one unit in repeated rows: none of them is a repeat of another
-    nth = F.rank().over(Window.partitionBy("digest").orderBy("rank", "row", "unit"))
-    across = seen.where("first").select("row", "unit", "words", nth.alias("nth")).where("nth > 1").drop("nth")
-    again = across.unionAll(seen.where("not first").select("row", "unit", "words"))
-    # repeated rows yield a repeat twice
-    again = again.groupBy("row", "unit").agg(F.max("words").alias("words"))
+    order = Window.partitionBy("digest").orderBy("rank", "row", "unit")
+    lead = F.first(F.struct("row", "unit")).over(order)
+    across = seen.where("first").withColumns({"nth": F.rank().over(order), "lead": lead}).where("nth > 1")
+    kept = ["row", "unit", "words", "before", "after"]
+    again = across.select(*kept, "lead.row", "lead.unit").toDF(*kept, "row0", "unit0").unionAll(seen.where("not first").select(*kept, "row0", "unit0"))
+    # repeated rows yield a repeat twice; one exchange by row serves this and the steps below
+    again = again.repartition("row").groupBy("row", "unit").agg(*(F.max(c).alias(c) for c in kept[2:]), F.min(F.struct("row0", "unit0")).alias("of"))
     island = F.col("unit") - F.row_number().over(Window.partitionBy("row").orderBy("unit"))
-    runs = again.withColumn("island", island).groupBy("row", "island").agg(F.min("unit").alias("a"), F.max("unit").alias("b"), F.sum("words").alias("words")).where(F.col("words") >= min_words)
-    return runs.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("removed"))
+    end = lambda near: F.struct("of.row0", "of.unit0", F.col(near).alias("near"))
+    runs = again.withColumn("island", island).groupBy("row", "island").agg(
+        F.min("unit").alias("a"), F.max("unit").alias("b"), F.sum("words").alias("words"), F.min_by(end("before"), "unit").alias("head"), F.max_by(end("after"), "unit").alias("tail")
+    )
+    most = F.col("words") + F.col("head.near") + F.col("tail.near") if extend else F.col("words")
+    return runs.where(most >= min_words).drop("island")
+
 
+def _beside(tagged: DataFrame, runs: DataFrame, text: str) -> DataFrame:
+    """(row, a, b, words, side, found): both ends of ``runs``, with the words beside the earlier occurrence there, as many as could agree."""
+    ends = runs.select("row", "a", "b", "words", F.lit(False).alias("side"), "head.*").unionAll(runs.select("row", "a", "b", "words", F.lit(True), "tail.*"))
+    asked = ends.where("near > 0").groupBy("row0", "unit0", "side").agg(F.max("near").alias("near"))
+    asked = asked.groupBy(F.col("row0").alias("__bl_row")).agg(F.collect_list(F.struct("unit0", "side", "near")).alias("__bl_asked"))
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got: list[list] = [[], [], [], []]
+            for row, t, asks in zip(*(b.column(c).to_pylist() for c in ("__bl_row", text, "__bl_asked")), strict=True):
+                at = units(t)
+                for x in asks:
+                    s, e = at[x["unit0"]]
+                    if x["side"]:
+                        w = _bytes(t[e:]).split(None, x["near"])[: x["near"]]
+                    else:
+                        w = _bytes(t[:s]).rsplit(None, x["near"])[-x["near"] :]
+                    for c, v in zip(got, (row, x["unit0"], x["side"], b" ".join(w)), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(got, (pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["row0", "unit0", "side", "found"])
+
+    # all columns of the rows, so that their exchange is the one of the last join
+    found = tagged.join(asked, "__bl_row").mapInArrow(run, "row0 long, unit0 int, side boolean, found binary")
+    found = found.dropDuplicates(["row0", "unit0", "side"])
+    none = ends.where("near = 0").select("row", "a", "b", "words", "side", F.lit(None).cast("binary").alias("found"))
+    return ends.where("near > 0").join(found, ["row0", "unit0", "side"]).select(*none.columns).unionAll(none)
+
+
+def _bytes(t: str) -> bytes:
+    return t.encode("utf-8", "surrogatepass").lower()
+
+
+def _agree(t: str, unit: tuple[int, int], other: bytes, back: bool) -> tuple[int, int]:
+    """(words, code point): how many words of a unit agree with the ``other`` ones, counted from its start or ``back`` from its end, and where they end."""
+    mine, theirs = list(_WORDS.finditer(t, *unit)), other.split()
+    if back:
+        mine, theirs = mine[::-1], theirs[::-1]
+    n = 0
+    while n < min(len(mine), len(theirs)) and _bytes(mine[n][0]) == theirs[n]:
+        n += 1
+    return n, (mine[n - 1].start() if back else mine[n - 1].end()) if n else -1
+
+
+def _spans(t: str, runs: list[dict], min_words: int) -> tuple[list[tuple[int, int]], int]:
+    """The stretches to remove, in order and apart, and the whole units in them."""
+    at, out, k = units(t), [], 0
+    beside = {(r["a"], r["side"]): r["found"] for r in runs}
+    for a, b, words in sorted({(r["a"], r["b"], r["words"]) for r in runs}):
+        s, e = at[a][0], at[b][1]
+        if left := beside.get((a, False)):
+            n, where = _agree(t, at[a - 1], left, True)
+            words, s = words + n, where if n else s
+        if right := beside.get((a, True)):
+            n, where = _agree(t, at[b + 1], right, False)
+            words, e = words + n, where if n else e
+        if words < min_words:
+            continue
+        k += b - a + 1
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out, k
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, extend: bool = False) -> DataFrame:
     """All rows and columns of ``docs``, the text without repeated passages, and what was removed.
 
     ``removed_spans``: array of (start, end), code points of the original text;
@@ -123,13 +206,19 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     empty one empty, with no spans. Ids rank ascending, a null id first;
     repeated rows (equal id and text) are one document, so neither is taken for
     a repeat of the other; different texts under one id rank by a hash of the
-    text. A text that consists of repeats alone becomes empty and its row
+    text. ``extend``: runs grow word by word into the unit at either end; the
+    units counted are the whole ones. A text that consists of repeats alone becomes empty and its row
     stays. Input columns named as those added are replaced.
     """
     own = with_cleared(docs, "removed_spans", "removed_words", "removed_units", "__bl_row", "__bl_removed")
-    found = repeats(own, key, text, min_words)
     tagged = own.withColumn("__bl_row", row_key(key, text))
-    joined = tagged.join(found.select(F.col("row").alias("__bl_row"), F.col("removed").alias("__bl_removed")), "__bl_row", "left")
+    runs = _runs(own, key, text, min_words, extend)
+    if extend:
+        runs = _beside(tagged, checkpoint(runs), text)
+    else:
+        runs = runs.withColumns({"side": F.lit(False), "found": F.lit(None).cast("binary")})
+    found = runs.groupBy(F.col("row").alias("__bl_row")).agg(F.collect_list(F.struct("a", "b", "words", "side", "found")).alias("__bl_removed"))
+    joined = tagged.join(found, "__bl_row", "left")
     names = [c for c in own.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,9 +227,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
             for t, runs in zip(b.column(text).to_pylist(), b.column("__bl_removed").to_pylist(), strict=True):
                 cut, n, k = [], 0, 0
                 if runs and t:
-                    at = units(t)
-                    cut = [(at[r["a"]][0], at[r["b"]][1]) for r in runs]
-                    k = sum(r["b"] - r["a"] + 1 for r in runs)
+                    cut, k = _spans(t, runs, min_words)
                     n = sum(len(t[s:e].encode("utf-8", "surrogatepass").split()) for s, e in cut)
                     ends = [0, *[e for _, e in cut]]
                     t = "".join(t[e:s] for e, s in zip(ends, [*[s for s, _ in cut], len(t)], strict=True))

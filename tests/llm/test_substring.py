@@ -67,3 +67,29 @@ def test_repeated_rows_keep_their_text(spark):
     for parts in (1, 5):
         got = [(r.doc_id, r.text.strip()) for r in sub.deduplicate(docs.repartition(parts)).collect()]
         assert sorted(got, key=str) == sorted([(1, a), (1, a), (2, ""), (2, ""), (3, ""), (3, ""), (None, b), (None, b)], key=str)
+
+
+def test_passages_within_sentences_are_cut_whole(spark):
+    """A passage of 52 words planted after and before words without a full stop goes but for its first place; one of 40 stays."""
+    words = [f"w{i}" for i in range(52)]
+    passage = " ".join(w + ("." if i % 13 == 12 and i < 51 else "") for i, w in enumerate(words))
+    short = " ".join(f"v{i}" + ("." if i % 10 == 4 else "") for i in range(40))
+    rows = [(i, f"Start a{i} {passage} b{i} goes on {i}.\nLast c{i} {short} d{i} line") for i in range(6)]
+    rows += [(9, f"Begin 9\n{passage}\nEnd 9 it."), (9, f"Begin 9\n{passage}\nEnd 9 it.")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    for parts in (1, 5):
+        got = sub.deduplicate(docs.repartition(parts), extend=True).collect()
+        assert sorted((r.doc_id, r.text) for r in got) == sorted((i, t.replace(passage, "") if i else t) for i, t in rows)
+        assert {r.removed_words for r in got} == {0, 52}
+    from barline.llm.queries import op2_substring_dedup
+
+    out = {(r.doc_id, r.removed_words) for r in _query(spark, docs, op2_substring_dedup)}
+    assert out == {(0, 0), *((i, 52) for i in range(1, 6)), (9, 52)}
+
+
+def _query(spark, docs, query):
+    import tempfile
+
+    base = tempfile.mkdtemp(prefix="spark-")
+    docs.write.parquet(f"{base}/documents.parquet")
+    return query(spark, base).collect()
