@@ -8,6 +8,8 @@ shingles has Jaccard similarity J to it; with b bands of one row each the
 window's MinHash meets the template's in some band with probability
 1 - (1 - J)^b. ``bands_for`` picks b so that this is at least 1 - ``MISS``.
 Shingles of text and template then decide: no estimate enters the result.
+Templates of under five words are a single shingle, their whole word sequence,
+and are looked up word for word.
 """
 
 from __future__ import annotations
@@ -46,6 +48,22 @@ TEMPLATES = {
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
+#: Notices of further licences, and the one of under five words.
+MORE_TEMPLATES = {
+    "proprietary": ["All rights reserved."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License."],
+    "ISC": [
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC0-1.0": ["Licensed under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+}
+ALL_TEMPLATES = TEMPLATES | MORE_TEMPLATES
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + _PUNCTUATION, bytes(range(97, 123)) + b" " * len(_PUNCTUATION))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -100,6 +118,7 @@ class Scanner:
     def __init__(self, templates: dict[str, list[str]], contained: float = CONTAINED):
         self.contained = contained
         self.names, self.words, self.sets = [], [], []
+        self.short: list[tuple[str, list[bytes], int]] = []
         for name in sorted(templates):
             for t in templates[name]:
                 w = words_of(t)
@@ -107,6 +126,8 @@ class Scanner:
                     self.names.append(name)
                     self.words.append(w)
                     self.sets.append(set(zip(*(w[i:] for i in range(WIDTH)), strict=False)))
+                elif w:
+                    self.short.append((name, w, max(range(len(w)), key=lambda i: len(w[i]))))
         self.hashes = _Hashes()
         rng = np.random.default_rng(7)
         self.odd = rng.integers(1, 2**63, MAX_BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -185,8 +206,21 @@ class Scanner:
                         break
                     if len(shingles[d]):
                         self._verify(c, texts[d], max(0, lo - int(starts[d])), min(len(shingles[d]), hi - int(starts[d])), found[d])
+        for words, x in zip(texts, found, strict=True):
+            self._look_up(words, x)
         return [self._merged(x) for x in found]
 
+    def _look_up(self, words: list[bytes], found: dict[tuple[str, int], tuple[str, int, int, float]]) -> None:
+        """Short templates, by their longest word."""
+        for name, want, at in self.short:
+            for i in range(words.count(want[at])):
+                p = words.index(want[at], p + 1 if i else 0)
+                a = p - at
+                if a >= 0 and words[a : a + len(want)] == want:
+                    old = found.get((name, a))
+                    if old is None or (1.0, a + len(want) - 1) > (old[3], old[2]):
+                        found[name, a] = (name, a, a + len(want) - 1, 1.0)
+
     def _verify(self, c: _Class, words: list[bytes], lo: int, hi: int, found: dict[tuple[str, int], tuple[str, int, int, float]]) -> None:
         here = list(zip(*(words[lo + i : hi + i] for i in range(WIDTH)), strict=False))
         for m in c.members:
@@ -218,8 +252,8 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, key: st
 
     ``licenses``: the distinct licences found, sorted; ``matches``: array of
     (license, first_word, last_word, containment) in text order, words counted
-    after folding. Templates of under five words don't count. A null, empty or
-    short text has no match; repeated rows give the same; an empty table gives
+    after folding. Templates of under five words match as a whole. A null or empty
+    text has no match; repeated rows give the same; an empty table gives
     an empty result. ``templates`` is a bounded set held by every worker.
     """
     tune(docs.sparkSession)

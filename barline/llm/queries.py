@@ -54,9 +54,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from barline.llm.licenses import scan
+    from barline.llm.licenses import ALL_TEMPLATES, scan
 
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents"), ALL_TEMPLATES)
 
 
 def op4_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

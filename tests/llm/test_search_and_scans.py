@@ -98,3 +98,28 @@ def test_license_scan_of_tables(spark):
     got = {r.doc_id: r.licenses for r in licenses.scan(odd_documents(spark)).collect()}
     assert got[12] == ["MIT"] and got[4] == got[5] == got[10] == []
     assert licenses.scan(no_documents(spark)).count() == 0
+
+
+def test_every_licence_line_is_found(spark):
+    lines = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    }
+    base = f"{DATA}/sf0.01"
+    got = {r.doc_id: set(r.licenses) for r in QUERIES["op3_license_scan"](spark, base).collect()}
+    seen = set()
+    for r in spark.read.parquet(f"{base}/documents.parquet").collect():
+        want = {name for line, name in lines.items() if line in (r.text or "")}
+        assert want <= got[r.doc_id]
+        seen |= want
+    assert seen == set(lines.values())
+
+
+def test_every_template_is_found():
+    scanner = licenses.Scanner(licenses.ALL_TEMPLATES)
+    for name, ts in licenses.ALL_TEMPLATES.items():
+        for t in ts:
+            assert name in {m[0] for m in scanner.scan_many([f"{prose(30, 1)} {t} {prose(30, 2)}"])[0]}
+            assert scanner.scan_many([t])[0]
+    assert scanner.scan_many(["all rights. All rights RESERVED, reserved", "rights reserved all"]) == [[("proprietary", 2, 4, 1.0)], []]
+    assert all(c.bands < licenses.MAX_BANDS for c in scanner.classes)
