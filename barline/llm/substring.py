@@ -8,9 +8,9 @@ the lowest rank (doc_id, then position) is the first and stays. Repeats go
 where a run of consecutive repeats has at least ``min_words`` words: a passage
 is found wherever it stands in a line, and short sentences that occur twice by
 chance stay. With ``extend`` a run grows word by word into the units beside it,
-as far as they agree with what stands beside its first occurrence, and the
-words of the whole stretch count: a passage that starts or ends within a
-sentence is then cut whole.
+as far as they agree with what stands beside the first occurrence of its
+longest unit, and the words of the whole stretch count: a passage that starts
+or ends within a sentence is then cut whole.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.llm.common import checkpoint, tune, with_cleared
+from barline.llm.common import checkpoint, tune, with_cleared, written
 
 #: Words that a run of repeated units has at least, to be removed.
 MIN_WORDS = 50
@@ -112,10 +112,12 @@ def _occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
 def _runs(docs: DataFrame, key: str, text: str, min_words: int, extend: bool) -> DataFrame:
     """(row, a, b, words, head, tail): runs of repeats of units a to b that have ``min_words`` words, with ``extend`` counting the units beside them.
 
-    ``head`` and ``tail``: an earlier occurrence (row0, unit0) of the unit at either end, and the words ``near`` it in this row's next unit outwards.
+    ``head`` and ``tail``: where (row0, unit0) an earlier occurrence of the run has its first and last unit, and the
+    words ``near`` it in this row's next unit outwards. The occurrence is the first of the run's longest unit: a short
+    sentence is often found first in another passage.
     """
     tune(docs.sparkSession)
-    seen = checkpoint(_occurrences(docs, key, text))
+    seen = written(_occurrences(docs, key, text), "units")
     # equal ranks are copies of one unit in repeated rows: none of them is a repeat of another
     order = Window.partitionBy("digest").orderBy("rank", "row", "unit")
     lead = F.first(F.struct("row", "unit")).over(order)
@@ -125,12 +127,18 @@ def _runs(docs: DataFrame, key: str, text: str, min_words: int, extend: bool) ->
     # repeated rows yield a repeat twice; one exchange by row serves this and the steps below
     again = again.repartition("row").groupBy("row", "unit").agg(*(F.max(c).alias(c) for c in kept[2:]), F.min(F.struct("row0", "unit0")).alias("of"))
     island = F.col("unit") - F.row_number().over(Window.partitionBy("row").orderBy("unit"))
-    end = lambda near: F.struct("of.row0", "of.unit0", F.col(near).alias("near"))
+    longest = F.max_by(F.struct("of.row0", "of.unit0", "unit"), F.struct("words", -F.col("unit")))
     runs = again.withColumn("island", island).groupBy("row", "island").agg(
-        F.min("unit").alias("a"), F.max("unit").alias("b"), F.sum("words").alias("words"), F.min_by(end("before"), "unit").alias("head"), F.max_by(end("after"), "unit").alias("tail")
+        F.min("unit").alias("a"), F.max("unit").alias("b"), F.sum("words").alias("words"), F.min_by("before", "unit").alias("before"), F.max_by("after", "unit").alias("after"), longest.alias("of")
     )
-    most = F.col("words") + F.col("head.near") + F.col("tail.near") if extend else F.col("words")
-    return runs.where(most >= min_words).drop("island")
+    if not extend:
+        return runs.where(F.col("words") >= min_words).select("row", "a", "b", "words")
+    runs = runs.where(F.col("words") + F.col("before") + F.col("after") >= min_words).select("*", "of.*").drop("of")
+    # a partition's first occurrence leads on to the first of all
+    leads = across.select(F.col("row").alias("row0"), F.col("unit").alias("unit0"), F.col("lead.row").alias("lead_row"), F.col("lead.unit").alias("lead_unit")).dropDuplicates(["row0", "unit0"])
+    runs = runs.join(leads, ["row0", "unit0"], "left").withColumns({"row0": F.coalesce("lead_row", "row0"), "shift": F.coalesce("lead_unit", "unit0") - F.col("unit")})
+    end = lambda unit, near: F.struct("row0", (F.col(unit) + F.col("shift")).cast("int").alias("unit0"), F.col(near).alias("near"))
+    return runs.select("row", "a", "b", "words", end("a", "before").alias("head"), end("b", "after").alias("tail"))
 
 
 def _beside(tagged: DataFrame, runs: DataFrame, text: str) -> DataFrame:
@@ -145,11 +153,10 @@ def _beside(tagged: DataFrame, runs: DataFrame, text: str) -> DataFrame:
             for row, t, asks in zip(*(b.column(c).to_pylist() for c in ("__bl_row", text, "__bl_asked")), strict=True):
                 at = units(t)
                 for x in asks:
-                    s, e = at[x["unit0"]]
-                    if x["side"]:
-                        w = _bytes(t[e:]).split(None, x["near"])[: x["near"]]
-                    else:
-                        w = _bytes(t[:s]).rsplit(None, x["near"])[-x["near"] :]
+                    w = []
+                    if 0 <= x["unit0"] < len(at):  # outside of it the earlier text has nothing that could agree
+                        s, e = at[x["unit0"]]
+                        w = _bytes(t[e:]).split(None, x["near"])[: x["near"]] if x["side"] else _bytes(t[:s]).rsplit(None, x["near"])[-x["near"] :]
                     for c, v in zip(got, (row, x["unit0"], x["side"], b" ".join(w)), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(got, (pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["row0", "unit0", "side", "found"])

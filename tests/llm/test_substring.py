@@ -1,26 +1,85 @@
 from __future__ import annotations
 
+import pytest
+
+from barline.llm import common
 from barline.llm import substring as sub
 from tests.compare import DATA
 from tests.llm.fixtures import DOCS, no_documents, odd_documents, prose
 
 
-def brute(rows: list[tuple[int, str]], least: int) -> dict[int, list[tuple[int, int]]]:
-    first: dict[int, tuple[int, int]] = {}
-    for i, t in sorted(rows):
-        for u, (s, e) in enumerate(sub.units(t)):
-            first.setdefault(sub.digest(t[s:e])[0], (i, u))
+SPACE = " \t\n\v\f\r"
+
+
+def plain_units(text: str) -> list[tuple[int, int]]:
+    """Character by character: a unit ends before a line end, or after a full stop, question or exclamation mark with a blank behind it."""
+    out, start, k = [], 0, 0
+    while k < len(text):
+        stop = k > 0 and text[k - 1] in ".!?" and text[k].isspace() and text[k] != "\n"
+        if text[k] == "\n" or stop:
+            out.append((start, k))
+            while k < len(text) and text[k].isspace():
+                k += 1
+            start = k
+        else:
+            k += 1
+    out.append((start, len(text)))
+    return [(s, e) for s, e in out if text[s:e].strip(SPACE)]
+
+
+def plain_words(text: str) -> list[tuple[str, int, int]]:
+    """(word with A-Z lower-cased, start, end)."""
+    out, start = [], None
+    for k, c in enumerate(text + " "):
+        if c in SPACE:
+            if start is not None:
+                out.append(("".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in text[start:k]), start, k))
+            start = None
+        elif start is None:
+            start = k
+    return out
+
+
+def brute(rows: list[tuple[int, str]], least: int, extend: bool = False) -> dict[int, list[tuple[int, int]]]:
+    """The spans to go, by whole texts in memory; ids differ."""
+    texts = {i: t or "" for i, t in rows}
+    units = {i: [(s, e, [w for w, _, _ in plain_words(t[s:e])]) for s, e in plain_units(t)] for i, t in texts.items()}
+    first: dict[tuple[str, ...], tuple[int, int]] = {}
+    for i in sorted(texts):
+        for u, (_, _, w) in enumerate(units[i]):
+            first.setdefault(tuple(w), (i, u))
     out = {}
-    for i, t in rows:
-        us, runs, run = sub.units(t), [], []
-        for u in range(len(us) + 1):
-            if u < len(us) and first[sub.digest(t[us[u][0] : us[u][1]])[0]] != (i, u):
-                run.append(u)
-            else:
-                if run and sum(sub.digest(t[us[x][0] : us[x][1]])[1] for x in run) >= least:
-                    runs.append((us[run[0]][0], us[run[-1]][1]))
-                run = []
-        out[i] = runs
+    for i, us in units.items():
+        again, spans, u = [first[tuple(w)] != (i, u) for u, (_, _, w) in enumerate(us)], [], 0
+        while u < len(us):
+            if not again[u]:
+                u += 1
+                continue
+            a = u
+            while u < len(us) and again[u]:
+                u += 1
+            b, start, end = u - 1, us[a][0], us[u - 1][1]
+            n = sum(len(w) for _, _, w in us[a:u])
+            if extend:
+                longest = max(range(a, u), key=lambda k: (len(us[k][2]), -k))
+                j, v = first[tuple(us[longest][2])]
+                place = lambda k: k - longest + v if 0 <= k - longest + v < len(units[j]) else None  # noqa: B023, E731
+                if a > 0 and place(a) is not None:
+                    mine, theirs = plain_words(texts[i][us[a - 1][0] : us[a - 1][1]]), plain_words(texts[j][: units[j][place(a)][0]])
+                    while mine and theirs and mine[-1][0] == theirs[-1][0]:
+                        start, n = us[a - 1][0] + mine[-1][1], n + 1
+                        mine.pop(), theirs.pop()
+                if b + 1 < len(us) and place(b) is not None:
+                    mine, theirs = plain_words(texts[i][us[b + 1][0] : us[b + 1][1]])[::-1], plain_words(texts[j][units[j][place(b)][1] :])[::-1]
+                    while mine and theirs and mine[-1][0] == theirs[-1][0]:
+                        end, n = us[b + 1][0] + mine[-1][2], n + 1
+                        mine.pop(), theirs.pop()
+            if n >= least:
+                if spans and start <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
+                else:
+                    spans.append((start, end))
+        out[i] = spans
     return out
 
 
@@ -30,11 +89,12 @@ def test_units_keep_offsets():
     assert sub.digest("One  TWO.") == sub.digest(" one two. ") and sub.digest("É") != sub.digest("é")
 
 
-def test_removed_spans_by_brute_force(spark):
-    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+@pytest.mark.parametrize(("size", "extend"), [("sf0.001", False), ("sf0.001", True), ("sf0.01", True)])
+def test_removed_spans_by_brute_force(spark, size, extend):
+    docs = spark.read.parquet(f"{DATA}/{size}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    got = sub.deduplicate(docs).collect()
-    want = brute(rows, sub.MIN_WORDS)
+    got = sub.deduplicate(docs, extend=extend).collect()
+    want = brute(rows, sub.MIN_WORDS, extend)
     assert {r.doc_id: [(x.start, x.end) for x in r.removed_spans] for r in got} == want
     assert sum(map(bool, want.values())) > 10
     texts = dict(rows)
@@ -45,8 +105,36 @@ def test_removed_spans_by_brute_force(spark):
 
 def test_small_partitions_and_buffers_give_the_same(spark, monkeypatch):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
-    one = {r.doc_id: r.removed_spans for r in sub.deduplicate(docs).collect()}
-    assert one == {r.doc_id: r.removed_spans for r in sub.deduplicate(docs.repartition(13)).collect()}
+    for extend in (False, True):
+        one = {r.doc_id: r.removed_spans for r in sub.deduplicate(docs, extend=extend).collect()}
+        assert one == {r.doc_id: r.removed_spans for r in sub.deduplicate(docs.repartition(13), extend=extend).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(sub, "LOCAL_UNITS", 7)
+            m.setattr(common, "BATCH_ROWS", 20)
+            assert one == {r.doc_id: r.removed_spans for r in sub.deduplicate(docs, extend=extend).collect()}
+
+
+def test_short_sentences_do_not_hide_a_passage(spark):
+    """The passage starts with a sentence that stands earlier elsewhere; all of it is still compared with its own first place."""
+    passage = "Of. With. " + " ".join(f"w{i}" for i in range(30)) + ". " + " ".join(f"v{i}" for i in range(25))
+    rows = [(0, "Of. It. With. As."), *[(i, f"Begin a{i} b{i}. c{i} {passage} d{i} e{i}. End {i}.") for i in (1, 2, 3)]]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    got = {r.doc_id: r.text for r in sub.deduplicate(docs, extend=True).collect()}
+    assert got == {i: t if i < 2 else t.replace(passage, "") for i, t in rows}
+
+
+def test_passages_of_a_benchmark_go(spark):
+    """Every later occurrence of a benchmark passage of over 50 words, wherever it stands in a text."""
+    base, n = f"{DATA}/sf0.1", 0
+    docs = spark.read.parquet(f"{base}/documents.parquet").select("doc_id", "text")
+    long = [r.text for r in spark.read.parquet(f"{base}/benchmark.parquet").collect() if len(r.text.split()) > 50]
+    got = {r.doc_id: r.removed_spans for r in sub.deduplicate(docs, extend=True).select("doc_id", "removed_spans").collect()}
+    texts = sorted((r.doc_id, r.text) for r in docs.collect())
+    for p in long:
+        for i, k in [(i, t.index(p)) for i, t in texts if p in t][1:]:
+            assert any(x.start <= k and k + len(p) <= x.end for x in got[i])
+            n += 1
+    assert n > 10
 
 
 def test_odd_rows(spark):
