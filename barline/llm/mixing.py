@@ -1,18 +1,24 @@
 """Mixing to target weights by soft membership, with DataFrame and SQL functions only.
 
 A naive-Bayes classifier over hashed words, fitted on a labelled table, gives
-each document's domain posteriors p. Document rates r >= 0 are fitted by
-projected gradients to minimise
+each document's domain posteriors p. Document rates r >= 0 (or another least)
+are fitted by projected gradients to minimise
 
-    1/2 sum_d (s_d - t_d)^2 / (a_d T) + ridge/2 sum_i n_i (r_i - 1)^2 / T,
+    1/2 sum_d (s_d - t_d)^2 / a_d + ridge/2 sum_i n_i (r_i - 1)^2,
     s_d = sum_i n_i p_id r_i,
 
-where n_i are tokens, a_d natural shares, T all tokens and t_d the targets. In
-this scaling the curvature is that of a stochastic matrix, so a step of
-1 / (1 + ridge) always descends, and a rate's gradient needs only its own
-posteriors and one number for each domain. An iteration is one sum over a
-compact table; rates are never stored, they follow from the history of those
-numbers.
+where n_i are tokens, a_d natural totals and t_d the targets. The steps are
+summed and the sum is projected (lazy projection): a rate's gradient needs only
+its own posteriors and one number for each domain, so after any number of steps
+
+    r_i = max(least, 1 - p_i . l),    l the sum of the domains' numbers.
+
+Rates are never stored and no step is replayed: a round is one sum over a
+compact table. Steps are scaled by an estimate of the curvature among domains
+(quasi-Newton, on the driver: domains squared numbers), since overlapping
+domains and rates at their least make plain steps crawl. The rounds end where
+(s_d - t_d) / a_d = ridge l_d for every domain, which holds at the minimum and
+nowhere else; a fit that doesn't get there is an error.
 """
 
 from __future__ import annotations
@@ -27,7 +33,8 @@ from barline.llm.common import checkpoint, with_cleared
 BUCKETS, MAX_LABELLED, MAX_DOMAINS, BLANK = 1024, 20_000, 256, r"[\x20\x09-\x0D]+"
 #: Words' worth of evidence that a posterior counts at most; more would make all memberships hard.
 EVIDENCE = 50
-RIDGE, ROUNDS, CLOSE = 1e-4, 60, 1e-4
+#: CLOSE: how far from the minimum's condition a fit may end, as a share of a domain's natural total.
+RIDGE, ROUNDS, CLOSE = 1e-4, 1000, 1e-5
 
 
 def _exploded(docs: DataFrame, text: str, **keep: Column) -> DataFrame:
@@ -84,32 +91,70 @@ def posteriors(docs: DataFrame, names: list[str], weights: list[list[float]], ke
     return e.select("row", "doc_id", "tokens", F.expr("transform(e, x -> x / aggregate(e, 0D, (a, y) -> a + y))").alias("p"))
 
 
-def _rate(history: list[list[float]], ridge: float, least: float) -> Column:
-    """The rate after the steps so far, each projected to at least ``least``, from a document's posteriors."""
-    step = 1 / (1 + ridge)
-    if not history:
-        return F.lit(1.0)
-    dot = lambda u: F.aggregate(F.zip_with(F.col("p"), u, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(F.lit(history), F.lit(1.0), lambda r, u: F.greatest(F.lit(float(least)), r - F.lit(step) * (dot(u) + F.lit(ridge) * (r - 1))))
+def _dot(x: list[float], y: list[float]) -> float:
+    return sum(a * b for a, b in zip(x, y, strict=True))
+
+
+def _pull(steps: list[float]) -> Column:
+    """p . l of a document."""
+    return sum((F.get("p", F.lit(i)) * F.lit(float(x)) for i, x in enumerate(steps)), F.lit(0.0))
 
 
-def fit_rates(table: DataFrame, targets: list[float], ridge: float = RIDGE, rounds: int = ROUNDS, close: float = CLOSE, stalled: float = 1e-6, natural: list[float] | None = None, least: float = 0.0) -> tuple[Column, list[list[float]]]:
-    """The rate as an expression over ``p``, and the domain totals after each round (natural ones first).
+def fit_rates(table: DataFrame, targets: list[float], ridge: float = RIDGE, rounds: int = ROUNDS, close: float = CLOSE, natural: list[float] | None = None, least: float = 0.0) -> tuple[Column, list[list[float]]]:
+    """The rate as an expression over ``p`` of ``table`` (tokens, p), and the domain totals after each round (natural ones first).
 
-    Ends where every total is within ``close`` of its target, or where no total
-    moves by more than ``stalled`` of all tokens (the ridge keeps it off), or
-    after ``rounds``.
+    A domain without tokens takes no part. Raises ArithmeticError where
+    ``rounds`` don't bring every domain within ``close`` of the minimum's condition.
     """
     n = len(targets)
-    sums = lambda rate: [float(x or 0.0) for x in table.agg(*[F.sum(F.col("tokens") * F.get("p", F.lit(i)) * rate) for i in range(n)]).first()]
-    seen = [natural or sums(F.lit(1.0))]
-    history: list[list[float]] = []
-    while len(history) < rounds and any(abs(s - t) > close * max(t, 1.0) for s, t in zip(seen[-1], targets, strict=True)):
-        history.append([(s - t) / a if a else 0.0 for s, t, a in zip(seen[-1], targets, seen[0], strict=True)])
-        seen.append(sums(_rate(history, ridge, least)))
-        if max(abs(x - y) for x, y in zip(seen[-1], seen[-2], strict=True)) <= stalled * max(1.0, sum(seen[0])):
-            break
-    return _rate(history, ridge, least), seen
+    rate = lambda steps: F.greatest(F.lit(float(least)), F.lit(1.0) - _pull(steps))
+    shares = [F.col("tokens") * F.get("p", F.lit(i)) for i in range(n)]
+
+    def sums(*columns: Column) -> list[float]:
+        return [float(x or 0.0) for x in table.agg(*[F.sum(c) for c in columns]).first()]
+
+    natural = natural or sums(*shares)
+    size, scale = max(sum(natural), 1.0), [math.sqrt(a) for a in natural]
+
+    def at(point: list[float]) -> tuple[float, list[float], list[float]]:
+        """Dual value and its gradient at scaled steps, and the totals there."""
+        steps = [x / c if c else 0.0 for x, c in zip(point, scale, strict=True)]
+        r = rate(steps)
+        cost = F.col("tokens") * ((r - 1) * (r - 1) / 2 + r * _pull(steps))
+        *totals, spent = sums(*[c * r for c in shares], cost)
+        value = (-spent + _dot(targets, steps) + ridge / 2 * _dot(point, point)) / size
+        down = [(ridge * x - (s - t) / c) / size if c else 0.0 for x, s, t, c in zip(point, totals, targets, scale, strict=True)]
+        return value, down, totals
+
+    def off(down: list[float]) -> float:
+        return max((abs(g) * size / c for g, c in zip(down, scale, strict=True) if c), default=0.0)
+
+    point, seen = [0.0] * n, [natural]
+    value, down, totals = at(point)
+    metric = [[size / (1 + ridge) if i == j else 0.0 for j in range(n)] for i in range(n)]
+    while off(down) > close:
+        way = [-_dot(row, down) for row in metric]
+        slope, step, low, high = _dot(way, down), 1.0, 0.0, None
+        for _ in range(40):  # a step that descends enough and flattens enough
+            new = [x + step * w for x, w in zip(point, way, strict=True)]
+            new_value, new_down, totals = at(new)
+            seen.append(totals)
+            if new_value > value + 1e-4 * step * slope + 1e-13 * abs(value):
+                high = step
+            elif _dot(way, new_down) < 0.5 * slope:
+                low = step
+            else:
+                break
+            step = (low + high) / 2 if high else 2 * step
+        if len(seen) > rounds:
+            raise ArithmeticError(f"rates are {off(down):.2g} from their minimum after {rounds} rounds")
+        moved, bent = [x - y for x, y in zip(new, point, strict=True)], [x - y for x, y in zip(new_down, down, strict=True)]
+        point, value, down = new, new_value, new_down
+        if (along := _dot(moved, bent)) > 0:
+            turned = [_dot(row, bent) for row in metric]
+            grow = 1 / along + _dot(bent, turned) / along**2
+            metric = [[m + grow * moved[i] * moved[j] - (turned[i] * moved[j] + moved[i] * turned[j]) / along for j, m in enumerate(row)] for i, row in enumerate(metric)]
+    return rate([x / c if c else 0.0 for x, c in zip(point, scale, strict=True)]), seen
 
 
 def rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], key: str = "doc_id", text: str = "text", total: float | None = None) -> DataFrame:

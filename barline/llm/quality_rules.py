@@ -52,7 +52,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     hash chained over the words. Nothing is shuffled: everything happens within
     a row, so a very long text costs its own length (and its logarithm) only.
     """
-    own = with_cleared(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    own = with_cleared(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "__bl_s")
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(t, f"{BLANK}+"), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.regexp_like(x, F.lit(WORD)))
@@ -123,8 +123,8 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     ``labels`` (doc_id, quality) is the holdout. A null label or id, or an id
     without a document, doesn't count; a document whose id occurs several times
-    counts as often as rows match. A null stratum is a stratum of its own. A
-    stratum without enough good labels has no cutoffs and loses only what the
+    counts as often as rows match. A null stratum and an empty one are the
+    same. A stratum without enough good labels has no cutoffs and loses only what the
     base rules reject. Repeated rows are judged alike; an empty table gives an
     empty result. Texts are read once: what goes on is a small row for each.
     """
@@ -134,8 +134,9 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     held = stats.join(marks, "doc_id")
     cuts = thresholds(held, "stratum", "_label", risk, delta).collect()  # at most strata x statistics
     kept = ~F.col("base_failed")
-    for r in sorted(cuts):
-        kept = kept & ~((F.col("stratum") == r.stratum) & (F.expr(LADDERS[r.statistic]) > r.cutoff))
+    for k, e in LADDERS.items():  # one lookup for each statistic, however many strata there are
+        if by := [F.lit(x) for r in sorted(cuts) if r.statistic == k for x in (r.stratum, r.cutoff)]:
+            kept = kept & ~F.coalesce(F.expr(e) > F.try_element_at(F.create_map(*by), F.col("stratum")), F.lit(False))
     return stats.withColumn("kept", kept)
 
 
