@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import gc
 import json
+import re
 import struct
 import zlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -125,6 +127,8 @@ class ChunkEncoder:
     white space or the end of a run of letters: then the ids of a text are those
     of its chunks in order, of a chunk those of its A-Z lower-cased form, and of
     a chunk that ends in a letter and ASCII marks those of both parts in order.
+    Texts that hold the string of an added token, and all texts under a file of
+    other rules than ``RULES`` (``chunked`` is false), go to the library whole.
     Ids are kept as bytes, 4 each, which join fast and are no concern of the
     collector's. Two generations of them are kept: what is in use moves on.
     """
@@ -132,15 +136,24 @@ class ChunkEncoder:
     CHUNKS = 300_000
     MARKS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
     _LOWER = {i: i + 32 for i in range(65, 91)}
+    #: The steps of a tokenizers file that chunks rely on.
+    RULES = (
+        [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    )
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tok.get_vocab_size()
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        rules = json.loads(self.tok.to_str())
+        found = [(rules[k] or {}).get(v, [None]) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        self.chunked = (found[0], found[1][0]) == self.RULES
+        added = [re.escape(t["content"]) for t in rules["added_tokens"]]
+        self.added = re.compile("|".join(added), re.IGNORECASE).search if added else lambda text: None
 
     def _encode_words(self, words: list[str]) -> None:
         """Runs of letters, many in one call, told apart by the pieces' numbers; where those don't tally, they are left to the caller."""
@@ -160,14 +173,18 @@ class ChunkEncoder:
         return (base, low[len(base) :]) if base[-1:].isalpha() else (low, "")
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
+        whole = {i for i, t in enumerate(texts) if not self.chunked or self.added(t)}
+        chunks = [[] if i in whole else t.replace("\n", " ").split(" ") for i, t in enumerate(texts)]
         gc.disable()  # nothing here is cyclic, and the collector would walk all chunks again and again
         try:
             self._learn(chunks)
         finally:
             gc.enable()
-        for x in chunks:
-            yield np.frombuffer(b"".join(map(self.cache.__getitem__, x)), dtype=np.uint32)
+        for i, x in enumerate(chunks):
+            if i in whole:
+                yield np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, dtype=np.uint32)
+            else:
+                yield np.frombuffer(b"".join(map(self.cache.__getitem__, x)), dtype=np.uint32)
 
     def _learn(self, chunks: list[list[str]]) -> None:
         """Puts all chunks into the cache."""
@@ -210,63 +227,62 @@ def chunk_encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def write(docs: DataFrame, make: Callable[[], Callable[[list[str]], Iterator[np.ndarray]]], vocabulary: int, end_id: int | None, folder: str | None = None, key: str = "doc_id", text: str = "text", file_rows: int = 20_000) -> tuple[str, int]:
+def write(docs: DataFrame, make: Callable[[], Callable[[list[str]], Iterator[np.ndarray]]], vocabulary: int, end_id: int | None, folder: str | None = None, key: str = "doc_id", text: str = "text", file_rows: int = 20_000, file_ids: int = 1 << 26) -> tuple[str, int]:
     """Writes the ids of all ``docs`` in ascending doc_id order; returns the folder and the number of files.
 
     ``make`` gives, in a worker, a function from texts to their ids; ``end_id``
-    is appended to every document. Files cover consecutive ranges of doc_id, of
-    ``file_rows`` rows each on average; the ranges come from quantiles of the
-    ids alone, so texts are encoded once and only packed ids are shuffled. Null
-    ids come first, as the smallest 64-bit integer; rows of one id stand in the
-    order of a hash of their text. A null text counts as empty.
+    is appended to every document. Partitions cover consecutive ranges of
+    (doc_id, hash of the text), of about ``file_rows`` rows each, whose bounds
+    come from a range partitioning of those two numbers alone: texts are
+    encoded once, and only packed ids are shuffled. A partition is a file, or
+    several where it has more than ``file_ids`` ids, which bounds what a task
+    holds. Null ids come first, as the smallest 64-bit integer; rows of one id
+    stand in the order of a hash of their text. A null text counts as empty.
     """
     spark = tune(docs.sparkSession)
     folder, bits = folder or new_folder(spark, "tokens"), bits_for(vocabulary)
-    low = -(2**63)
-    ids = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(low)).alias("doc_id"))
-    rows = ids.count()
+    source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tie"))
+    rows = source.count()
     files = max(1, -(-rows // file_rows))
-    cuts = sorted({int(x) for x in ids.select(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 10 * files).alias("q")).first().q}) if files > 1 else []
-    part = F.lit(0)
-    if cuts:  # a doc_id is in the file of the last cut below it
-        part = F.expr(f"array_size(filter(array({', '.join(f'{c}L' for c in cuts)}), c -> c < doc_id))") if len(cuts) <= 64 else F.expr(_bisect(cuts, 0, len(cuts)))
+    cuts: list[tuple[int, int]] = []  # the greatest (doc_id, tie) of each partition but the last: two numbers for each file
+    if files > 1:
+        ends = source.select("doc_id", "tie").repartitionByRange(files, "doc_id", "tie").groupBy(F.spark_partition_id()).agg(F.max(F.struct("doc_id", "tie")).alias("end"))
+        cuts = sorted((r.end.doc_id, r.end.tie) for r in ends.collect())[:-1]
+    bounds = spark.sparkContext.broadcast(cuts)
 
     def tokens(b: pa.RecordBatch) -> pa.RecordBatch:
         tail = [] if end_id is None else [end_id]
         got = [np.append(x, tail).astype(np.uint32) for x in make()([t or "" for t in b.column(1).to_pylist()])]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(x) for x in got], pa.int64()), pa.array([pack(x, bits) for x in got], pa.binary())], names=["doc_id", "tie", "n", "ids"])
+        part = [bisect_left(bounds.value, x) for x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(part, pa.int32()), pa.array([pack(x, bits) for x in got], pa.binary()), pa.array([len(x) for x in got], pa.int64())], names=["doc_id", "tie", "part", "ids", "n"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 yield tokens(b)
 
-    source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(low)).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
-    packed = source.mapInArrow(encoded, "doc_id long, tie long, n long, ids binary").withColumn("part", part.cast("int"))
-    dealt = packed.repartition(files, "part").sortWithinPartitions("part", "doc_id", "tie")
+    packed = source.mapInArrow(encoded, "doc_id long, tie long, part int, ids binary, n long")
+    dealt = packed.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("doc_id", "tie")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, at = SharedFiles(folder), None
-        w = FileWriter(bits)
+        out, w, part, nth = SharedFiles(folder), FileWriter(bits), 0, 0
         for b in batches:
-            for p, d, n, data in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "n", "ids")), strict=True):
-                if p != at:
-                    if at is not None:
-                        out.put(f"{at:06d}.tok", w.parts())
-                        yield told(at, w.n)
-                    at, w = p, FileWriter(bits)
+            for part, d, n, data in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "n", "ids")), strict=True):
+                if w.n >= file_ids:
+                    yield put(out, w, part, nth)
+                    w, nth = FileWriter(bits), nth + 1
                 w.add(d, unpack(data, n, bits))
-        if at is not None:
-            out.put(f"{at:06d}.tok", w.parts())
-            yield told(at, w.n)
+        if w.docs:
+            yield put(out, w, part, nth)
 
-    def told(part: int, n: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
+    def put(out: SharedFiles, w: FileWriter, part: int, nth: int) -> pa.RecordBatch:
+        out.put(_file(part, nth), w.parts())
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([nth], pa.int32()), pa.array([w.n], pa.int64())], names=["part", "nth", "n"])
 
-    counts = sorted((r.part, r.n) for r in dealt.mapInArrow(written, "part int, n long").collect())  # a row for each file
+    counts = sorted(map(tuple, dealt.mapInArrow(written, "part int, nth int, n long").collect()))  # three numbers for each file
     listed, total = [], 0
-    for p, n in counts:
-        listed.append([f"{p:06d}.tok", total])
+    for part, nth, n in counts:
+        listed.append([_file(part, nth), total])
         total += n
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest.json")
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
@@ -275,12 +291,8 @@ def write(docs: DataFrame, make: Callable[[], Callable[[list[str]], Iterator[np.
     return folder, len(counts)
 
 
-def _bisect(cuts: list[int], lo: int, hi: int) -> str:
-    """SQL for the number of cuts below doc_id, as a balanced tree of comparisons."""
-    if lo == hi:
-        return str(lo)
-    mid = (lo + hi) // 2
-    return f"if(doc_id > {cuts[mid]}L, {_bisect(cuts, mid + 1, hi)}, {_bisect(cuts, lo, mid)})"
+def _file(part: int, nth: int) -> str:
+    return f"{part:06d}-{nth:03d}.tok"
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
