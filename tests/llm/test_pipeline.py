@@ -28,7 +28,7 @@ def test_stages_by_brute_force(spark):
     assert {r.doc_id for r in one.collect()} == want and one.columns == docs.columns
 
     cut = {r.doc_id: r for r in passages(spark, one, base).collect()}
-    spans = brute_repeats([(i, rows[i].text) for i in sorted(want)], substring.MIN_WORDS)
+    spans = brute_repeats([(i, rows[i].text) for i in sorted(want)], substring.MIN_WORDS, extend=True)
     for i, s in spans.items():
         assert cut[i].text == "".join(c for k, c in enumerate(rows[i].text) if not any(a <= k < b for a, b in s)) and cut[i].n_chars == (len(cut[i].text) if s else rows[i].n_chars)
 
