@@ -17,6 +17,7 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from barline.llm.common import tune, with_cleared
 
 #: Pieces and states that one worker remembers (about 200 MB together); beyond these it starts afresh.
 PIECES, STATES = 250_000, 250_000
+#: Tokens that are decoded in one step.
+DECODED = 1024
 _SHIFT, _LOW = 20, (1 << 20) - 1
 
 
@@ -211,14 +214,11 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
-    def decode_bytes(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocab.__getitem__, ids))
-
-    def decode_stream(self, ids: Iterator[int]) -> Iterator[str]:
-        """Text token by token; a character whose bytes spread over tokens comes with its last."""
-        utf8 = Utf8Stream()
-        for i in ids:
-            if got := utf8.feed(self.vocab[i]):
+    def decode_stream(self, ids: Iterable[int], together: int = 1) -> Iterator[str]:
+        """Text token by token, or ``together`` tokens at a time; a character whose bytes spread over two steps comes with the later."""
+        utf8, ids = Utf8Stream(), iter(ids)
+        while some := list(islice(ids, together)):
+            if got := utf8.feed(b"".join(map(self.vocab.__getitem__, some))):
                 yield got
         if got := utf8.close():
             yield got
@@ -236,8 +236,21 @@ class Utf8Stream:
         self.need, self.low, self.high, self.value = 0, 0x80, 0xBF, 0
 
     def feed(self, data: bytes) -> str:
-        if not self.need and data.isascii():
-            return data.decode("ascii")
+        out = []
+        while self.need and data:  # the rest of a character first
+            head, data = data[: self.need], data[self.need :]
+            out.append(self._bytewise(head))
+        if data.isascii():
+            return "".join([*out, data.decode("ascii")])
+        # whole characters at once; the machine takes the last, which may be cut off, and whatever is ill-formed
+        cut = next((len(data) - i for i in (1, 2, 3) if i <= len(data) and data[-i] >= 0xC0), len(data))
+        try:
+            out += [data[:cut].decode(), self._bytewise(data[cut:])]
+        except UnicodeDecodeError:
+            out.append(self._bytewise(data))
+        return "".join(out)
+
+    def _bytewise(self, data: bytes) -> str:
         out = []
         need, low, high, value = self.need, self.low, self.high, self.value
         for b in data:
@@ -284,7 +297,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", *, ids:
 
     ``path``: a tiktoken rank file that every executor can open. Special tokens
     are ordinary text. A null text counts as empty: no tokens, the digests of
-    no bytes. Repeated rows stay. Input columns named as those added are
+    no bytes. ``decoded_sha256`` is of the UTF-8 of what the streaming decoder
+    gives back. Repeated rows stay. Input columns named as those added are
     replaced. An empty table gives an empty result.
     """
     tune(docs.sparkSession)
@@ -300,7 +314,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", *, ids:
                 a = np.frombuffer(data, "<u4")
                 n.append(len(a))
                 sums.append(hashlib.sha256(data).hexdigest())
-                back.append(hashlib.sha256(c.decode_bytes(a.tolist())).hexdigest())
+                decoded = hashlib.sha256()
+                for part in c.decode_stream(a.tolist(), DECODED):
+                    decoded.update(part.encode())
+                back.append(decoded.hexdigest())
                 if ids:
                     toks.append(a.astype(np.int32))
             cols = [pa.array(toks, pa.list_(pa.int32()))] if ids else []

@@ -27,6 +27,7 @@ def reference():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+LIBRARY = Tokenizer.from_file(WORDS)
 CODEC = bpe.Codec(bpe.load_ranks(RANKS), P.PATTERN)
 
 
@@ -38,7 +39,7 @@ def test_bpe_of_any_text(text):
         test_bpe_of_any_text.enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     ids = CODEC.encode(text)
     assert ids == test_bpe_of_any_text.enc.encode_ordinary(text)
-    assert "".join(CODEC.decode_stream(iter(ids))) == text
+    assert "".join(CODEC.decode_stream(iter(ids))) == "".join(CODEC.decode_stream(ids, 3)) == text
 
 
 def test_transducer_emits_early(reference):
@@ -70,6 +71,14 @@ def test_utf8_stream(parts, step):
     assert "".join(u.feed(data[i : i + step]) for i in range(0, len(data), step)) + u.close() == data.decode("utf-8", "replace")
 
 
+def test_the_query_decodes_by_the_stream(spark, monkeypatch):
+    """decoded_sha256 is of what the state machine gave, however few tokens it gets at a time."""
+    docs = odd_documents(spark)
+    one = {(r.doc_id, r.decoded_sha256) for r in bpe.digests(docs, RANKS, P.PATTERN).collect()}
+    monkeypatch.setattr(bpe, "DECODED", 2)
+    assert one == {(r.doc_id, r.decoded_sha256) for r in bpe.digests(docs, RANKS, P.PATTERN).collect()}
+
+
 def test_bpe_query(spark, reference):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").unionByName(odd_documents(spark).select("doc_id", "text", "lang", "source", "n_chars"))
     texts = {(r.doc_id, r.text) for r in docs.collect()}
@@ -129,4 +138,37 @@ def test_several_files_in_order(spark):
 @given(st.lists(st.text(st.one_of(st.sampled_from("abcÉé'.,!# 12\nÅİẞ"), st.characters(exclude_categories=["Cs"])), max_size=30), max_size=5))
 def test_chunks_are_whole_texts(texts):
     enc = token_io.chunk_encoder(WORDS)
-    assert [x.tolist() for x in enc.encode(texts)] == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in enc.encode(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_strings_of_special_tokens_are_as_the_library_has_them():
+    enc = token_io.chunk_encoder(WORDS)
+    texts = ["hello <|endoftext|> world", "a<|endoftext|>b", "<|ENDOFTEXT|>", "<|startoftext|>x.", "it's <|endoftext|", "<|endoftext|>" * 3, "plain"]
+    assert [x.tolist() for x in enc.encode(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert next(enc.encode(texts[:1])).tolist() == [3306, 49407, 1002]
+
+
+def test_other_tokenizers_get_whole_texts():
+    """A file whose rules the chunks don't rely on."""
+    path = P.path("byte_bpe_50k.json")
+    enc, tok = token_io.ChunkEncoder(path), Tokenizer.from_file(path)
+    texts = ["Hello  World\n again", "", "x <|endoftext|> y"]
+    assert not enc.chunked and [x.tolist() for x in enc.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_files_of_odd_rows(spark):
+    """Null and repeated ids, clashing columns, files cut within one id and by their size."""
+    docs = odd_documents(spark).selectExpr("*", "1 AS n", "2 AS part", "3 AS tie", "4 AS ids")
+    rows = docs.collect()
+    want = sorted((-(2**63) if r.doc_id is None else r.doc_id, len(LIBRARY.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in rows)
+    for size in (20_000, 3):
+        folder, n = token_io.write(docs, lambda: token_io.chunk_encoder(WORDS).encode, 49408, 2, file_rows=size)
+        got = sorted((-(2**63) if r.doc_id is None else r.doc_id, r.start, r.n_tokens) for r in token_io.read(spark, folder).collect())
+        assert [(d, k) for d, _, k in got] == want
+        assert sorted(s for _, s, _ in got) == np.cumsum([0, *[k for _, _, k in sorted(got, key=lambda x: x[1])]])[:-1].tolist()
+    nulls = spark.createDataFrame([(None, f"text {i} of many") for i in range(300)], "doc_id long, text string")
+    folder, n = token_io.write(nulls, lambda: token_io.chunk_encoder(WORDS).encode, 49408, 2, file_rows=40)
+    assert n > 3 and token_io.read(spark, folder).count() == 300
+    folder, n = token_io.write(nulls.coalesce(1), lambda: token_io.chunk_encoder(WORDS).encode, 49408, 2, file_ids=500)
+    got = sorted((r.start, r.n_tokens) for r in token_io.read(spark, folder).collect())
+    assert n > 2 and all(a[0] + a[1] == b[0] for a, b in zip(got[:-1], got[1:], strict=True))
