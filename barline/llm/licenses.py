@@ -97,7 +97,7 @@ def shingle_hashes(h: np.ndarray, width: int = WIDTH) -> np.ndarray:
 
 def bands_for(jaccard: float, miss: float = MISS) -> int:
     """Bands of one row that miss a pair of this similarity with probability ``miss`` at most."""
-    return min(MAX_BANDS, max(1, int(np.ceil(np.log(miss) / np.log(1 - min(jaccard, 1 - 1e-6))))))
+    return max(1, int(np.ceil(np.log(miss) / np.log(1 - min(jaccard, 1 - 1e-6)))))
 
 
 @dataclass
@@ -143,6 +143,8 @@ class Scanner:
             window = -(-(longest + stride - 1) // stride) * stride  # some window holds any stretch of the longest's length whole
             worst = contained * low / (window + (1 - contained) * low)
             bands = bands_for(worst)
+            if bands > MAX_BANDS:
+                raise ValueError(f"{bands} bands are needed for a containment of {contained}, more than {MAX_BANDS}")
             marks = [np.unique([self._band(self._shingles(self.words[i]), b).min() for i in members]) for b in range(bands)]
             table = np.zeros((bands, 1 << 16), dtype=bool)
             for b, m in enumerate(marks):
@@ -222,16 +224,26 @@ class Scanner:
                         found[name, a] = (name, a, a + len(want) - 1, 1.0)
 
     def _verify(self, c: _Class, words: list[bytes], lo: int, hi: int, found: dict[tuple[str, int], tuple[str, int, int, float]]) -> None:
+        """Places in shingles lo to hi of a text: a template's shingle from which on as many shingles as it has hold enough of them.
+
+        That depends on the text alone; a place cut off by hi is whole in the
+        range of the window that holds it whole.
+        """
         here = list(zip(*(words[lo + i : hi + i] for i in range(WIDTH)), strict=False))
         for m in c.members:
             want = self.sets[m]
-            places = [lo + i for i, x in enumerate(here) if x in want]
-            share = len({here[p - lo] for p in places}) / len(want)
-            if share >= self.contained:
-                hit = (self.names[m], places[0], places[-1] + WIDTH - 1, share)
-                old = found.get((self.names[m], places[0]))
-                if old is None or (share, hit[2]) > (old[3], old[2]):
-                    found[self.names[m], places[0]] = hit
+            places = [i for i, x in enumerate(here) if x in want]
+            if len(places) < self.contained * len(want):
+                continue
+            size = len(self.words[m]) - WIDTH + 1
+            for k, p in enumerate(places):
+                held = [q for q in places[k : k + size] if q < p + size]
+                share = len({here[q] for q in held}) / len(want)
+                if share >= self.contained:
+                    hit = (self.names[m], lo + p, lo + held[-1] + WIDTH - 1, share)
+                    old = found.get(hit[:2])
+                    if old is None or (share, hit[2]) > (old[3], old[2]):
+                        found[hit[:2]] = hit
 
     def _merged(self, found: dict[tuple[str, int], tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
         best: list[tuple[str, int, int, float]] = []
