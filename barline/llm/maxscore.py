@@ -26,8 +26,20 @@ PROBED = 8
 
 
 def quantised(x: Column, scale: int) -> Column:
-    """floor(scale * component) of every component as long."""
-    return F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("long"))
+    """floor(scale * component) of every component as long; an error beyond its range."""
+    whole = lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("long")
+    fits = lambda c: F.abs(F.lit(float(scale)) * c.cast("double")) < float(2**62)
+    return F.transform(x, lambda c: F.when(fits(c), whole(c)).otherwise(F.raise_error(F.lit("a component is beyond 2^62")).cast("long")))
+
+
+def _exact(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``shard_topk`` in Python's whole numbers, for a shard whose sums may pass 63 bits."""
+    whole = vectors.astype(object)
+    for qid, q in zip(query_ids.tolist(), queries.astype(object), strict=True):
+        best = sorted((-int(s), i) for s, i in zip(whole @ q, ids.tolist(), strict=True) if i != qid)[:k]
+        if any(not -(2**63) <= -s < 2**63 for s, _ in best):
+            raise OverflowError("a score is beyond 64 bits")
+        yield qid, np.array([i for _, i in best], dtype=np.int64), np.array([-s for s, _ in best], dtype=np.int64)
 
 
 def shard_topk(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -35,6 +47,10 @@ def shard_topk(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, quer
     order = np.argsort(ids)
     ids, vectors = ids[order], vectors[order]
     low, high = vectors.min(axis=0), vectors.max(axis=0)
+    most = lambda x: max(abs(int(x.min(initial=0))), abs(int(x.max(initial=0))))
+    if 4 * most(vectors) * most(queries) * max(1, vectors.shape[1]) >= 2**62:
+        yield from _exact(ids, vectors, query_ids, queries, k)
+        return
     span = high - low
     up, down = np.ascontiguousarray((vectors - low).T), np.ascontiguousarray((high - vectors).T)
     n, dims = vectors.shape
@@ -80,19 +96,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_i
     ``queries`` and ``vectors`` have an id and an array column. Scores are exact
     integer inner products of components floor(scale * x); a shorter vector
     counts as filled up with zeros. Rows without an id, null vectors and those
-    with a null or non-finite component take no part. Rows that repeat an id
-    count once, with the greatest of their vectors. Components are below 2^22
-    in size. Fewer than k other vectors give as many rows; empty tables none.
+    with a null or non-finite component take no part. Vectors that repeat an id
+    are candidates each, but for the id's own query; queries that repeat one
+    count once, with the greatest of their vectors. Scores are exact at any
+    size; components beyond 2^62 / scale and scores beyond 64 bits are errors.
+    Fewer than k other vectors give as many rows; empty tables none.
     """
     spark = tune(vectors.sparkSession)
 
     def usable(df: DataFrame) -> DataFrame:
         c = F.col(column)
         odd = F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-        rows = df.where(F.col(key).isNotNull() & c.isNotNull() & ~odd).select(F.col(key).cast("long").alias("id"), quantised(c, scale).alias("v"))
-        return rows.groupBy("id").agg(F.max("v").alias("v"))
+        return df.where(F.col(key).isNotNull() & c.isNotNull() & ~odd).select(F.col(key).cast("long").alias("id"), quantised(c, scale).alias("v"))
 
-    found, asked = checkpoint(usable(vectors)), checkpoint(usable(queries))
+    found, asked = checkpoint(usable(vectors)), checkpoint(usable(queries).groupBy("id").agg(F.max("v").alias("v")))
     n, nq = found.count(), asked.count()
     # some shards for every task slot, but none above its limit
     width = min(shard, max(1024, -(-n // (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))))

@@ -49,10 +49,77 @@ def test_topk_of_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (None, [9.0, 9.0]), (5, [1.0]), (6, [1.0, 2.0]), (6, [1.0, 2.0]), (50, [])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, RANK int")
     got = sorted(map(tuple, maxscore.search(df, df.where("vec_id % 50 = 0")).collect()))
-    assert got == [(0, 1, 6, 256 * 256 * 5), (0, 2, 5, 256 * 256), (0, 3, 50, 0), (50, 1, 0, 0), (50, 2, 5, 0), (50, 3, 6, 0)]
+    five = 256 * 256 * 5  # both vectors of id 6 are candidates
+    assert got == [(0, 1, 6, five), (0, 2, 6, five), (0, 3, 5, 256 * 256), (0, 4, 50, 0), (50, 1, 0, 0), (50, 2, 5, 0), (50, 3, 6, 0), (50, 4, 6, 0)]
     assert maxscore.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_of_large_vectors(spark):
+    """Exact whole numbers where sums pass what doubles or 64 bits hold; an error where a score does."""
+    rows = [(0, [1e6, 1e8, -1e8]), (1, [1e6, 0.0, 3.0]), (2, [-1e7, 1.0, 1.0]), (3, [1.0, 1e9, 1e9]), (4, [0.25, 2e6, 1e6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = [(i, [int(np.floor(256 * x)) for x in e]) for i, e in rows]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = [(0, n + 1, i, -s) for n, (s, i) in enumerate(sorted((-dot(v[0][1], w), i) for i, w in v[1:]))]
+    assert sorted(map(tuple, maxscore.search(df, df.where("vec_id = 0")).collect())) == want
+    for bad in (1e12, 1e300):
+        worse = spark.createDataFrame([*rows, (5, [bad, bad, bad])], df.schema)
+        with pytest.raises(Exception, match="beyond"):
+            maxscore.search(worse, worse.where("vec_id = 5")).collect()
+
+
+def brute_places(text: str, templates: dict[str, list[str]]) -> list[tuple[str, int, int, float]]:
+    """Every stretch of as many shingles as a template has, from one of its shingles on, that holds four fifths of them; overlapping ones of a licence joined."""
+    w, hits = licenses.words_of(text), []
+    s = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    for name, ts in templates.items():
+        for t in ts:
+            tw = licenses.words_of(t)
+            n = len(tw) - 4
+            if n < 1:
+                hits += [(name, a, a + len(tw) - 1, 1.0) for a in range(len(w) - len(tw) + 1) if w[a : a + len(tw)] == tw]
+                continue
+            want = {tuple(tw[i : i + 5]) for i in range(n)}
+            for a in range(len(s)):
+                held = [q for q in range(a, min(a + n, len(s))) if s[q] in want]
+                if s[a] in want and len({s[q] for q in held}) >= licenses.CONTAINED * len(want):
+                    hits.append((name, a, held[-1] + 4, len({s[q] for q in held}) / len(want)))
+    out: list[list] = []
+    for h in sorted(hits):
+        if out and out[-1][0] == h[0] and h[1] <= out[-1][2]:
+            out[-1][2:] = [max(out[-1][2], h[2]), max(out[-1][3], h[3])]
+        else:
+            out.append(list(h))
+    return sorted(map(tuple, out), key=lambda x: (x[1], x[0]))
+
+
+def test_places_do_not_depend_on_batches(spark):
+    """Notices close to each other, cut off, edited or repeated, behind texts of any length."""
+    r, every = random.Random(5), [(n, t) for n, ts in licenses.ALL_TEMPLATES.items() for t in ts]
+    texts = []
+    for k in range(150):
+        a, b = r.choice(every)[1].split(), r.choice(every)[1].split()
+        if k % 3 == 0:
+            a[r.randrange(len(a))] = "edited"
+        if k % 4 == 0:
+            b = b[: -(-len(b) * 9 // 10)]
+        texts.append(" ".join([prose(r.randrange(0, 14), k), *a, prose(r.randrange(0, 5), k + 500), *b, *(a if k % 5 == 0 else [])]))
+    want = [brute_places(t, licenses.ALL_TEMPLATES) for t in texts]
+    scanner = licenses.Scanner(licenses.ALL_TEMPLATES)
+    assert [scanner.scan_many([t])[0] for t in texts] == want
+    for shift in range(1, 14):
+        assert scanner.scan_many([prose(shift + 4, shift), *texts])[1:] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS licenses", "2 AS matches", "3 AS N_MATCHES")
+    for parts in (1, 3, 13):
+        got = {r.doc_id: [tuple(m) for m in r.matches] for r in licenses.scan(docs.repartition(parts), licenses.ALL_TEMPLATES).collect()}
+        assert got == dict(enumerate(want))
+
+
+def test_a_containment_beyond_the_bands_is_an_error():
+    with pytest.raises(ValueError, match="bands"):
+        licenses.Scanner(licenses.TEMPLATES, contained=0.2)
+
+
 def brute_scan(text: str, templates: dict[str, list[str]]) -> set[str]:
     """Licences of which some stretch holds four fifths of a template's shingles."""
     w, out = licenses.words_of(text), set()
