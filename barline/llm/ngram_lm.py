@@ -55,6 +55,10 @@ class Model:
     groups: int = 1
     hot: list[tuple[int, int]] = field(default_factory=list)  # contexts with groups of their own, and how many
     spans: dict[int, int] = field(default_factory=dict)  # T of these contexts
+    written: bytes = b""  # a bit for each group of the second level: whether it has entries
+
+    def has(self, group: int) -> bool:
+        return group >> 3 < len(self.written) and bool(self.written[group >> 3] >> (7 - (group & 7)) & 1)
 
     @property
     def size(self) -> int:
@@ -128,10 +132,8 @@ class Reader:
 
     def part(self, g: int) -> dict | None:
         if g not in self.parts:
-            try:
-                a = elias_fano.load(self.files.local(f"pairs-{g:06d}"))
-            except FileNotFoundError:
-                a = None
+            # a group that was written and can't be read is an error, never an empty one
+            a = elias_fano.load(self.files.local(f"pairs-{g:06d}")) if self.m.has(g) else None
             self.parts[g] = a and {"first": int(a["first"][0]), "ptr": elias_fano.EliasFano(a, "ptr"), "succ": elias_fano.EliasFano(a, "succ"), "code": a["code"]}
         return self.parts[g]
 
@@ -331,8 +333,12 @@ def train(texts: DataFrame, text: str = "text") -> Model:
         return pa.table({"part": pa.array([g], pa.int32()), "context": pa.array([int(kinds[0])], pa.int64()), "n": pa.array([len(key)], pa.int64())})
 
     built = rows.mapInArrow(pairs, "part int, data binary").groupBy("part").applyInArrow(pair_group, "part int, context long, n long")
-    for r in built.where(F.col("part") >= model.groups).collect() if model.hot else built.agg(F.count("*")).collect() and []:
-        model.spans[r.context] = model.spans.get(r.context, 0) + r.n
+    written = np.zeros(model.groups + sum(n for _, n in model.hot), dtype=bool)
+    for r in built.collect():  # three numbers for each group
+        written[r.part] = True
+        if r.part >= model.groups:
+            model.spans[r.context] = model.spans.get(r.context, 0) + r.n
+    model.written = np.packbits(written).tobytes()
     return model
 
 

@@ -80,3 +80,21 @@ def test_odd_rows(spark):
 def test_held_out_text_is_likelier_than_by_unigrams(spark):
     got = [r for r in ngram_lm.score(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+def test_a_lost_file_is_an_error(spark):
+    """Not an empty group, which would change scores without a sign."""
+    import glob
+    import os
+
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    model = ngram_lm.train(docs)
+    folder = model.folder.removeprefix("file://")
+    found = sorted(glob.glob(f"{folder}/pairs-*"))
+    assert sum(model.has(g) for g in range(8 * len(model.written))) == len(found)
+    texts = [r.text for r in docs.limit(20).collect()]
+    whole = ngram_lm.Reader(model).score(texts)
+    assert len(whole) == 20
+    os.rename(found[0], f"{found[0]}-gone")
+    with pytest.raises(FileNotFoundError):
+        ngram_lm.Reader(model).score(texts)
