@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees
 
     got = map_arrow(rows, "doc_id long, y int, x array<double>", run)
     # an id that repeats in docs could exceed the bound: as many of its rows are left out
-    got = sorted((r.doc_id, r.y, r.x) for r in got.orderBy("doc_id", "y").limit(2 * max_rows).collect())
+    got = sorted((r.doc_id, r.y, r.x) for r in got.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(2 * max_rows).collect())
     x = np.array([r[2] for r in got], dtype=np.float64).reshape(-1, len(FEATURES))
     return fit(x, np.array([r[1] for r in got], dtype=np.float64))
 
