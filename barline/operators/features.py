@@ -48,6 +48,20 @@ class Feature:
         return (out if self.digits is None else stable_round(out, self.digits)).alias(self.name)
 
 
+def limited_ffill(df: DataFrame, key: str, order: str, column: str, limit: int) -> DataFrame:
+    """A missing value takes the last one of at most ``limit`` rows before."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(-limit, 0)
+    return df.withColumn(column, F.last(column, ignorenulls=True).over(w))
+
+
+def long_ratios(long: DataFrame, pairs: list[tuple[str, str, str]], keys: tuple[str, ...] = ("ticker", "date_start", "date_end")) -> DataFrame:
+    """Ratios (over, under, name) of the fields of a long table, all from one pivot, as long rows; none where a field is missing or NULL."""
+    fields = sorted({f for a, b, _ in pairs for f in (a, b)})
+    wide = long.groupBy(*keys).pivot("field", fields).agg(F.first("value"))
+    made = [F.when(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull(), F.struct(F.lit(n).alias("field"), F.try_divide(F.col(f"`{a}`"), F.col(f"`{b}`")).alias("value"))) for a, b, n in pairs]
+    return wide.select(*keys, F.explode(F.array(*made)).alias("r")).where("r is not null").select(*keys, "r.field", "r.value")
+
+
 def with_features(df: DataFrame, key: str | list[str], order: str, features: Iterable[Feature]) -> DataFrame:
     w = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(order)
     return df.select("*", *[f.column(w) for f in features])

@@ -47,14 +47,15 @@ def merge_sleeves(sleeves: DataFrame, limited: str, most: int = 10, cap: int = 5
     return kept.withColumn("rank", F.dense_rank().over(Window.partitionBy("date").orderBy(best)).cast("long")).where(F.col("rank") <= cap)
 
 
-def sticky(candidates: DataFrame, keep: int, pool: int | None = None, threshold: float | None = None, model: str = "model_id") -> DataFrame:
+def sticky(candidates: DataFrame, keep: int, pool: int | None = None, threshold: float | None = None, model: str = "model_id", first: int | None = None) -> DataFrame:
     """Portfolios that hold on to what they have: (model_id, date, ticker, pred, held).
 
     Each date's candidates are the ``pool`` best by ``pred``; with a threshold,
     those at least at min(threshold, the pool's last prediction). Previous
-    holdings among them come first, then the best others, up to ``keep``.
-    Membership depends on the date before, so a model's dates run in order in
-    one task; at most ``pool`` rows a date reach it, whatever the universe.
+    holdings among them come first, then the best others, up to ``keep``
+    (``first`` on the first date). Membership depends on the date before, so a
+    model's dates run in order in one task; ``pool`` rows a date reach it,
+    with a threshold all those above it.
     """
     pool = pool or keep
     w = Window.partitionBy(model, "date").orderBy(F.desc("pred"), "ticker")
@@ -64,7 +65,7 @@ def sticky(candidates: DataFrame, keep: int, pool: int | None = None, threshold:
     else:
         floor = F.least(F.lit(threshold), F.min(F.when(F.col("_n") <= pool, F.col("pred"))).over(Window.partitionBy(model, "date")))
         cut = ranked.withColumn("_floor", floor).where(F.col("pred") >= F.col("_floor"))
-    return _in_order(cut.select(F.col(model).alias("model_id"), "date", "ticker", "pred"), keep)
+    return _in_order(cut.select(F.col(model).alias("model_id"), "date", "ticker", "pred"), keep, first or keep)
 
 
 def low_turnover(lists: DataFrame, keep: int, listed: int, model: str = "model_id") -> DataFrame:
@@ -72,13 +73,13 @@ def low_turnover(lists: DataFrame, keep: int, listed: int, model: str = "model_i
     return sticky(lists, keep, listed, model=model)
 
 
-def _in_order(rows: DataFrame, keep: int) -> DataFrame:
+def _in_order(rows: DataFrame, keep: int, first: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         held: set[str] = set()
         out = []
         for _, day in pdf.sort_values(["date", "pred", "ticker"], ascending=[True, False, True]).groupby("date", sort=True):
             day = day.assign(held=day["ticker"].isin(held))
-            day = day.sort_values("held", ascending=False, kind="stable").head(keep)
+            day = day.sort_values("held", ascending=False, kind="stable").head(keep if out else first)
             held = set(day["ticker"])
             out.append(day)
         return pd.concat(out) if out else pdf.assign(held=False)

@@ -140,8 +140,29 @@ def grid(spark: SparkSession, **ranges: tuple[int, int]) -> DataFrame:
 
 
 def sample_draws(names: list[str], draws: int, k: int, spark: SparkSession, seed: int = 1) -> DataFrame:
-    """(draw, variable): k different names for each draw, by a seeded hash."""
+    """(draw, variable): k different names for each draw, in the order of a seeded hash."""
     pool = spark.createDataFrame([(n,) for n in names], "variable string")
     all_ = spark.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(pool))  # the pool is a literal list
-    n = F.row_number().over(Window.partitionBy("draw").orderBy(F.xxhash64("draw", "variable", F.lit(seed)), "variable"))
+    n = F.row_number().over(Window.partitionBy("draw").orderBy(F.md5(F.concat_ws("-", "draw", "variable", F.lit(seed)).cast("binary")), "variable"))
     return all_.withColumn("_n", n).where(F.col("_n") <= k).drop("_n")
+
+
+def reindex(df: DataFrame, key: str, order: str) -> DataFrame:
+    """A row for every key and every value of ``order``, NULL where ``df`` has none.
+
+    The values (dates, say) are one array in a one-row broadcast: what grows is
+    the result alone.
+    """
+    values = df.agg(F.array_sort(F.collect_set(order)).alias("_all"))
+    full = df.select(key).distinct().join(F.broadcast(values)).select(key, F.explode("_all").alias(order))  # one row
+    return full.join(df, [key, order], "left")
+
+
+def project_unless(df: DataFrame, columns: list[str], present: list[str]) -> DataFrame:
+    """Those of ``columns`` that ``df`` has and ``present`` lacks, in their order."""
+    return df.select(*[c for c in columns if c in df.columns and c not in present])
+
+
+def drop_null_rows(df: DataFrame, how: str = "any", subset: list[str] | None = None) -> DataFrame:
+    """Rows without a null in any (``how``: in all) of the columns; NaN counts as null."""
+    return df.dropna(how, subset=subset)

@@ -112,10 +112,10 @@ def valuation_monthly(spark: SparkSession, d: str) -> DataFrame:
     return v.groupBy("ticker", F.trunc("date", "month").alias("_m")).agg(F.last_day(F.max("date")).alias("date"), *[stable_round(F.avg(c), 2).alias(c) for c in ("ev", "evebit", "marketcap", "pb", "pe", "ps")]).drop("_m")
 
 
-@query("SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0")
+@query("SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark: SparkSession, d: str) -> DataFrame:
     e = read_table(spark, d, "events", ["event_id", "event_type", "props"])
-    return e.select("event_id", "event_type", F.from_json("props", "k long").getField("k").alias("k")).where("k % 2 = 0")
+    return e.select("event_id", "event_type", F.from_json("props", "k long").getField("k").alias("k"))
 
 
 @query("""WITH b AS (SELECT symbol, time_open AS time_close, close, high, low FROM {{ohlc}}),

@@ -119,10 +119,13 @@ def eav_pivot(spark: SparkSession, d: str) -> DataFrame:
     return rel.pivot_long(weekly(spark, d), ["ticker", "date_start", "date_end"], ["closeadj_close", "volume_avg"])
 
 
-@query("SELECT date, round(avg(px_close) FILTER (ticker = 'Brand#11'), 6) AS \"Brand#11\", round(avg(px_close) FILTER (ticker = 'Brand#12'), 6) AS \"Brand#12\" FROM {{months}} GROUP BY date")
+BRANDS = [f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)]
+
+
+@query("SELECT date, " + ", ".join(f"round(avg(px_close) FILTER (ticker = '{b}'), 6) AS \"{b}\"" for b in BRANDS) + " FROM {{months}} GROUP BY date")
 def pivot_mean(spark: SparkSession, d: str) -> DataFrame:
     long = months(spark, d).select("date", F.col("ticker").alias("field"), F.col("px_close").alias("value"))
-    return rounded(rel.pivot_long(long, ["date"], ["Brand#11", "Brand#12"], "avg"))
+    return rounded(rel.pivot_long(long, ["date"], BRANDS, "avg"))
 
 
 @query("UNPIVOT (SELECT ticker, datekey, " + ", ".join(FUND) + " FROM {{fundamentals}}) ON " + ", ".join(FUND) + " INTO NAME field VALUE value")

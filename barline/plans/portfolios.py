@@ -98,7 +98,7 @@ def ptf(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT ticker, date, next_month_return, round(combo_rank, 6) AS combo_rank, ptf_rank FROM {{ptf}}")
 def combo_topn(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ptf(spark, d))
+    return rounded(ptf(spark, d), 6, "next_month_return")
 
 
 @query("""SELECT ticker, date, round(percentile_rank, 9) AS percentile_rank, ptf_count FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY percentile_rank, ticker) AS ptf_count FROM
@@ -264,21 +264,47 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     return panel(spark, d).where("px_pct_3m is not null").select(F.lit("m").alias("model_id"), "date", "ticker", F.col("px_pct_3m").alias("pred"))
 
 
-@query()
+def _in_turn(listed: str, first: int, keep: int) -> str:
+    """SQL of portfolios that hold on to names: a date after the other, lists in the order of predictions."""
+    return f"""SELECT * FROM (WITH RECURSIVE c AS (SELECT date, ticker, pred, row_number() OVER (PARTITION BY date ORDER BY pred DESC, ticker) AS n FROM (SELECT date, ticker, px_pct_3m AS pred FROM {{{{panel}}}} WHERE px_pct_3m IS NOT NULL)),
+        l AS (SELECT date, list(ticker ORDER BY n) AS names, row_number() OVER (ORDER BY date) AS k FROM ({listed}) GROUP BY date),
+        s AS (SELECT k, date, names[1:{first}] AS now, names[1:0] AS old FROM l WHERE k = 1 UNION ALL
+          SELECT l.k, l.date, list_concat(list_filter(l.names, lambda x: list_contains(s.now, x)), list_filter(l.names, lambda x: NOT list_contains(s.now, x)))[1:{keep}], s.now FROM s JOIN l ON l.k = s.k + 1),
+        u AS (SELECT date, unnest(now) AS ticker, old FROM s)
+        SELECT 'm' AS model_id, u.date, u.ticker, round(c.pred, 6) AS pred, list_contains(u.old, u.ticker) AS held FROM u JOIN c ON c.date = u.date AND c.ticker = u.ticker)"""
+
+
+# sizes that bind on 25 tickers; as with 50 and 51 names, the first date has one less than those after it
+@query(_in_turn("SELECT c.* FROM c JOIN (SELECT date, least(.05, min(pred) FILTER (n <= 7)) AS floor FROM c GROUP BY date) f USING (date) WHERE pred >= floor", 6, 7))
 def sticky_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return _held(pf.sticky(_candidates(spark, d), 6, 12, threshold=0.05))
+    return _held(pf.sticky(_candidates(spark, d), 7, threshold=0.05, first=6))
 
 
-@query()
+@query(_in_turn("SELECT * FROM c WHERE n <= 13", 6, 7))
 def sticky_top101(spark: SparkSession, d: str) -> DataFrame:
-    return _held(pf.sticky(_candidates(spark, d), 51, 101))
+    return _held(pf.sticky(_candidates(spark, d), 7, 13, first=6))
 
 
-@query()
+@query(_in_turn("SELECT * FROM c WHERE n <= 12", 6, 6))
 def low_turnover(spark: SparkSession, d: str) -> DataFrame:
     return _held(pf.low_turnover(_candidates(spark, d), 6, 12))
 
 
+FIXED, FREE = ["px_pct_1m", "pe", "marketcap"], ["pb", "ps", "px_pct_3m", "px_pct_6m"]
+view("five_ranks", " UNION ALL ".join(f"SELECT date, ticker, next_month_return, '{v}' AS variable, {_avg_rank(v)} AS rank FROM {{{{panel}}}} WHERE {v} IS NOT NULL" for v in FIXED + FREE))
+_FIVES = ", ".join(f"('{a}-{b}', '{x}')" for i, a in enumerate(FREE) for b in FREE[i + 1 :] for x in (a, b, *FIXED))
+view("five", f"""SELECT model_id, date, ticker, next_month_return FROM (SELECT *, row_number() OVER (PARTITION BY model_id, date ORDER BY combo_rank, ticker) AS n FROM (
+    SELECT model_id, date, ticker, avg(rank) AS combo_rank, any_value(next_month_return) AS next_month_return FROM {{{{five_ranks}}}} JOIN (VALUES {_FIVES}) m(model_id, variable) USING (variable) GROUP BY model_id, date, ticker HAVING count(rank) = 5)) WHERE n <= {N}""")
+
+
+@query(f"WITH pp AS (SELECT * FROM {{{{five}}}}), {_returns('pp', 'model_id')} SELECT model_id, date, round(r, 6) AS next_month_return, turnover, round(total_return_idx, 4) AS total_return_idx FROM z")
+def combo_sweep_five(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of free variables with three fixed ones."""
+    names = spark.createDataFrame([(v,) for v in FREE], "variable string")
+    out = pf.combo_sweep(pf.long_ranks(panel(spark, d), FIXED + FREE, "next_month_return"), rel.combos(names, 2, FIXED), N, COST)
+    return out.select("model_id", "date", stable_round("next_month_return", 6).alias("next_month_return"), "turnover", stable_round("total_return_idx", 4).alias("total_return_idx"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of every three-factor combination: prices to monthly bars, returns, ranks, portfolios, indices."""
     return rounded(pf.performance(swept_returns(spark, d), start=12, by=["model_id"]), 5)

@@ -46,14 +46,14 @@ view("fund_monthly", f"""WITH f AS (SELECT ticker, datekey, last_day(datekey) AS
     r AS (SELECT *, debt - cashneq AS netdebt FROM h),
     q AS (SELECT *, round(ebit / nullif(revenue, 0), 3) AS ebitmargin, round(debt / nullif(ebit, 0), 3) AS debt_ebit, round(netdebt / nullif(ebit, 0), 3) AS netdebt_ebit, round(coalesce(intexp, 0) / nullif(ebit, 0), 3) AS interest_ebit, round(capex / nullif(assets, 0), 3) AS capex_asset, round(equity / nullif(assets, 0), 3) AS equity_asset FROM r)
     SELECT ticker, date, pe, ps, round(netdebt, 2) AS netdebt, ebitmargin, debt_ebit, netdebt_ebit, interest_ebit, capex_asset, equity_asset, round(revenue / nullif(lag(revenue, 12) OVER w, 0) - 1, 5) AS revenue_yoy, round(ebit / nullif(lag(ebit, 12) OVER w, 0) - 1, 5) AS ebit_yoy,
-      round(ebitmargin - lag(ebitmargin, 12) OVER w, 5) AS ebitmargin_dyoy, round(pe / nullif(lag(pe, 3) OVER w, 0) - 1, 5) AS pe_3mom, round(debt_ebit - lag(debt_ebit, 3) OVER w, 4) AS debt_ebit_d3mom, round(pe / nullif((revenue / nullif(lag(revenue, 12) OVER w, 0) - 1) * 100, 0), 4) AS peg FROM q WINDOW w AS (PARTITION BY ticker ORDER BY date)""")
+      round(ebitmargin - lag(ebitmargin, 12) OVER w, 5) AS ebitmargin_dyoy, round(pe / nullif(lag(pe, 3) OVER w, 0) - 1, 5) AS pe_3mom, round(debt_ebit - lag(debt_ebit, 3) OVER w, 4) AS debt_ebit_d3mom, round(pe / nullif((revenue / nullif(lag(revenue, 12) OVER w, 0) - 1) * 100, 0), 4) AS peg, round(ps / nullif((revenue / nullif(lag(revenue, 12) OVER w, 0) - 1) * 100, 0), 4) AS psg FROM q WINDOW w AS (PARTITION BY ticker ORDER BY date)""")
 
 
 @query("SELECT * FROM {{fund_monthly}}")
 def fund_monthly(spark: SparkSession, d: str) -> DataFrame:
     m = fd.monthly(src.fundamentals(spark, d), valuation_months(spark, d), FUND, negatives=["intexp"])
     out = fd.lagged(fd.ratios(m), KINDS)
-    digits = {"netdebt": 2, "revenue_yoy": 5, "ebit_yoy": 5, "ebitmargin_dyoy": 5, "pe_3mom": 5, "debt_ebit_d3mom": 4, "peg": 4}
+    digits = {"netdebt": 2, "revenue_yoy": 5, "ebit_yoy": 5, "ebitmargin_dyoy": 5, "pe_3mom": 5, "debt_ebit_d3mom": 4, "peg": 4, "psg": 4}
     keep = ["ebitmargin", "debt_ebit", "netdebt_ebit", "interest_ebit", "capex_asset", "equity_asset"]
     return out.select("ticker", "date", "pe", "ps", *keep, *[stable_round(c, n).alias(c) for c, n in digits.items()])
 
@@ -115,15 +115,19 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return st.run_available(st.dedup_stream(ticks.unionByName(ticks), ["event_id"])).select("event_id", "id")
 
 
-@query()
+@query("""WITH t AS (SELECT id, timestamp, coalesce(timestamp > lag(timestamp) OVER (PARTITION BY id ORDER BY timestamp) + INTERVAL 10 MINUTE, true) AS starts FROM {{ticks}}),
+    s AS (SELECT id, timestamp, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY id ORDER BY timestamp) AS k FROM t) SELECT id, min(timestamp) AS "start", max(timestamp) + INTERVAL 10 MINUTE AS "end", count(*) AS num FROM s GROUP BY id, k""")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     from barline import streaming as st
 
-    return st.run_available(st.session_stream(st.event_stream(spark, d), "10 minutes"))
+    out = st.run_available(st.session_stream(st.event_stream(spark, d), "10 minutes"), "complete")
+    return out.select("id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "num")
 
 
-@query()
+@query("""WITH t AS (SELECT id, timestamp, prices, coalesce(last_value(CASE WHEN prices >= 60 THEN 1 WHEN prices <= 40 THEN 0 END IGNORE NULLS) OVER (PARTITION BY id ORDER BY timestamp), 0) AS position FROM {{ticks}}),
+    b AS (SELECT *, coalesce(lag(position) OVER (PARTITION BY id ORDER BY timestamp), 0) AS before FROM t) SELECT id, timestamp, prices, CAST(position AS INTEGER) AS position FROM b WHERE position <> before""")
 def stream_positions(spark: SparkSession, d: str) -> DataFrame:
     from barline import streaming as st
 
-    return st.run_available(st.position_stream(st.event_stream(spark, d), 60.0, 40.0), "append")
+    out = st.run_available(st.position_stream(st.event_stream(spark, d), 60.0, 40.0), "append")
+    return out.select("id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "prices", "position")

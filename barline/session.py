@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -27,3 +29,18 @@ def get_session(app: str = "barline", cores: int | str | None = None, **conf: st
         "spark.ui.showConsoleProgress": "false",
     } | conf
     return SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=settings).getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir; in local mode a temporary one where that is unset. It goes with the session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster's driver and executors need a folder that they share")
+        base = f"file://{tempfile.mkdtemp(prefix='barline-')}"
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return folder

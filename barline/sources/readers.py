@@ -70,3 +70,14 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", form: str = "
     if form == "csv":
         w = w.option("header", "true")
     (w.partitionBy(*by) if by else w).save(path)
+
+
+def truncate(spark: SparkSession, path: str) -> None:
+    """Leaves a Parquet table without rows, with its columns."""
+    spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
+
+
+def append_log(spark: SparkSession, path: str, kind: str, status: str, message: str) -> None:
+    """A row (kind, status, message, at) for a run or an error, appended."""
+    row = spark.createDataFrame([(kind, status, message)], "kind string, status string, message string")
+    row.withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barline.operators.relational import insert_new
+from barline.session import shared_folder
 
 
 def event_stream(spark: SparkSession, base: str, files_per_batch: int = 1) -> DataFrame:
@@ -46,16 +45,16 @@ def position_stream(ticks: DataFrame, up: float, down: float) -> DataFrame:
     """Position changes (id, timestamp, prices, position) as prices cross two levels; the position is the state of an id."""
 
     def step(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pos = state.get[0] if state.exists else 0
-        rows = []
-        for r in pd.concat(list(frames)).sort_values("timestamp").itertuples():
-            new = 1 if r.prices >= up else 0 if r.prices <= down else pos
-            if new != pos:
-                rows.append((key[0], r.timestamp, r.prices, new))
-                pos = new
-        state.update((pos,))
-        if rows:
-            yield pd.DataFrame(rows, columns=["id", "timestamp", "prices", "position"])
+        before = state.get[0] if state.exists else 0
+        ticks = pd.concat(list(frames)).sort_values("timestamp")
+        price = ticks["prices"].to_numpy(dtype=float)
+        told = (price >= up) | (price <= down)  # the ticks that say what the position is from there on
+        last = np.maximum.accumulate(np.where(told, np.arange(len(price)), -1))
+        position = np.where(last >= 0, price[last] >= up, before).astype("int32")
+        state.update((int(position[-1]),))
+        change = position != np.r_[before, position[:-1]]
+        if change.any():
+            yield ticks.loc[change, ["id", "timestamp", "prices"]].assign(position=position[change])
 
     return ticks.groupBy("id").applyInPandasWithState(step, "id string, timestamp timestamp, prices double, position int", "position int", "append", GroupStateTimeout.NoTimeout)
 
@@ -78,9 +77,21 @@ def upsert_batch(path: str, keys: list[str]):
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns its rows as a batch table."""
-    spark, name, folder = stream.sparkSession, f"s{uuid.uuid4().hex[:12]}", tempfile.mkdtemp(prefix="barline-stream-")
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
+    """Runs a stream over what is there and returns its rows as a batch table.
+
+    Batches go to Parquet in the shared folder, a repeated one over itself, with
+    the checkpoint beside them; of a complete-mode stream the last one counts.
+    """
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
+    last = -1
+
+    def put(batch: DataFrame, number: int) -> None:
+        nonlocal last
+        last = max(last, number)
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/b{number:06d}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    shutil.rmtree(folder, ignore_errors=True)
-    return spark.table(name)
+    if last < 0:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows/b{last:06d}" if mode == "complete" else f"{folder}/rows/b*")

@@ -122,8 +122,8 @@ def test_low_turnover(spark):
 def test_sticky_keeps_51_by_default_rule_of_callers(spark):
     rows = [("m", d, f"t{i:03d}", float((i * 37 + k * 11) % 200)) for k, d in enumerate(D[:3]) for i in range(200)]
     df = spark.createDataFrame(rows, "model_id string, date date, ticker string, pred double")
-    out = portfolio.sticky(df, 51, 101)
-    assert [r["count"] for r in out.groupBy("date").count().collect()] == [51] * 3
+    out = portfolio.sticky(df, 51, 101, first=50)
+    assert [r["count"] for r in out.groupBy("date").count().orderBy("date").collect()] == [50, 51, 51]
     assert out.where("held").count() > 0
 
 
