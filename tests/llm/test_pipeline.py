@@ -5,6 +5,7 @@ from collections import Counter
 import corpus_pipeline
 from barline.llm import quality_rules, simhash, substring
 from tests.compare import DATA
+from tests.llm.fixtures import no_labels, odd_documents
 from tests.llm.test_near_duplicates import brute, plain_fingerprint
 from tests.llm.test_quality import plain_statistics
 from tests.llm.test_substring import brute as brute_repeats
@@ -38,3 +39,18 @@ def test_stages_by_brute_force(spark):
     out = corpus_pipeline.run(spark, base).collect()
     assert Counter(r.doc_id for r in out) == mixed and all(len(r.tokens) == r.n_tokens for r in out)
     assert simhash.MAX_BITS == 3
+
+
+def test_odd_rows_and_empty_tables(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns through the whole chain; no rows, no result."""
+    for name, docs in (("odd", odd_documents(spark)), ("none", odd_documents(spark).limit(0))):
+        base = str(tmp_path / name)
+        docs.write.parquet(f"{base}/documents.parquet")
+        no_labels(spark).write.parquet(f"{base}/labels.parquet")
+        out = corpus_pipeline.run(spark, base)
+        assert {"doc_id", "text", "tokens", "n_tokens"} <= set(out.columns)
+        got = Counter(r.doc_id for r in out.collect())
+        if name == "none":
+            assert not got
+        else:  # too short: 4 to 7; repetitive: 10, 13, 14; copies of 1: 2, and 3 unless it is over three bits away
+            assert {1, 8, 9, None, 12} <= set(got) and not {2, 4, 5, 6, 7, 10, 13, 14} & set(got)
