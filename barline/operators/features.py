@@ -54,6 +54,38 @@ def limited_ffill(df: DataFrame, key: str, order: str, column: str, limit: int)
     return df.withColumn(column, F.last(column, ignorenulls=True).over(w))
 
 
+def akima_fill(df: DataFrame, key: str, date: str, column: str) -> DataFrame:
+    """Gaps between two known values take Akima's cubic over the days; leading and trailing ones stay.
+
+    A point's gradient comes from the slopes of two segments on either side,
+    those beyond the ends by going on with the last two; two points make a line.
+    One exchange by key: known rows are windows within its partitions.
+    """
+    x = F.unix_date(date)
+    known = Window.partitionBy(key, "_known").orderBy(date)
+    whole = known.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    slopes = df.repartition(key).withColumn("_known", F.col(column).isNotNull()).withColumn("_h", F.lead(x).over(known) - x)
+    slopes = slopes.withColumn("_m", (F.lead(column).over(known) - F.col(column)) / F.col("_h"))
+    slopes = slopes.withColumns({"_a": F.lag("_m", 2).over(known), "_b": F.lag("_m").over(known), "_d": F.lead("_m").over(known)})
+    at = slopes.withColumns({
+        "_f": F.first("_m").over(whole), "_g": F.coalesce(F.nth_value("_m", 2).over(whole), F.first("_m").over(whole)),
+        "_p": F.last("_m", True).over(whole), "_q": F.coalesce(F.last(F.when(F.col("_d").isNotNull(), F.col("_m")), True).over(whole), F.last("_m", True).over(whole)),
+    })
+    before, after = 2 * F.col("_f") - F.col("_g"), 2 * F.col("_p") - F.col("_q")
+    ends = at.withColumns({
+        "_a": F.coalesce("_a", F.when(F.col("_b").isNull(), 3 * F.col("_f") - 2 * F.col("_g")).otherwise(before)), "_b": F.coalesce("_b", before),
+        "_c": F.coalesce("_m", after), "_d": F.coalesce("_d", F.when(F.col("_m").isNull(), 3 * F.col("_p") - 2 * F.col("_q")).otherwise(after)),
+    }).withColumns({"_u": F.abs(F.col("_d") - F.col("_c")), "_v": F.abs(F.col("_b") - F.col("_a"))})
+    both = F.col("_u") + F.col("_v")
+    gradient = F.when(both > 1e-9 * F.max(both).over(whole), (F.col("_u") * F.col("_b") + F.col("_v") * F.col("_c")) / both).otherwise((F.col("_a") + F.col("_d")) / 2)
+    bent = ends.withColumn("_t", gradient).withColumn("_n", F.lead("_t").over(known))
+    piece = F.when(F.col("_known"), F.struct(x.alias("x"), F.col(column).alias("y"), F.col("_h").alias("h"), F.col("_m").alias("m"), F.col("_t").alias("t"), F.col("_n").alias("n")))
+    out = bent.withColumn("_s", F.last(piece, True).over(Window.partitionBy(key).orderBy(date)))
+    s, t, m, n, h = x - F.col("_s.x"), F.col("_s.t"), F.col("_s.m"), F.col("_s.n"), F.col("_s.h")
+    curve = F.col("_s.y") + t * s + (3 * m - 2 * t - n) / h * s * s + (t + n - 2 * m) / (h * h) * s * s * s
+    return out.select(*[F.coalesce(column, curve).alias(column) if c == column else F.col(c) for c in df.columns])
+
+
 def long_ratios(long: DataFrame, pairs: list[tuple[str, str, str]], keys: tuple[str, ...] = ("ticker", "date_start", "date_end")) -> DataFrame:
     """Ratios (over, under, name) of the fields of a long table, all from one pivot, as long rows; none where a field is missing or NULL."""
     fields = sorted({f for a, b, _ in pairs for f in (a, b)})

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import StorageLevel, inheritable_thread_target
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -47,32 +50,45 @@ def split_by_date(df: DataFrame, share: float = 0.8, date: str = "date") -> tupl
     return df.join(early, date, "left_semi"), df.join(early, date, "left_anti")
 
 
-def walk_forward(df: DataFrame, y: str, variables: list[str], cutoff: int, algorithm: str = "gbt", n: int = 50, last: int | None = None, drop_sparse: bool = False, threshold: float | None = None, mcap_half: bool = False, min_train_rows: int = 0, short: bool = False, held_pool: int | None = None, **params) -> DataFrame:
-    """(date, ticker, pred, ...): for each date from the ``cutoff``-th on, the best predictions of a model fitted on earlier dates only.
+def walk_forward_predictions(df: DataFrame, y: str, variables: list[str], cutoff: int, algorithm: str = "gbt", last: int | None = None, drop_sparse: bool = False, mcap_half: bool = False, min_train_rows: int = 0, parallelism: int = 4, **params) -> DataFrame:
+    """(date, ticker, pred, next_month_return): for each date from the ``cutoff``-th on, predictions of a model fitted on earlier dates only.
 
-    The loop runs over dates on the driver; fitting and predicting are
-    distributed. Options: rows with too many missing variables go; a prediction
-    threshold; the larger half by market cap; tickers with enough training
-    rows; the worst instead of the best; portfolios that hold on to previous
-    names out of the best ``held_pool``. ``last``: at most so many dates.
+    Fits depend on nothing but earlier rows, so ``parallelism`` dates are fitted
+    at a time, each distributed, over rows that are kept once for all of them.
+    Options: rows with too many missing variables go; the larger half by market
+    cap; training only on tickers with more than ``min_train_rows`` rows before
+    the first predicted date (later ones never come in: a month's newcomers are
+    dropped before the next one's are counted). ``last``: at most so many dates.
     """
     rows = sparse_rows_out(df, variables) if drop_sparse else df
     if mcap_half:
         rows = rows.where("mcap_pct_rank <= 0.5")
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     dates = [r.date for r in rows.select("date").distinct().orderBy("date").collect()]
-    parts = []
-    for day in dates[cutoff : None if last is None else cutoff + last]:
-        past, now = rows.where((F.col("date") < F.lit(day)) & F.col(y).isNotNull()), rows.where(F.col("date") == F.lit(day))
-        if min_train_rows:
-            known = past.groupBy("ticker").count().where(F.col("count") > min_train_rows)
-            now = now.join(known, "ticker", "left_semi")
-        model = pipeline(algorithm, y, variables, **params).fit(past)
-        pred = scored(model, now).select("date", "ticker", "pred", *[c for c in ("next_month_return",) if c in df.columns])
-        parts.append(pred.where(F.col("pred") >= threshold) if threshold is not None and not held_pool else pred)
-    out = reduce(DataFrame.unionByName, parts)
+    train = rows.where(F.col(y).isNotNull())
+    if min_train_rows:
+        first = train.where(F.col("date") < F.lit(dates[cutoff])).groupBy("ticker").count()
+        train = train.join(first.where(F.col("count") > min_train_rows), "ticker", "left_semi")
+
+    def predicted(day) -> DataFrame:
+        model = pipeline(algorithm, y, variables, **params).fit(train.where(F.col("date") < F.lit(day)))
+        return scored(model, rows.where(F.col("date") == F.lit(day))).select("date", "ticker", "pred", *[c for c in ("next_month_return",) if c in df.columns])
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        parts = list(pool.map(inheritable_thread_target(df.sparkSession)(predicted), dates[cutoff : None if last is None else cutoff + last]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def predicted_portfolio(pred: DataFrame, n: int = 50, threshold: float | None = None, short: bool = False, held_pool: int | None = None) -> DataFrame:
+    """A portfolio a date of its best predictions: above a threshold, the worst instead, or names held on to out of the best ``held_pool``."""
     if held_pool:
-        return sticky(out.withColumn("model_id", F.lit(algorithm)), n, held_pool, threshold).drop("model_id")
-    return top_n(out, "pred", n, ["date"], "ticker", descending=not short)
+        return sticky(pred.withColumn("model_id", F.lit("")), n, held_pool, threshold).drop("model_id")
+    return top_n(pred if threshold is None else pred.where(F.col("pred") >= threshold), "pred", n, ["date"], "ticker", descending=not short)
+
+
+def walk_forward(df: DataFrame, y: str, variables: list[str], cutoff: int, n: int = 50, threshold: float | None = None, short: bool = False, held_pool: int | None = None, **options) -> DataFrame:
+    """The portfolio of ``walk_forward_predictions``."""
+    return predicted_portfolio(walk_forward_predictions(df, y, variables, cutoff, **options), n, threshold, short, held_pool)
 
 
 def search(train: DataFrame, y: str, variables: list[str], algorithm: str, grid: dict[str, list], folds: int = 3, metric: str = "f1", draws: int | None = None, seed: int = 1) -> DataFrame:
@@ -89,7 +105,7 @@ def search(train: DataFrame, y: str, variables: list[str], algorithm: str, grid:
         points = random.Random(seed).sample(points, draws)
     lower = metric in ("mse", "rmse", "mae")
     ev = RegressionEvaluator(labelCol=y, metricName=metric) if lower or metric == "r2" else MulticlassClassificationEvaluator(labelCol=y, metricName=metric)
-    got = CrossValidator(estimator=pipe, estimatorParamMaps=points, evaluator=ev, numFolds=folds, seed=seed).fit(train)
+    got = CrossValidator(estimator=pipe, estimatorParamMaps=points, evaluator=ev, numFolds=folds, seed=seed, parallelism=4).fit(train)
     rows = [(str(sorted((p.name, v) for p, v in pt.items())), float(s)) for pt, s in zip(points, got.avgMetrics, strict=True)]
     return train.sparkSession.createDataFrame(rows, "params string, score double").orderBy(F.col("score") if lower else F.desc("score"))
 

@@ -15,6 +15,19 @@ def only_in(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return df.join(keys.select(*on), on, "left_semi")
 
 
+def last_of(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The last row of every key, whole."""
+    row = F.struct(*df.columns)
+    return df.groupBy(key).agg(F.max_by(row, order).alias("_r")).select("_r.*")
+
+
+def recent_series(df: DataFrame, key: str, date: str, value: str, days: int) -> DataFrame:
+    """The keys that have a value within ``days`` of the table's last date, with all their rows."""
+    end = df.agg(F.date_sub(F.max(date), days).alias("_from"))  # one row
+    seen = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.max(date).alias("_seen"))
+    return df.join(seen.join(F.broadcast(end), F.col("_seen") >= F.col("_from")), key, "left_semi")
+
+
 def not_in(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose key tuple does not occur in ``keys``."""
     return df.join(keys.select(*on), on, "left_anti")

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barline.functions.columns import stable_round
 from barline.operators import features as ft
 from barline.operators import models
 from barline.operators import relational as rel
-from barline.operators.bars import period_close
+from barline.operators import signals as sg
+from barline.operators.bars import period_close, whole_bar
 from barline.plans.features import rounded
 from barline.plans.joins import BRANDS, months
 from barline.plans.portfolios import RANKED, panel
 from barline.plans.registry import query
 from barline.plans.research import VARIABLES, _rows
+from barline.plans.signals import LONG, SHORT, color, px
 from barline.session import shared_folder
 from barline.sources import canonical as src
-from barline.sources.readers import append_log, read_csv, read_table, truncate, write_table
+from barline.sources.readers import append_log, read_csv, read_files, read_table, truncate, write_snapshot, write_table
 
 PAIRS = [("closeadj_close_mean_4w", "closeadj_close_mean_12w"), ("closeadj_close_mean_4w", "closeadj_close_mean_24w"), ("closeadj_close_mean_12w", "closeadj_close_mean_24w"), ("closeadj_close_vol_12w", "closeadj_close_vol_24w")]
 _NAMED = [(a, b, f"{a}_by_{b.rsplit('_', 1)[1]}") for a, b in PAIRS]
@@ -80,6 +84,60 @@ def limited_fill(spark: SparkSession, d: str) -> DataFrame:
     return ft.limited_ffill(p, "ticker", "date", "px_pct_6m", 3)
 
 
+_KNOWN = "SELECT ticker, date, x, y, m, lag(m) OVER w AS b0, lag(m, 2) OVER w AS a0, lead(m) OVER w AS d0, row_number() OVER w AS i, count(*) OVER (PARTITION BY ticker) AS n FROM (SELECT *, (lead(y) OVER v - y) / (lead(x) OVER v - x) AS m FROM t WHERE y IS NOT NULL WINDOW v AS (PARTITION BY ticker ORDER BY x)) WINDOW w AS (PARTITION BY ticker ORDER BY x)"
+
+
+@query(f"""WITH t AS (SELECT ticker, date, date_diff('day', DATE '1970-01-01', date) AS x, CASE WHEN month(date) NOT IN (3, 4, 7, 8, 9) THEN px_pct_6m END AS y FROM {{{{panel}}}}), k AS ({_KNOWN}),
+    e AS (SELECT ticker, max(m) FILTER (i = 1) AS f, coalesce(max(m) FILTER (i = 2), max(m) FILTER (i = 1)) AS g, max(m) FILTER (i = n - 1) AS p, coalesce(max(m) FILTER (i = n - 2), max(m) FILTER (i = n - 1)) AS q FROM k GROUP BY ticker),
+    s AS (SELECT ticker, x, y, m, i, n, coalesce(a0, CASE i WHEN 1 THEN 3 * f - 2 * g ELSE 2 * f - g END) AS a, coalesce(b0, 2 * f - g) AS b, coalesce(m, 2 * p - q) AS c, coalesce(d0, CASE i WHEN n THEN 3 * p - 2 * q ELSE 2 * p - q END) AS d FROM k JOIN e USING (ticker)),
+    u AS (SELECT *, CASE WHEN abs(d - c) + abs(b - a) > 1e-9 * max(abs(d - c) + abs(b - a)) OVER (PARTITION BY ticker) THEN (abs(d - c) * b + abs(b - a) * c) / (abs(d - c) + abs(b - a)) ELSE (a + d) / 2 END AS g FROM s),
+    r AS (SELECT ticker, x AS x0, y AS y0, m, g AS g0, lead(g) OVER w AS g1, lead(x) OVER w AS x1 FROM u WINDOW w AS (PARTITION BY ticker ORDER BY x))
+    SELECT t.ticker, t.date, round(CASE WHEN y IS NOT NULL THEN y ELSE y0 + g0 * (x - x0) + (3 * m - 2 * g0 - g1) / (x1 - x0) * (x - x0) * (x - x0) + (g0 + g1 - 2 * m) / ((x1 - x0) * (x1 - x0)) * (x - x0) * (x - x0) * (x - x0) END, 6) AS px_pct_6m FROM t LEFT JOIN r ON r.ticker = t.ticker AND t.x > r.x0 AND t.x < r.x1""")
+def akima_fill(spark: SparkSession, d: str) -> DataFrame:
+    p = panel(spark, d).select("ticker", "date", F.when(~F.month("date").isin(3, 4, 7, 8, 9), F.col("px_pct_6m")).alias("px_pct_6m"))
+    return rounded(ft.akima_fill(p, "ticker", "date", "px_pct_6m"))
+
+
+_QUIET = "CASE WHEN ticker IN ('Brand#12', 'Brand#34') AND date > DATE '1997-06-30' THEN NULL ELSE px_close END"
+
+
+@query(f"WITH m AS (SELECT ticker, date, {_QUIET} AS px_close FROM {{{{months}}}}) SELECT * FROM m WHERE ticker IN (SELECT ticker FROM m WHERE px_close IS NOT NULL GROUP BY ticker HAVING max(date) >= (SELECT max(date) FROM m) - 180)")
+def recent_series(spark: SparkSession, d: str) -> DataFrame:
+    return rel.recent_series(months(spark, d).select("ticker", "date", F.expr(_QUIET).alias("px_close")), "ticker", "date", "px_close", 180)
+
+
+@query("SELECT symbol, time_close, round(ao, 6) AS ao, CAST(ao_color AS BIGINT) AS ao_color, CAST(long_signal AS BIGINT) AS long_signal, CAST(short_signal AS BIGINT) AS short_signal FROM {{ao_signal}} QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time_close DESC) = 1")
+def live_candle(spark: SparkSession, d: str) -> DataFrame:
+    """Bars kept so far, and the last hour's two half-hour bars as one candle appended; signals anew, the last of each symbol."""
+    bars, last = px(spark, d), Window.partitionBy("symbol")
+    marked = bars.withColumn("_last", F.max("time_open").over(last))
+    history = marked.where("time_open < _last").drop("_last")
+    halves = marked.where("time_open = _last").select("symbol", F.explode(F.expr("array(named_struct('t', time_open, 'c', low, 'h', high, 'l', low), named_struct('t', time_open + INTERVAL 30 MINUTES, 'c', close, 'h', high, 'l', low))")).alias("b"))
+    live = whole_bar(halves.select("symbol", F.col("b.t").alias("time_open"), F.col("b.c").alias("close"), F.col("b.h").alias("high"), F.col("b.l").alias("low")), ["symbol"])
+    both = history.unionByName(live.withColumn("time_close", F.col("time_open") + F.expr("INTERVAL 1 HOUR")))
+    out = rel.last_of(sg.color_signals(color(sg.awesome_oscillator(both, SHORT, LONG))), "symbol", "time_close")
+    return rounded(out.select("symbol", "time_close", "ao", *[F.col(c).cast("long") for c in ("ao_color", "long_signal", "short_signal")]))
+
+
+@query("SELECT run_date, ticker, count(*) AS n, round(sum(px_close), 4) AS px FROM (SELECT DATE '2000-01-31' AS run_date, * FROM {{months}} WHERE date < DATE '1996-01-01' UNION ALL SELECT DATE '2000-02-29', * FROM {{months}}) GROUP BY ALL")
+def snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """A table written anew for each run date, appended as a partition of its own; a run date written twice replaces itself alone."""
+    path, rows = f"{shared_folder(spark, 'snapshots')}/table", months(spark, d).select("ticker", "date", "px_close")
+    for day, part in (("2000-01-31", rows.limit(3)), ("2000-01-31", rows.where("date < '1996-01-01'")), ("2000-02-29", rows)):
+        write_snapshot(part, path, day)
+    return spark.read.parquet(path).groupBy("run_date", "ticker").agg(F.count("*").alias("n"), stable_round(F.sum("px_close"), 4).alias("px"))
+
+
+@query("SELECT ticker, date, px_close FROM {{months}} WHERE date IS NOT NULL")
+def files_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Several files as one table: one that can't be read, rows that miss a key."""
+    base, rows = shared_folder(spark, "files"), months(spark, d).select("ticker", "date", "px_close")
+    for k, part in (("early", rows.where("date < '1995-01-01'")), ("late", rows.where("date >= '1995-01-01'")), ("keyless", rows.withColumn("date", F.lit(None).cast("date")))):
+        write_table(part, f"{base}/{k}")
+    spark.createDataFrame([("no Parquet",)], "value string").coalesce(1).write.text(f"{base}/broken")
+    return read_files(spark, [f"{base}/{k}" for k in ("early", "late", "keyless")] + [f"{base}/broken/*.txt"], ["date"], schema=rows.schema)
+
+
 @query("""SELECT 'overwrite' AS step, ticker, count(*) AS n FROM {{months}} GROUP BY ticker UNION ALL SELECT 'append', ticker, 2 * count(*) FROM {{months}} GROUP BY ticker
     UNION ALL SELECT 'insert', ticker, count(*) + count(*) FILTER (px_close > 20) FROM {{months}} GROUP BY ticker UNION ALL SELECT 'csv', ticker, count(*) FROM {{months}} GROUP BY ticker UNION ALL SELECT 'log', 'run', 2""")
 def sinks(spark: SparkSession, d: str) -> DataFrame:
@@ -109,18 +167,27 @@ def sinks(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def walk_forward_regressor(spark: SparkSession, d: str) -> DataFrame:
-    out = models.walk_forward(_rows(spark, d), "next_month_return", VARIABLES, cutoff=60, algorithm="gbt_reg", last=2, n=10, maxIter=3, maxDepth=3, seed=1)
+    out = models.walk_forward(_rows(spark, d), "next_month_return", VARIABLES, cutoff=60, algorithm="gbt_reg", n=10, maxIter=3, maxDepth=3, seed=1)
     return rounded(out.select("date", "ticker", "pred", "ptf_rank", "next_month_return"))
 
 
 @query()
 def walk_forward_variants(spark: SparkSession, d: str) -> DataFrame:
-    """A date each of the options: rows with few variables away, a threshold on predictions, tickers with history, the short side, held names."""
-    rows, out = _rows(spark, d), None
-    for name, options in (("sparse", {"drop_sparse": True}), ("threshold", {"threshold": 0.3}), ("history", {"min_train_rows": 12}), ("short", {"short": True}), ("held", {"held_pool": 12})):
-        part = models.walk_forward(rows, "y", VARIABLES, cutoff=60, last=1, n=6, maxIter=2, maxDepth=2, seed=1, **options).select(F.lit(name).alias("variant"), "date", "ticker", "pred")
-        out = part if out is None else out.unionByName(part)
-    return rounded(out)
+    """Rows with few variables away, with a threshold and without; training on tickers with history; the larger half; the short side; held names.
+
+    Fitted once for each choice of rows; the predictions are written and chosen from.
+    """
+    rows, base = _rows(spark, d), shared_folder(spark, "predictions")
+    rows = rows.withColumn("mcap_pct_rank", F.percent_rank().over(Window.partitionBy("date").orderBy(F.desc("marketcap"))))
+    fits = {"all": {}, "sparse": {"drop_sparse": True}, "history": {"min_train_rows": 3}, "half": {"mcap_half": True}}
+    for name, options in fits.items():
+        write_table(models.walk_forward_predictions(rows, "y", VARIABLES, cutoff=60, maxIter=2, maxDepth=2, seed=1, **options), f"{base}/{name}")
+    chosen = {
+        "sparse": ("sparse", {}), "sparse_threshold": ("sparse", {"threshold": 0.3}), "threshold": ("all", {"threshold": 0.3}), "history": ("history", {}),
+        "half": ("half", {}), "half_threshold": ("half", {"threshold": 0.3}), "short": ("all", {"short": True}), "held": ("all", {"held_pool": 12}),
+    }
+    parts = [models.predicted_portfolio(spark.read.parquet(f"{base}/{k}"), 6, **o).select(F.lit(n).alias("variant"), "date", "ticker", "pred") for n, (k, o) in chosen.items()]
+    return rounded(reduce(DataFrame.unionByName, parts))
 
 
 @query()

@@ -75,7 +75,7 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def walk_forward_gbt(spark: SparkSession, d: str) -> DataFrame:
-    out = models.walk_forward(_rows(spark, d), "y", VARIABLES, cutoff=60, last=2, n=10, maxIter=5, maxDepth=3, seed=1)
+    out = models.walk_forward(_rows(spark, d), "y", VARIABLES, cutoff=60, n=10, maxIter=5, maxDepth=3, seed=1)
     return rounded(out.select("date", "ticker", "pred", "ptf_rank", "next_month_return"))
 
 
@@ -87,7 +87,7 @@ def forest_importance(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def random_search(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(models.search(_rows(spark, d), "y", VARIABLES, "gbt", {"maxDepth": [2, 3], "maxIter": [3, 5]}, folds=2, draws=2))
+    return rounded(models.search(_rows(spark, d), "y", VARIABLES, "gbt", {"maxDepth": [2, 3], "maxIter": [2, 4], "stepSize": [0.1, 0.3]}, folds=3, draws=4))
 
 
 @query("SELECT id, date_trunc('hour', timestamp) AS ts, round(avg(prices), 6) AS px, sum(total_volumes) AS volume, count(*) AS num FROM {{ticks}} GROUP BY ALL")

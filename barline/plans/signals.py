@@ -47,12 +47,15 @@ def px(spark: SparkSession, d: str) -> DataFrame:
     return b.select("symbol", "time_open", (F.col("time_open") + F.expr("INTERVAL 1 HOUR")).alias("time_close"), "high", "low", "close")
 
 
-def colored(spark: SparkSession, d: str) -> DataFrame:
-    raw = sg.awesome_oscillator(px(spark, d), SHORT, LONG).withColumn("ao", stable_round("ao", 9))
-    w = sg._w()
+def color(oscillator: DataFrame) -> DataFrame:
+    raw, w = oscillator.withColumn("ao", stable_round("ao", 9)), sg._w()
     return raw.withColumn("ao_color", F.when(F.col("ao").isNotNull(), F.when(F.col("ao") >= F.lag("ao").over(w), 1).otherwise(-1)))
 
 
+def colored(spark: SparkSession, d: str) -> DataFrame:
+    return color(sg.awesome_oscillator(px(spark, d), SHORT, LONG))
+
+
 def signalled(spark: SparkSession, d: str) -> DataFrame:
     return sg.color_signals(colored(spark, d))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from barline.functions.columns import nearest_minute
 
@@ -18,22 +19,15 @@ def read_table(spark: SparkSession, base: str, name: str, columns: list[str] | N
     return df.select(*columns) if columns else df
 
 
-def read_files(spark: SparkSession, paths: list[str], required: list[str] | None = None, skip_broken: bool = True) -> DataFrame:
-    """Many Parquet files as one table, without rows that miss a key; unreadable files are left out if so asked."""
-    from py4j.protocol import Py4JError
-    from pyspark.errors import PySparkException
-
-    good = []
-    for p in paths:
-        try:
-            spark.read.parquet(p)  # reads a footer, no rows
-            good.append(p)
-        except (PySparkException, Py4JError):
-            if not skip_broken:
-                raise
-    if not good:
-        raise ValueError("none of the files can be read")
-    df = spark.read.option("ignoreCorruptFiles", str(skip_broken).lower()).option("ignoreMissingFiles", str(skip_broken).lower()).parquet(*good)
+def read_files(spark: SparkSession, paths: list[str], required: list[str] | None = None, skip_broken: bool = True, schema: StructType | None = None) -> DataFrame:
+    """Many Parquet files as one table, without rows that miss a key; unreadable or missing ones are left out if so asked.
+
+    Without a ``schema`` a job reads the footers and merges them; broken files
+    are then left out of that as well.
+    """
+    skip = str(skip_broken).lower()
+    reader = spark.read.options(ignoreCorruptFiles=skip, ignoreMissingFiles=skip, mergeSchema=str(schema is None).lower())
+    df = (reader.schema(schema) if schema is not None else reader).parquet(*paths)
     return df.dropna("any", subset=required) if required else df
 
 
@@ -72,6 +66,12 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", form: str = "
     (w.partitionBy(*by) if by else w).save(path)
 
 
+def write_snapshot(df: DataFrame, path: str, run_date: str) -> None:
+    """The table as of a run date, as a partition of its own; the same date again replaces that partition alone."""
+    day = df.withColumn("run_date", F.lit(run_date).cast("date"))
+    day.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(path)
+
+
 def truncate(spark: SparkSession, path: str) -> None:
     """Leaves a Parquet table without rows, with its columns."""
     spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
