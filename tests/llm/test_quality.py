@@ -78,6 +78,37 @@ def test_trees_learn_and_flatten():
         assert (s == s[0]).all() and 0 < s[0] < 1
 
 
+def brute_leaves(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, smooth: float, least: float) -> np.ndarray:
+    """Every feature, every value as a cut, node by node; each row's leaf value."""
+    worth = lambda m: g[m].sum() ** 2 / (h[m].sum() + smooth)
+    best, cut, every = 1e-9, None, np.ones(len(x), bool)
+    for j in range(x.shape[1] if depth else 0):
+        for c in sorted(set(x[:, j])):
+            left = x[:, j] <= c
+            if least <= left.sum() <= len(x) - least and (gain := worth(left) + worth(~left) - worth(every)) > best + 1e-12:
+                best, cut = gain, left
+    if cut is None:
+        return np.full(len(x), g.sum() / (h.sum() + smooth))
+    out = np.zeros(len(x))
+    for m in (cut, ~cut):
+        out[m] = brute_leaves(x[m], g[m], h[m], depth - 1, smooth, least)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_trees_by_brute_force(seed):
+    """Few values a feature, so that histograms hold every cut: the same trees as from all cuts tried one by one."""
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 12, size=(400, 4)).astype(float)
+    y = (x[:, 0] + 2 * (x[:, 1] > 5) * (x[:, 2] > 3) * 4 + rng.normal(size=400) * 3 > 9).astype(float)
+    model = quality_gbt.fit(x, y, trees=5, depth=3)
+    margin = np.full(400, math.log((y.sum() + 1) / (401 - y.sum())))
+    for _ in range(5):
+        q = 1 / (1 + np.exp(-margin))
+        margin = margin + 0.15 * brute_leaves(x, y - q, q * (1 - q), 3, 2.0, 5.0)
+    assert np.allclose(margin, model.margin(x), atol=1e-9)
+
+
 def test_classifier_holds_out(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in quality_gbt.classify(docs, labels).collect()}
@@ -92,6 +123,9 @@ def test_classifier_of_odd_rows(spark):
     got = quality_gbt.classify(odd_documents(spark), no_labels(spark)).collect()
     assert len(got) == 16 and {r.score for r in got} == {0.5} and {r.predicted for r in got} == {0}
     assert quality_gbt.classify(no_documents(spark), no_labels(spark)).count() == 0
+    both = spark.createDataFrame([(i, q, 0) for i in (1, 2, 3, 8, 9, 11, 12, None) for q in (0, 1)] + [(10, 1, 0), (10, 1, 0), (13, 0, 0), (14, None, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
+    told = quality_gbt.classify(odd_documents(spark), both).collect()  # each of two labels counts once
+    assert len(told) == 16 and all(0 < r.score < 1 for r in told)
     assert all(np.isfinite(quality_gbt.features(t)).all() for t in (None, "", "a", "a b\n\nc", "é" * 9))
 
 

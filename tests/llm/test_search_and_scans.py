@@ -164,6 +164,8 @@ def test_license_scan_of_tables(spark):
     assert {r.doc_id: r.licenses for r in licenses.scan(docs).collect()} == want
     got = {r.doc_id: r.licenses for r in licenses.scan(odd_documents(spark)).collect()}
     assert got[12] == ["MIT"] and got[4] == got[5] == got[10] == []
+    clash = odd_documents(spark).selectExpr("*", "'x' AS licenses", "1 AS n_matches", "2 AS containment", "3 AS first_word", "4 AS matches")
+    assert {r.doc_id: r.licenses for r in licenses.scan(clash).collect()} == got
     assert licenses.scan(no_documents(spark)).count() == 0
 
 
