@@ -93,16 +93,14 @@ def period_returns(ptf: DataFrame, cost: float, by: list[str] | None = None, ret
     Turnover counts the next date's names that are new, and stands on the date
     before; the last date has none, so its total return and index are NULL. The
     index is 100 on the first date and chains total returns from the second on.
+    The portfolio is read once: a date's names are one set, of a portfolio's
+    size, and meet the next date's in a window.
     """
     by = by or []
-    mean = ptf.groupBy(*by, "date").agg(F.coalesce(F.avg(ret), F.lit(0.0)).alias(ret))
-    w = Window.partitionBy(*by).orderBy("date") if by else Window.partitionBy(F.lit(0)).orderBy("date")
-    dates = mean.select(*by, "date").withColumn("_prev", F.lag("date").over(w))
-    now = ptf.select(*by, "date", ticker).distinct().join(dates, [*by, "date"])
-    before = ptf.select(*by, F.col("date").alias("_prev"), ticker).distinct()
-    new = now.where("_prev is not null").join(before, [*by, "_prev", ticker], "left_anti").groupBy(*by, F.col("_prev").alias("date")).agg(F.count("*").alias("turnover"))
-    last = F.lead("date").over(w)
-    out = mean.join(new, [*by, "date"], "left").withColumn("turnover", F.when(last.isNotNull(), F.coalesce("turnover", F.lit(0))))
+    held = ptf.groupBy(*by, "date").agg(F.coalesce(F.avg(ret), F.lit(0.0)).alias(ret), F.collect_set(ticker).alias("_names"))
+    following = F.lead("_names").over(Window.partitionBy(*by).orderBy("date") if by else Window.partitionBy(F.lit(0)).orderBy("date"))
+    new = held.withColumn("_new", F.array_except(following, "_names"))
+    out = new.withColumn("turnover", F.when(F.col("_new").isNotNull(), F.size("_new").cast("long"))).drop("_names", "_new")
     out = out.withColumn("trade_costs", F.col("turnover") / names * cost).withColumn("total_return", F.col(ret) - F.col("trade_costs"))
     return chained_index(out, by, "total_return")
 
