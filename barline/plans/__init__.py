@@ -1,6 +1,6 @@
 """Registered queries, by family. Importing this package registers all of them."""
 
-from barline.plans import bars, extras, features, joins, more, portfolios, research, signals
+from barline.plans import bars, deliveries, extras, features, joins, more, portfolios, research, signals
 from barline.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "bars", "extras", "features", "joins", "more", "portfolios", "research", "signals"]
+__all__ = ["ORACLES", "QUERIES", "bars", "deliveries", "extras", "features", "joins", "more", "portfolios", "research", "signals"]
