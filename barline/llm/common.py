@@ -21,6 +21,20 @@ BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _folding(apart: Callable[[int], bool]) -> bytes:
+    return bytes(0x20 if apart(c) else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
+
+
+#: Byte tables that lower-case A-Z and blank all ASCII but letters, or letters and digits; characters beyond ASCII stay.
+LETTERS = _folding(lambda c: c < 0x80 and not chr(c).isalpha())
+TERMS = _folding(lambda c: c < 0x80 and not chr(c).isalnum())
+
+
+def folded(text: bytes, table: bytes) -> list[bytes]:
+    """Words of a UTF-8 text by one of the tables above."""
+    return text.translate(table).split()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
