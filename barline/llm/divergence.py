@@ -71,7 +71,7 @@ def _sketched(docs: DataFrame, width: int, least: int) -> np.ndarray:
         sketch, seen = Sketch(width, least), {}
 
         def spend() -> None:
-            for lang, words in seen.items():
+            for lang, words in ((k, w) for k, w in seen.items() if w):
                 sketch.add(hashed(lang, list(words)), np.fromiter(words.values(), np.int64, len(words)))
             seen.clear()
 
