@@ -7,12 +7,15 @@ above and below the alphabet's middle (Wald and Wolfowitz), and serial
 correlation at lag one. A run that one of them rejects is ordinary.
 
 Short runs pass such tests by chance, so a pass isn't a finding yet. The null
-hypothesis of the finding is "symbols as in ordinary text": the corpus gives
-how often each symbol occurs, and with that the exact mean and variance of the
-number of equal pairs among n symbols. The gap between random and ordinary
-grows with n, and so does the evidence. Benjamini and Hochberg's step-up bounds
-the share of false findings at ``fdr`` in each stratum of encoding and length;
-a run that fails the battery counts with a p-value of one.
+hypothesis of the finding is "as in ordinary text", which the corpus itself
+describes: how often each symbol occurs, and with that the exact mean and
+variance of the number of equal pairs among n symbols; and how often a digit
+stands beside a letter, and with that the chance of so many changes between
+the two. The gap between random and ordinary grows with n, and so does the
+evidence of either, of which twice the smaller p-value counts. Benjamini and
+Hochberg's step-up bounds the share of false findings at ``fdr`` in each
+stratum of encoding and length; a run that fails the battery counts with a
+p-value of one.
 """
 
 from __future__ import annotations
@@ -37,8 +40,8 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 #: Shortest run that is tested, level of the battery, bound on the share of false findings.
 MIN_SYMBOLS, ALPHA, FDR = 16, 0.01, 0.05
-#: Lower ends of the strata of length, and steps of a standard deviation in which p-values are counted.
-OCTAVES, STEP, DEEPEST = (16, 24, 32, 48, 96), 20, 800
+#: Lower ends of the strata of length, and the parts of a unit of -ln(p) in which p-values are counted.
+OCTAVES, STEP, DEEPEST = (16, 24, 32, 48, 96), 20, 2000
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings by alphabet, smallest first; a run belongs to the first that holds it. Digits alone are no key.
@@ -58,6 +61,7 @@ def _table(chars: str) -> np.ndarray:
 
 _INDEX = [_table(c) for c in ALPHABETS.values()]
 _TOKEN = _INDEX[-1] >= 0
+_DIGIT, _LETTER = _table(_DIGITS) >= 0, _table(_LOWER + _UPPER) >= 0
 
 
 def encoding(symbols: np.ndarray) -> int:
@@ -99,6 +103,13 @@ def battery(symbols: np.ndarray, k: int) -> tuple[float, float, float]:
     return uniform, runs, serial
 
 
+def changes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte but the first, whether it and the one before are both letters or digits, and whether they are one of each."""
+    digit, letter = _DIGIT[data], _LETTER[data]
+    either = digit | letter
+    return either[1:] & either[:-1], (digit[1:] & letter[:-1]) | (letter[1:] & digit[:-1])
+
+
 def _spans(text: bytes, long_runs: list[tuple[int, int]], assigned: bool) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base patterns, in bytes; access and hex matches of their least lengths lie within long runs."""
     out = []
@@ -122,8 +133,9 @@ def _candidates(data: np.ndarray, runs: list[tuple[int, int]], taken: list[tuple
         symbols = _INDEX[code][data[a:b]].astype(np.int64)
         k = len(ALPHABETS[_NAMES[code]])
         counts = np.bincount(symbols, minlength=k)
+        beside, changed = (int(x.sum()) for x in changes(data[a:b]))
         passed = min(battery(symbols, k)) >= alpha / 3
-        out.append({"start": a, "end": b, "encoding": code, "n": b - a, "pairs": int((counts * (counts - 1) // 2).sum()), "passed": passed})
+        out.append({"start": a, "end": b, "encoding": code, "n": b - a, "pairs": int((counts * (counts - 1) // 2).sum()), "beside": beside, "changed": changed, "passed": passed})
     return out
 
 
@@ -134,12 +146,12 @@ def _to_points(data: np.ndarray, places: list[int]) -> list[int]:
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-_CANDIDATE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.int32()), ("n", pa.int64()), ("pairs", pa.int64()), ("passed", pa.bool_())])
-_FOUND = "doc_id long, base array<struct<start:long,kind:int,end:long>>, candidates array<struct<start:long,end:long,encoding:int,n:long,pairs:long,passed:boolean>>, symbols array<long>"
+_CANDIDATE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.int32()), ("n", pa.int64()), ("pairs", pa.int64()), ("beside", pa.int64()), ("changed", pa.int64()), ("passed", pa.bool_())])
+_FOUND = "doc_id long, base array<struct<start:long,kind:int,end:long>>, candidates array<struct<start:long,end:long,encoding:int,n:long,pairs:long,beside:long,changed:long,passed:boolean>>, symbols array<long>"
 
 
 def _first_pass(b: pa.RecordBatch, alpha: float, least: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document, then one with the counts of all bytes of the batch."""
+    """A row for each document, then one with the batch's counts of bytes, of letters and digits side by side, and of changes between them."""
     col = b.column(1)
     offsets = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     whole = np.frombuffer(col.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
@@ -173,7 +185,9 @@ def _first_pass(b: pa.RecordBatch, alpha: float, least: int) -> Iterator[pa.Reco
         base[d] = [{"start": points[2 * i], "kind": k, "end": points[2 * i + 1]} for i, (_, k, _) in enumerate(spans)]
         rest = points[2 * len(spans) :]
         found[d] = [x | {"start": rest[2 * i], "end": rest[2 * i + 1]} for i, x in enumerate(extra)]
-    names, counts = ["doc_id", "base", "candidates", "symbols"], np.bincount(whole, minlength=256).tolist()
+    beside, changed = changes(whole)
+    beside[edges - 1], changed[edges - 1] = False, False
+    names, counts = ["doc_id", "base", "candidates", "symbols"], [*np.bincount(whole, minlength=256).tolist(), int(beside.sum()), int(changed.sum())]
     longs = pa.list_(pa.int64())
     yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, pa.list_(_SPAN)), pa.array(found, pa.list_(_CANDIDATE)), pa.nulls(len(col), longs)], names=names)
     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(_SPAN)), pa.nulls(1, pa.list_(_CANDIDATE)), pa.array([counts], longs)], names=names)
@@ -189,15 +203,23 @@ def moments(counts: dict[int, int]) -> dict[int, tuple[float, float]]:
     return out
 
 
-def depth(pairs: Column, n: Column, s2: Column, s3: Column, passed: Column) -> Column:
-    """Whole steps by which the number of equal pairs lies below its mean in ordinary text; 0 for runs that failed the battery.
+def depth(c: Column, s2: Column, s3: Column, rate: float) -> Column:
+    """-ln of a run's p-value in whole steps, rounded towards 0; 0 for runs that failed the battery.
 
-    The number of equal pairs is skewed to the right, so that its lower tail is
-    lighter than the normal one that stands for it: p-values err to the safe side.
+    Both p-values are bounded from above: the lower tail of the number of equal
+    pairs, which is skewed to the right, by the normal one, and that by
+    exp(-z^2 / 2) / 2; the upper tail of the binomial number of changes by
+    Chernoff's exp(-n KL). Errors are to the safe side.
     """
+    n = c["n"]
     two, three = n * (n - 1) / 2, n * (n - 1) * (n - 2)
     spread = F.sqrt(F.greatest(two * (s2 - s2 * s2) + three * (s3 - s2 * s2), F.lit(1e-9)))
-    return F.when(passed, F.least(F.greatest(F.floor((two * s2 - pairs) / spread * STEP), F.lit(0)), F.lit(DEEPEST))).otherwise(0).cast("int")
+    z = F.greatest((two * s2 - c["pairs"]) / spread, F.lit(0.0))
+    x = c["changed"] / F.greatest(c["beside"], F.lit(1))
+    part = lambda x, q: F.when(x > 0, x * F.ln(F.when(x > 0, x / q).otherwise(1.0))).otherwise(0.0)
+    tail = F.when(x > rate, c["beside"] * (part(x, rate) + part(1 - x, 1 - rate))).otherwise(0.0)
+    nats = F.greatest(z * z / 2 + math.log(2), tail) - math.log(2)
+    return F.when(c["passed"], F.least(F.greatest(F.floor(nats * STEP), F.lit(0)), F.lit(DEEPEST))).otherwise(0).cast("int")
 
 
 def cutoffs(counted: dict[tuple[int, int], dict[int, int]], fdr: float) -> dict[tuple[int, int], int]:
@@ -207,7 +229,7 @@ def cutoffs(counted: dict[tuple[int, int], dict[int, int]], fdr: float) -> dict[
         m, so_far = sum(by_depth.values()), 0
         for d in sorted(by_depth, reverse=True):
             so_far += by_depth[d]
-            if 0.5 * math.erfc(d / STEP / math.sqrt(2)) <= fdr * so_far / m:
+            if math.exp(-d / STEP) <= fdr * so_far / m:
                 out[stratum] = d
     return out
 
@@ -222,17 +244,18 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float
     piece of a word. A null text is an empty one and has no spans; a null id
     stays null; repeated rows have the same spans; an empty table gives an empty
     result; other columns are ignored. Texts are read once. What the driver
-    sees: 256 counts, and counts of strata and depths, whose number is fixed.
+    sees: 258 counts, and counts of strata and depths, whose number is fixed.
     """
     spark = tune(docs.sparkSession)
     own = with_cleared(docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     found = written(map_arrow(own, _FOUND, lambda b: _first_pass(b, alpha, least)), "secrets")
     sums = found.where("symbols is not null").select(F.posexplode("symbols").alias("symbol", "n")).groupBy("symbol").agg(F.sum("n").alias("n"))
-    shares = moments({r.symbol: r.n for r in sums.collect()})  # 256 rows
+    known = {r.symbol: r.n for r in sums.collect()}  # 258 rows
+    shares, rate = moments(known), (known.get(257, 0) + 1) / (known.get(256, 0) + 2)
     rows = found.where("symbols is null")
     pick = lambda c, j: F.element_at(F.array(*[F.lit(shares[i][j]) for i in range(len(_NAMES))]), c["encoding"] + 1)
     octave = lambda c: sum((c["n"] >= o).cast("int") for o in OCTAVES)
-    rated = lambda c: F.struct(c["encoding"].alias("encoding"), octave(c).alias("octave"), depth(c["pairs"], c["n"], pick(c, 0), pick(c, 1), c["passed"]).alias("depth"))
+    rated = lambda c: F.struct(c["encoding"].alias("encoding"), octave(c).alias("octave"), depth(c, pick(c, 0), pick(c, 1), rate).alias("depth"))
     counts = rows.where(F.size("candidates") > 0).select(F.explode(F.transform("candidates", rated)).alias("c")).groupBy("c").count()
     strata: dict[tuple[int, int], dict[int, int]] = {}
     for r in counts.collect():  # encodings x octaves x depths at most
