@@ -50,21 +50,23 @@ def split_by_date(df: DataFrame, share: float = 0.8, date: str = "date") -> tupl
     return df.join(early, date, "left_semi"), df.join(early, date, "left_anti")
 
 
-def walk_forward_predictions(df: DataFrame, y: str, variables: list[str], cutoff: int, algorithm: str = "gbt", last: int | None = None, drop_sparse: bool = False, mcap_half: bool = False, min_train_rows: int = 0, parallelism: int = 4, **params) -> DataFrame:
-    """(date, ticker, pred, next_month_return): for each date from the ``cutoff``-th on, predictions of a model fitted on earlier dates only.
+def walk_forward_predictions(df: DataFrame, y: str, variables: list[str], cutoff: int, algorithm: str = "gbt", last: int | None = None, drop_sparse: bool = False, min_train_rows: int = 0, parallelism: int = 4, **params) -> DataFrame:
+    """(date, ticker, pred, next_month_return, mcap_pct_rank), the last two where there are such columns: for each date from the ``cutoff``-th on, predictions of a model fitted on earlier dates only.
 
     Fits depend on nothing but earlier rows, so ``parallelism`` dates are fitted
     at a time, each distributed, over rows that are kept once for all of them.
-    Options: rows with too many missing variables go; the larger half by market
-    cap; training only on tickers with more than ``min_train_rows`` rows before
-    the first predicted date (later ones never come in: a month's newcomers are
-    dropped before the next one's are counted). ``last``: at most so many dates.
+    Options: rows with too many missing variables go; training only on tickers
+    with more than ``min_train_rows`` rows before the first predicted date
+    (later ones never come in: a month's newcomers are dropped before the next
+    one's are counted). ``last``: at most so many dates. Tables with too few
+    dates, or none, give no rows.
     """
     rows = sparse_rows_out(df, variables) if drop_sparse else df
-    if mcap_half:
-        rows = rows.where("mcap_pct_rank <= 0.5")
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     dates = [r.date for r in rows.select("date").distinct().orderBy("date").collect()]
+    shown = ["date", "ticker", "pred", *[c for c in ("next_month_return", "mcap_pct_rank") if c in df.columns]]
+    if len(dates) <= cutoff:
+        return df.limit(0).withColumn("pred", F.lit(0.0)).select(*shown)
     train = rows.where(F.col(y).isNotNull())
     if min_train_rows:
         first = train.where(F.col("date") < F.lit(dates[cutoff])).groupBy("ticker").count()
@@ -72,23 +74,32 @@ def walk_forward_predictions(df: DataFrame, y: str, variables: list[str], cutoff
 
     def predicted(day) -> DataFrame:
         model = pipeline(algorithm, y, variables, **params).fit(train.where(F.col("date") < F.lit(day)))
-        return scored(model, rows.where(F.col("date") == F.lit(day))).select("date", "ticker", "pred", *[c for c in ("next_month_return",) if c in df.columns])
+        return scored(model, rows.where(F.col("date") == F.lit(day))).select(*shown)
 
     with ThreadPoolExecutor(parallelism) as pool:
         parts = list(pool.map(inheritable_thread_target(df.sparkSession)(predicted), dates[cutoff : None if last is None else cutoff + last]))
     return reduce(DataFrame.unionByName, parts)
 
 
-def predicted_portfolio(pred: DataFrame, n: int = 50, threshold: float | None = None, short: bool = False, held_pool: int | None = None) -> DataFrame:
-    """A portfolio a date of its best predictions: above a threshold, the worst instead, or names held on to out of the best ``held_pool``."""
-    if held_pool:
-        return sticky(pred.withColumn("model_id", F.lit("")), n, held_pool, threshold).drop("model_id")
-    return top_n(pred if threshold is None else pred.where(F.col("pred") >= threshold), "pred", n, ["date"], "ticker", descending=not short)
+def predicted_portfolio(pred: DataFrame, n: int = 50, threshold: float | None = None, held_pool: int | None = None, mcap_half: bool = False) -> DataFrame:
+    """A portfolio a date of predictions: (date, ticker, pred, ..).
+
+    Plain: the n best. With a threshold, or a pool to hold on within: n on the
+    first date, after that n + 1, those held before first; a pool is the date's
+    ``held_pool`` best, by default n + 1, and with a threshold all names at
+    least at the smaller of it and the pool's last prediction. ``mcap_half``:
+    out of the larger half by market cap only; models train on all rows.
+    """
+    if mcap_half:
+        pred = pred.where("mcap_pct_rank <= 0.5")
+    if threshold is None and held_pool is None:
+        return top_n(pred, "pred", n, ["date"], "ticker", descending=True)
+    return sticky(pred.withColumn("model_id", F.lit("")), n + 1, held_pool or n + 1, threshold, first=n).drop("model_id")
 
 
-def walk_forward(df: DataFrame, y: str, variables: list[str], cutoff: int, n: int = 50, threshold: float | None = None, short: bool = False, held_pool: int | None = None, **options) -> DataFrame:
+def walk_forward(df: DataFrame, y: str, variables: list[str], cutoff: int, n: int = 50, threshold: float | None = None, held_pool: int | None = None, mcap_half: bool = False, **options) -> DataFrame:
     """The portfolio of ``walk_forward_predictions``."""
-    return predicted_portfolio(walk_forward_predictions(df, y, variables, cutoff, **options), n, threshold, short, held_pool)
+    return predicted_portfolio(walk_forward_predictions(df, y, variables, cutoff, **options), n, threshold, held_pool, mcap_half)
 
 
 def search(train: DataFrame, y: str, variables: list[str], algorithm: str, grid: dict[str, list], folds: int = 3, metric: str = "f1", draws: int | None = None, seed: int = 1) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,8 +53,8 @@ def sticky(candidates: DataFrame, keep: int, pool: int | None = None, threshold:
     those at least at min(threshold, the pool's last prediction). Previous
     holdings among them come first, then the best others, up to ``keep``
     (``first`` on the first date). Membership depends on the date before, so a
-    model's dates run in order in one task; ``pool`` rows a date reach it,
-    with a threshold all those above it.
+    model's dates are folded in order, in one row of arrays; ``pool`` names a
+    date reach it, with a threshold all those above it. Models run side by side.
     """
     pool = pool or keep
     w = Window.partitionBy(model, "date").orderBy(F.desc("pred"), "ticker")
@@ -74,17 +73,22 @@ def low_turnover(lists: DataFrame, keep: int, listed: int, model: str = "model_i
 
 
 def _in_order(rows: DataFrame, keep: int, first: int) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: set[str] = set()
-        out = []
-        for _, day in pdf.sort_values(["date", "pred", "ticker"], ascending=[True, False, True]).groupby("date", sort=True):
-            day = day.assign(held=day["ticker"].isin(held))
-            day = day.sort_values("held", ascending=False, kind="stable").head(keep if out else first)
-            held = set(day["ticker"])
-            out.append(day)
-        return pd.concat(out) if out else pdf.assign(held=False)
+    """Dates folded in order, a model's in one row: each date's candidates as an array, the names held as the state."""
+    names = rows.groupBy("model_id", "date").agg(F.sort_array(F.collect_list(F.struct((-F.col("pred")).alias("n"), "ticker"))).alias("c"))
+    days = names.groupBy("model_id").agg(F.sort_array(F.collect_list(F.struct("date", "c"))).alias("days"))
+    kind = "struct<held:array<string>, out:array<struct<date:date, picked:array<struct<n:double, ticker:string>>, before:array<string>>>>"
 
-    return rows.groupBy("model_id").applyInPandas(run, "model_id string, date date, ticker string, pred double, held boolean")
+    def step(state: Column, day: Column) -> Column:
+        has = lambda c: F.array_contains(state["held"], c["ticker"])
+        ordered = F.concat(F.filter(day["c"], has), F.filter(day["c"], lambda c: ~has(c)))
+        picked = F.slice(ordered, 1, F.when(F.size(state["out"]) > 0, keep).otherwise(first))
+        done = F.struct(day["date"].alias("date"), picked.alias("picked"), state["held"].alias("before"))
+        return F.struct(picked["ticker"].alias("held"), F.concat(state["out"], F.array(done)).alias("out")).cast(kind)
+
+    start = F.struct(F.array().cast("array<string>").alias("held"), F.array().alias("out")).cast(kind)
+    folded = days.select("model_id", F.explode(F.aggregate("days", start, step, lambda s: s["out"])).alias("d"))
+    each = folded.select("model_id", "d.date", "d.before", F.explode("d.picked").alias("p"))
+    return each.select("model_id", "date", F.col("p.ticker").alias("ticker"), (-F.col("p.n")).alias("pred"), F.array_contains("before", F.col("p.ticker")).alias("held"))
 
 
 def period_returns(ptf: DataFrame, cost: float, by: list[str] | None = None, ret: str = "next_month_return", names: int = 50, ticker: str = "ticker") -> DataFrame:
@@ -97,7 +101,11 @@ def period_returns(ptf: DataFrame, cost: float, by: list[str] | None = None, ret
     size, and meet the next date's in a window.
     """
     by = by or []
-    held = ptf.groupBy(*by, "date").agg(F.coalesce(F.avg(ret), F.lit(0.0)).alias(ret), F.collect_set(ticker).alias("_names"))
+    return chained_returns(ptf.groupBy(*by, "date").agg(F.coalesce(F.avg(ret), F.lit(0.0)).alias(ret), F.collect_set(ticker).alias("_names")), cost, by, ret, names)
+
+
+def chained_returns(held: DataFrame, cost: float, by: list[str], ret: str = "next_month_return", names: int = 50) -> DataFrame:
+    """``period_returns`` of portfolios that are a row a date already: their mean return, and their names as ``_names``."""
     following = F.lead("_names").over(Window.partitionBy(*by).orderBy("date") if by else Window.partitionBy(F.lit(0)).orderBy("date"))
     new = held.withColumn("_new", F.array_except(following, "_names"))
     out = new.withColumn("turnover", F.when(F.col("_new").isNotNull(), F.size("_new").cast("long"))).drop("_names", "_new")
@@ -161,8 +169,8 @@ def stats_long(wide: DataFrame, by: list[str], fields: list[str], period: str) -
     return wide.select(*by, *fields).unpivot(by, fields, "field", "value").withColumn("period", F.lit(period))
 
 
-def combo_sweep(ranks: DataFrame, combos: DataFrame, n: int, cost: float, ret: str = "next_month_return", most_missing: int = 0) -> DataFrame:
-    """Portfolio returns of every combination in one job.
+def joined_sweep(ranks: DataFrame, combos: DataFrame, n: int, cost: float, ret: str = "next_month_return", most_missing: int = 0) -> DataFrame:
+    """Portfolio returns of every combination by a plain join: for few combinations; ``sweep.combo_sweep`` shuffles n names a combination and date.
 
     ``ranks``: long (date, ticker, variable, rank); ``combos``: (model_id,
     var_1..). Ranks meet the combinations on the variable and are averaged by

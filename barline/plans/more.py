@@ -16,7 +16,7 @@ from barline.operators.bars import period_close, whole_bar
 from barline.plans.features import rounded
 from barline.plans.joins import BRANDS, months
 from barline.plans.portfolios import RANKED, panel
-from barline.plans.registry import query
+from barline.plans.registry import query, view
 from barline.plans.research import VARIABLES, _rows
 from barline.plans.signals import LONG, SHORT, color, px
 from barline.session import shared_folder
@@ -173,23 +173,53 @@ def walk_forward_regressor(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def walk_forward_variants(spark: SparkSession, d: str) -> DataFrame:
-    """Rows with few variables away, with a threshold and without; training on tickers with history; the larger half; the short side; held names.
+    """Rows with few variables away, with a threshold and without; training on tickers with history; out of the larger half; held names.
 
     Fitted once for each choice of rows; the predictions are written and chosen from.
     """
     rows, base = _rows(spark, d), shared_folder(spark, "predictions")
     rows = rows.withColumn("mcap_pct_rank", F.percent_rank().over(Window.partitionBy("date").orderBy(F.desc("marketcap"))))
-    fits = {"all": {}, "sparse": {"drop_sparse": True}, "history": {"min_train_rows": 3}, "half": {"mcap_half": True}}
+    fits = {"all": {}, "sparse": {"drop_sparse": True}, "history": {"min_train_rows": 3}}
     for name, options in fits.items():
         write_table(models.walk_forward_predictions(rows, "y", VARIABLES, cutoff=60, maxIter=2, maxDepth=2, seed=1, **options), f"{base}/{name}")
-    chosen = {
-        "sparse": ("sparse", {}), "sparse_threshold": ("sparse", {"threshold": 0.3}), "threshold": ("all", {"threshold": 0.3}), "history": ("history", {}),
-        "half": ("half", {}), "half_threshold": ("half", {"threshold": 0.3}), "short": ("all", {"short": True}), "held": ("all", {"held_pool": 12}),
-    }
-    parts = [models.predicted_portfolio(spark.read.parquet(f"{base}/{k}"), 6, **o).select(F.lit(n).alias("variant"), "date", "ticker", "pred") for n, (k, o) in chosen.items()]
+    source = {"sparse": "sparse", "sparse_threshold": "sparse", "history": "history"}
+    parts = [models.predicted_portfolio(spark.read.parquet(f"{base}/{source.get(n, 'all')}"), 6, **o).select(F.lit(n).alias("variant"), "date", "ticker", "pred") for n, o in CHOSEN.items()]
     return rounded(reduce(DataFrame.unionByName, parts))
 
 
+#: Variants of a portfolio of predictions; at most six names on the first date and seven after it, where names are held.
+CHOSEN = {
+    "plain": {}, "sparse": {}, "sparse_threshold": {"threshold": 0.3}, "threshold": {"threshold": 0.3}, "history": {},
+    "half": {"mcap_half": True}, "half_threshold": {"mcap_half": True, "threshold": 0.3}, "held": {"held_pool": 13},
+}
+GIVEN = {k: CHOSEN[k] for k in ("plain", "threshold", "half", "half_threshold", "held")}
+# a score in place of a fit: deterministic, with ties, and with dates on which few pass the threshold
+view("given", "SELECT date, ticker, round(abs(sin(date_diff('day', DATE '1970-01-01', date) * 7 + CAST(substr(ticker, 7) AS INTEGER) * 13)) * (.25 + (month(date) % 4) * .25), 2) AS pred, percent_rank() OVER (PARTITION BY date ORDER BY marketcap DESC NULLS LAST) AS mcap FROM {{panel}}")
+
+
+def _variant(name: str, o: dict) -> str:
+    """SQL of a variant over given predictions; held names a date after the other."""
+    some = f"SELECT date, ticker, pred, row_number() OVER (PARTITION BY date ORDER BY pred DESC, ticker) AS n FROM {{{{given}}}} {'WHERE mcap <= .5' if o.get('mcap_half') else ''}"
+    if "threshold" not in o and "held_pool" not in o:
+        return f"SELECT '{name}' AS variant, date, ticker, pred FROM ({some}) WHERE n <= 6"
+    pool = o.get("held_pool", 7)
+    listed = f"SELECT * FROM c WHERE n <= {pool}" if "threshold" not in o else f"SELECT c.* FROM c JOIN (SELECT date, least({o['threshold']}, min(pred) FILTER (n <= {pool})) AS floor FROM c GROUP BY date) f USING (date) WHERE pred >= floor"
+    return f"""SELECT * FROM (WITH RECURSIVE c AS ({some}), l AS (SELECT date, list(ticker ORDER BY n) AS names, row_number() OVER (ORDER BY date) AS k FROM ({listed}) GROUP BY date),
+        s AS (SELECT k, date, names[1:6] AS now FROM l WHERE k = 1 UNION ALL
+          SELECT l.k, l.date, list_concat(list_filter(l.names, lambda x: list_contains(s.now, x)), list_filter(l.names, lambda x: NOT list_contains(s.now, x)))[1:7] FROM s JOIN l ON l.k = s.k + 1)
+        SELECT '{name}' AS variant, u.date, u.ticker, c.pred FROM (SELECT date, unnest(now) AS ticker FROM s) u JOIN c ON c.date = u.date AND c.ticker = u.ticker)"""
+
+
+@query(" UNION ALL ".join(f"({_variant(k, o)})" for k, o in GIVEN.items()))
+def portfolio_variants(spark: SparkSession, d: str) -> DataFrame:
+    """The variants over given predictions, so that what they hold can be told exactly."""
+    p = panel(spark, d)
+    score = F.abs(F.sin(F.unix_date("date") * 7 + F.substring("ticker", 7, 9).cast("int") * 13)) * (0.25 + (F.month("date") % 4) * 0.25)
+    given = p.select("date", "ticker", stable_round(score, 2).alias("pred"), F.percent_rank().over(Window.partitionBy("date").orderBy(F.desc_nulls_last("marketcap"))).alias("mcap_pct_rank"))
+    parts = [models.predicted_portfolio(given, 6, **o).select(F.lit(k).alias("variant"), "date", "ticker", "pred") for k, o in GIVEN.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query()
 def swapped_variables(spark: SparkSession, d: str) -> DataFrame:
     early, late = models.split_by_date(_rows(spark, d))

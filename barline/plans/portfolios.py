@@ -10,6 +10,7 @@ from barline.functions import ranks as rk
 from barline.operators import fundamentals as fd
 from barline.operators import portfolio as pf
 from barline.operators import relational as rel
+from barline.operators import sweep as sw
 from barline.plans.features import _M, day_mom, month_returns, rounded
 from barline.plans.joins import valuation_months
 from barline.plans.registry import query, view
@@ -167,7 +168,7 @@ view("swept", f"""SELECT model_id, date, ticker, next_month_return FROM (SELECT
 
 def swept_returns(spark: SparkSession, d: str) -> DataFrame:
     names = spark.createDataFrame([(v,) for v in SWEPT], "variable string")
-    return pf.combo_sweep(pf.long_ranks(panel(spark, d), SWEPT, "next_month_return"), rel.combos(names, 3), N, COST)
+    return sw.combo_sweep(panel(spark, d), SWEPT, rel.combos(names, 3), N, COST)
 
 
 _S = f"WITH pp AS (SELECT * FROM {{{{swept}}}}), {_returns('pp', 'model_id')}"
@@ -301,10 +302,28 @@ view("five", f"""SELECT model_id, date, ticker, next_month_return FROM (SELECT *
 def combo_sweep_five(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of free variables with three fixed ones."""
     names = spark.createDataFrame([(v,) for v in FREE], "variable string")
-    out = pf.combo_sweep(pf.long_ranks(panel(spark, d), FIXED + FREE, "next_month_return"), rel.combos(names, 2, FIXED), N, COST)
+    out = sw.combo_sweep(panel(spark, d), FIXED + FREE, rel.combos(names, 2, FIXED), N, COST)
     return out.select("model_id", "date", stable_round("next_month_return", 6).alias("next_month_return"), "turnover", stable_round("total_return_idx", 4).alias("total_return_idx"))
 
 
+WIDE = ["px_close", "px_pct_1m", "px_pct_2m", "px_pct_3m", "px_pct_6m", "volume", "marketcap", "pe", "pb", "ps", "pe_pb", "cap_volume"]
+_WIDE = "SELECT *, round(pe / nullif(pb, 0), 6) AS pe_pb, round(marketcap / nullif(volume, 0), 4) AS cap_volume FROM {{panel}}"
+view("wide", _WIDE)
+view("wide_ranks", " UNION ALL ".join(f"SELECT date, ticker, next_month_return, '{v}' AS variable, {_avg_rank(v)} AS rank FROM {{{{wide}}}} WHERE {v} IS NOT NULL" for v in WIDE))
+view("wide_models", "WITH v AS (SELECT DISTINCT variable FROM {{wide_ranks}}) SELECT a.variable || '-' || b.variable || '-' || c.variable AS model_id, unnest([a.variable, b.variable, c.variable]) AS variable FROM v a JOIN v b ON a.variable < b.variable JOIN v c ON b.variable < c.variable")
+view("wide_ptf", f"""SELECT model_id, date, ticker, next_month_return FROM (SELECT *, row_number() OVER (PARTITION BY model_id, date ORDER BY combo_rank, ticker) AS n FROM (
+    SELECT model_id, date, ticker, avg(rank) AS combo_rank, any_value(next_month_return) AS next_month_return FROM {{{{wide_ranks}}}} JOIN {{{{wide_models}}}} USING (variable) GROUP BY model_id, date, ticker HAVING count(rank) >= 2)) WHERE n <= {N}""")
+
+
+@query(f"WITH pp AS (SELECT * FROM {{{{wide_ptf}}}}), {_returns('pp', 'model_id')}, f AS (SELECT model_id, count(*) AS dates, CAST(sum(turnover) AS BIGINT) AS turnover, round(avg(r), 6) AS mean_return, round(arg_max(total_return_idx, date) FILTER (total_return_idx IS NOT NULL), 3) AS final FROM z GROUP BY 1) SELECT * FROM f")
+def combo_sweep_wide(spark: SparkSession, d: str) -> DataFrame:
+    """All triples of twelve variables; a name takes part with one of three ranks missing."""
+    p = panel(spark, d).withColumns({"pe_pb": stable_round(F.try_divide("pe", "pb"), 6), "cap_volume": stable_round(F.try_divide("marketcap", "volume"), 4)})
+    names = spark.createDataFrame([(v,) for v in WIDE], "variable string")
+    out = sw.combo_sweep(p, WIDE, rel.combos(names, 3), N, COST, most_missing=1)
+    return out.groupBy("model_id").agg(F.count("*").alias("dates"), F.sum("turnover").alias("turnover"), stable_round(F.avg("next_month_return"), 6).alias("mean_return"), stable_round(F.max_by("total_return_idx", F.when(F.col("total_return_idx").isNotNull(), F.col("date"))), 3).alias("final"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of every three-factor combination: prices to monthly bars, returns, ranks, portfolios, indices."""
     return rounded(pf.performance(swept_returns(spark, d), start=12, by=["model_id"]), 5)
