@@ -88,46 +88,3 @@ def forest_importance(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def random_search(spark: SparkSession, d: str) -> DataFrame:
     return rounded(models.search(_rows(spark, d), "y", VARIABLES, "gbt", {"maxDepth": [2, 3], "maxIter": [2, 4], "stepSize": [0.1, 0.3]}, folds=3, draws=4))
-
-
-@query("SELECT id, date_trunc('hour', timestamp) AS ts, round(avg(prices), 6) AS px, sum(total_volumes) AS volume, count(*) AS num FROM {{ticks}} GROUP BY ALL")
-def stream_hourly_bars(spark: SparkSession, d: str) -> DataFrame:
-    from barline import streaming as st
-
-    spark.conf.set("spark.sql.streaming.stateStore.stateSchemaCheck", "true")
-    out = st.run_available(st.hour_bar_stream(st.event_stream(spark, d)), "complete")
-    return out.select("id", F.col("ts").cast("timestamp_ntz").alias("ts"), stable_round("px", 6).alias("px"), "volume", "num")
-
-
-@query("SELECT id, date_trunc('hour', timestamp) - to_hours(k) AS start, count(*) AS num FROM {{ticks}}, (SELECT unnest(range(0, 3)) AS k) GROUP BY ALL")
-def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
-    from barline import streaming as st
-
-    out = st.run_available(st.sliding_stream(st.event_stream(spark, d), "3 hours", "1 hour"), "complete")
-    return out.select("id", F.col("start").cast("timestamp_ntz").alias("start"), "num")
-
-
-@query("SELECT event_id, event_type AS id FROM events")
-def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    from barline import streaming as st
-
-    ticks = st.event_stream(spark, d)
-    return st.run_available(st.dedup_stream(ticks.unionByName(ticks), ["event_id"])).select("event_id", "id")
-
-
-@query("""WITH t AS (SELECT id, timestamp, coalesce(timestamp > lag(timestamp) OVER (PARTITION BY id ORDER BY timestamp) + INTERVAL 10 MINUTE, true) AS starts FROM {{ticks}}),
-    s AS (SELECT id, timestamp, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY id ORDER BY timestamp) AS k FROM t) SELECT id, min(timestamp) AS "start", max(timestamp) + INTERVAL 10 MINUTE AS "end", count(*) AS num FROM s GROUP BY id, k""")
-def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    from barline import streaming as st
-
-    out = st.run_available(st.session_stream(st.event_stream(spark, d), "10 minutes"), "complete")
-    return out.select("id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "num")
-
-
-@query("""WITH t AS (SELECT id, timestamp, prices, coalesce(last_value(CASE WHEN prices >= 60 THEN 1 WHEN prices <= 40 THEN 0 END IGNORE NULLS) OVER (PARTITION BY id ORDER BY timestamp), 0) AS position FROM {{ticks}}),
-    b AS (SELECT *, coalesce(lag(position) OVER (PARTITION BY id ORDER BY timestamp), 0) AS before FROM t) SELECT id, timestamp, prices, CAST(position AS INTEGER) AS position FROM b WHERE position <> before""")
-def stream_positions(spark: SparkSession, d: str) -> DataFrame:
-    from barline import streaming as st
-
-    out = st.run_available(st.position_stream(st.event_stream(spark, d), 60.0, 40.0), "append")
-    return out.select("id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "prices", "position")

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barline.operators.relational import insert_new
 from barline.session import shared_folder
@@ -18,7 +13,11 @@ def event_stream(spark: SparkSession, base: str, files_per_batch: int = 1) -> Da
     """The events table as a stream of ticks: (id, timestamp, prices, volume)."""
     schema = spark.read.parquet(f"{base}/events.parquet").schema
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(base)
-    return raw.select(F.col("event_id"), F.col("event_type").alias("id"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("value").alias("prices"), F.get_json_object("props", "$.k").cast("double").alias("volume"))
+    return as_ticks(raw)
+
+
+def as_ticks(events: DataFrame) -> DataFrame:
+    return events.select(F.col("event_id"), F.col("event_type").alias("id"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("value").alias("prices"), F.get_json_object("props", "$.k").cast("double").alias("volume"))
 
 
 def hour_bar_stream(ticks: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -41,24 +40,6 @@ def dedup_stream(ticks: DataFrame, keys: list[str], late: str = "1 hour") -> Dat
     return ticks.withWatermark("timestamp", late).dropDuplicatesWithinWatermark(keys)
 
 
-def position_stream(ticks: DataFrame, up: float, down: float) -> DataFrame:
-    """Position changes (id, timestamp, prices, position) as prices cross two levels; the position is the state of an id."""
-
-    def step(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else 0
-        ticks = pd.concat(list(frames)).sort_values("timestamp")
-        price = ticks["prices"].to_numpy(dtype=float)
-        told = (price >= up) | (price <= down)  # the ticks that say what the position is from there on
-        last = np.maximum.accumulate(np.where(told, np.arange(len(price)), -1))
-        position = np.where(last >= 0, price[last] >= up, before).astype("int32")
-        state.update((int(position[-1]),))
-        change = position != np.r_[before, position[:-1]]
-        if change.any():
-            yield ticks.loc[change, ["id", "timestamp", "prices"]].assign(position=position[change])
-
-    return ticks.groupBy("id").applyInPandasWithState(step, "id string, timestamp timestamp, prices double, position int", "position int", "append", GroupStateTimeout.NoTimeout)
-
-
 def upsert_batch(path: str, keys: list[str]):
     """For foreachBatch: rows with new keys are appended to a Parquet table."""
 
@@ -76,11 +57,12 @@ def upsert_batch(path: str, keys: list[str]):
     return put
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append", watch: list | None = None) -> DataFrame:
     """Runs a stream over what is there and returns its rows as a batch table.
 
     Batches go to Parquet in the shared folder, a repeated one over itself, with
     the checkpoint beside them; of a complete-mode stream the last one counts.
+    ``watch`` receives the progress of the batches: rows, watermark, state.
     """
     spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
     last = -1
@@ -92,6 +74,8 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
+    if watch is not None:
+        watch += q.recentProgress
     if last < 0:
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows/b{last:06d}" if mode == "complete" else f"{folder}/rows/b*")
