@@ -9,16 +9,20 @@ from barline.plans.joins import months
 from barline.plans.registry import query
 from barline.sources import canonical as src
 from barline.sources.formats import fenced_rows, pages_until_empty, unzip_csv, xml_facts, zip_texts
+from barline.session import shared_folder
+from barline.sources.pages import THREE_DAYS, read_pages, save_pages
 from barline.sources.readers import read_table
 
 PER_PAGE = 25
 _MARKET = "id string, symbol string, market_cap double, market_cap_rank int, fully_diluted_valuation double"
 
 
-@query(f"""SELECT CAST(p_partkey // {PER_PAGE} + 1 AS BIGINT) AS page, 'c' || p_partkey AS id, p_brand AS symbol, CAST(CASE WHEN p_size > 10 THEN trunc(p_retailprice) ELSE 0 END AS BIGINT) AS market_cap,
-    CASE WHEN p_size > 10 THEN p_size ELSE 0 END AS market_cap_rank, CAST(round_even(p_retailprice * 10, 0) AS BIGINT) AS fully_diluted_valuation FROM part""")
-def paged_markets(spark: SparkSession, d: str) -> DataFrame:
-    """A list of markets in pages; the page after the last is empty, and one beyond it is never reached."""
+_MARKETS = f"""SELECT CAST(p_partkey // {PER_PAGE} + 1 AS BIGINT) AS page, 'c' || p_partkey AS id, p_brand AS symbol, CAST(CASE WHEN p_size > 10 THEN trunc(p_retailprice) ELSE 0 END AS BIGINT) AS market_cap,
+    CASE WHEN p_size > 10 THEN p_size ELSE 0 END AS market_cap_rank, CAST(round_even(p_retailprice * 10, 0) AS BIGINT) AS fully_diluted_valuation FROM part"""
+
+
+def _market_pages(spark: SparkSession, d: str) -> DataFrame:
+    """(page, value): a list of markets in pages; the page after the last is empty, and one beyond it is never reached."""
     p = read_table(spark, d, "part", ["p_partkey", "p_brand", "p_retailprice", "p_size"])
     known = lambda c: F.when(F.col("p_size") > 10, F.col(c))
     item = F.struct(
@@ -28,11 +32,47 @@ def paged_markets(spark: SparkSession, d: str) -> DataFrame:
     full = p.groupBy(F.floor(F.col("p_partkey") / PER_PAGE + 1).alias("page")).agg(F.to_json(F.collect_list(item)).alias("value"))
     last = full.agg(F.max("page").alias("last"))
     beyond = last.select(F.explode(F.expr("array(struct(last + 1 AS page, '[]' AS value), struct(last + 2 AS page, '[{\"id\": \"stale\"}]' AS value))")).alias("p")).select("p.*")
+    return full.unionByName(beyond)
+
+
+def _markets(listed: DataFrame) -> DataFrame:
     whole = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    out = pages_until_empty(full.unionByName(beyond), _MARKET).withColumn("fully_diluted_valuation", F.rint("fully_diluted_valuation"))
+    out = listed.withColumn("fully_diluted_valuation", F.rint("fully_diluted_valuation"))
     return out.select("page", "id", "symbol", whole("market_cap"), F.coalesce("market_cap_rank", F.lit(0)).alias("market_cap_rank"), whole("fully_diluted_valuation"))
 
 
+@query(_MARKETS)
+def paged_markets(spark: SparkSession, d: str) -> DataFrame:
+    return _markets(pages_until_empty(_market_pages(spark, d), _MARKET))
+
+
+@query(_MARKETS)
+def page_source(spark: SparkSession, d: str) -> DataFrame:
+    """The same list from saved replies, a partition for each page."""
+    path = f"{shared_folder(spark, 'replies')}/markets"
+    save_pages(_market_pages(spark, d).withColumnRenamed("page", "key"), path)
+    return _markets(read_pages(spark, path, f"key long, {_MARKET}", until_empty=True).withColumnRenamed("key", "page"))
+
+
+@query("SELECT symbol, time_open, open, high, low, close, volume FROM {{ohlc}}")
+def candle_source_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Candles in windows of three days, as a stream that is stopped and goes on from its checkpoint when the later windows have come."""
+    from barline.operators.bars import ohlc_bars
+
+    folder = shared_folder(spark, "replies")
+    b = ohlc_bars(src.ticks(spark, d)).withColumn("t", F.unix_millis(F.col("time_open").cast("timestamp")))
+    text = F.array(*[F.col(c).cast("string") for c in ("symbol", "t", "open", "high", "low", "close", "volume")])
+    bodies = b.groupBy((F.col("t") - F.pmod("t", F.lit(THREE_DAYS))).alias("key")).agg(F.to_json(F.collect_list(text)).alias("value"))
+    middle = bodies.agg(F.percentile_approx("key", 0.5)).first()[0]
+    schema = "symbol string, t long, open double, high double, low double, close double, volume double"
+    for part in (bodies.where(F.col("key") <= middle), bodies.where(F.col("key") > middle)):
+        save_pages(part, f"{folder}/candles")
+        stream = read_pages(spark, f"{folder}/candles", schema, THREE_DAYS, stream=True)
+        stream.writeStream.format("parquet").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{folder}/table")
+    return rows.select("symbol", F.timestamp_millis("t").cast("timestamp_ntz").alias("time_open"), "open", "high", "low", "close", "volume")
+
+
 @query("SELECT ticker, date, px_close FROM {{months}}")
 def zip_scan(spark: SparkSession, d: str) -> DataFrame:
     """A zip archive for each year, with a CSV member for each ticker, beside members and archives that are none."""
