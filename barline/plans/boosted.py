@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barline.functions.columns import stable_round
 from barline.operators import boosting as bt
+from barline.operators import explain as ex
 from barline.operators import portfolio as pf
 from barline.plans.features import rounded
 from barline.plans.registry import query, view
@@ -81,3 +82,25 @@ SPACE = {"depth": [3, 4, 5], "eta": [0.05, 0.1, 0.15, 0.2, 0.25], "gamma": [10,
 def boosted_search(spark: SparkSession, d: str) -> DataFrame:
     """A hundred draws of the six-axis space (subsampling has one value, 1) x three folds, 300 models together."""
     return rounded(bt.search_many(_rows(spark, d), "y", VARIABLES, SPACE, draws=100, folds=3, trees=3))
+
+
+@query("""SELECT date, ticker, variable, round(CASE WHEN on_it THEN on_left ELSE on_right END - (on_left * cover_left + on_right * (all_h - cover_left)) / all_h, 6) AS contribution FROM (
+    SELECT l.date, l.ticker, s.variable, s.on_left, s.on_right, o.h1 AS cover_left, o.all_h, CASE WHEN t.x IS NULL THEN s.missing_left ELSE t.x <= s.cut END AS on_it
+    FROM {{labelled}} l JOIN {{stumps}} s ON s.model = l.date JOIN {{train_long}} t ON t.date = l.date AND t.ticker = l.ticker AND t.variable = s.variable
+    JOIN {{stump_options}} o ON o.model = s.model AND o.variable = s.variable AND o.cut = s.cut AND (o.r = 0) = s.missing_left) WHERE on_left <> on_right""")
+def stump_explanations(spark: SparkSession, d: str) -> DataFrame:
+    """What the one variable of each date's stump adds to its predictions."""
+    pred, table = _stumps(spark, d)
+    out = ex.explain(pred.select("date", "ticker", "model_id", *VARIABLES), table, VARIABLES)
+    return rounded(ex.contributions(out, VARIABLES, ["date", "ticker"]))
+
+
+@query()
+def forest_explanations(spark: SparkSession, d: str) -> DataFrame:
+    """Mean size of every variable's contribution to a forest's predictions, by date."""
+    from barline.operators import models
+
+    rows = _rows(spark, d).dropna(subset=VARIABLES)
+    forest = models.pipeline("rf_reg", "next_month_return", VARIABLES, numTrees=5, maxDepth=4, seed=1).fit(rows)
+    out = ex.explain(rows.select("date", "ticker", F.lit("m").alias("model_id"), *VARIABLES), ex.node_table(forest.stages[-1], VARIABLES), VARIABLES)
+    return rounded(ex.contributions(out, VARIABLES, ["date"]).groupBy("date", "variable").agg(F.avg(F.abs("contribution")).alias("mean_size"), F.count("*").alias("n")))
