@@ -152,10 +152,9 @@ def grid(spark: SparkSession, **ranges: tuple[int, int]) -> DataFrame:
     return out
 
 
-def sample_draws(names: list[str], draws: int, k: int, spark: SparkSession, seed: int = 1) -> DataFrame:
-    """(draw, variable): k different names for each draw, in the order of a seeded hash."""
-    pool = spark.createDataFrame([(n,) for n in names], "variable string")
-    all_ = spark.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(pool))  # the pool is a literal list
+def sample_draws(pool: DataFrame, draws: int, k: int, seed: int = 1) -> DataFrame:
+    """(draw, variable): k different names of the pool, a column ``variable``, for each draw, in the order of a seeded hash."""
+    all_ = pool.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(pool.select("variable"))  # draws x names, as the sample is of all names
     n = F.row_number().over(Window.partitionBy("draw").orderBy(F.md5(F.concat_ws("-", "draw", "variable", F.lit(seed)).cast("binary")), "variable"))
     return all_.withColumn("_n", n).where(F.col("_n") <= k).drop("_n")
 

@@ -201,9 +201,11 @@ def combos3(spark: SparkSession, d: str) -> DataFrame:
     return rel.combos(read_table(spark, d, "part", ["p_brand"]).distinct(), 3, column="p_brand")
 
 
-@query("SELECT s.range AS short, l.range AS long FROM range(5, 30) s CROSS JOIN range(30, 60) l")
+@query("SELECT symbol, s.range AS short, l.range AS long FROM (SELECT DISTINCT event_type AS symbol FROM events) CROSS JOIN range(5, 30) s CROSS JOIN range(30, 60) l")
 def grid_cross(spark: SparkSession, d: str) -> DataFrame:
-    return rel.grid(spark, short=(5, 29), long=(30, 59))
+    """Every symbol with every pair of periods."""
+    symbols = read_table(spark, d, "events", ["event_type"]).select(F.col("event_type").alias("symbol")).distinct()
+    return symbols.crossJoin(rel.grid(spark, short=(5, 29), long=(30, 59)))
 
 
 @query("SELECT p_brand, p_type, p_partkey, p_retailprice FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_retailprice DESC, p_partkey) = 1")

@@ -21,7 +21,7 @@ from barline.plans.research import VARIABLES, _rows
 from barline.plans.signals import LONG, SHORT, color, px
 from barline.session import shared_folder
 from barline.sources import canonical as src
-from barline.sources.readers import append_log, read_csv, read_files, read_table, truncate, write_snapshot, write_table
+from barline.sources.readers import append_log, create_as, dated_name, insert_into, read_csv, read_files, read_table, truncate, write_snapshot, write_table
 
 PAIRS = [("closeadj_close_mean_4w", "closeadj_close_mean_12w"), ("closeadj_close_mean_4w", "closeadj_close_mean_24w"), ("closeadj_close_mean_12w", "closeadj_close_mean_24w"), ("closeadj_close_vol_12w", "closeadj_close_vol_24w")]
 _NAMED = [(a, b, f"{a}_by_{b.rsplit('_', 1)[1]}") for a, b in PAIRS]
@@ -52,9 +52,10 @@ def full_reindex(spark: SparkSession, d: str) -> DataFrame:
     return rel.reindex(months(spark, d).select("ticker", "date", "px_close"), "ticker", "date")
 
 
-@query(f"SELECT draw, variable FROM (SELECT draw, variable, row_number() OVER (PARTITION BY draw ORDER BY md5(draw || '-' || variable || '-1'), variable) AS n FROM (SELECT unnest(range(0, 2000)) AS draw), (VALUES {', '.join(f'({v!r})' for v in RANKED)}) v(variable)) WHERE n <= 3")
+@query("SELECT draw, variable FROM (SELECT draw, variable, row_number() OVER (PARTITION BY draw ORDER BY md5(draw || '-' || variable || '-1'), variable) AS n FROM (SELECT unnest(range(0, 2000)) AS draw), (SELECT DISTINCT p_type AS variable FROM part)) WHERE n <= 3")
 def variable_draws(spark: SparkSession, d: str) -> DataFrame:
-    return rel.sample_draws(RANKED, 2000, 3, spark)
+    """Two thousand draws of three names out of those in a table."""
+    return rel.sample_draws(read_table(spark, d, "part", ["p_type"]).select(F.col("p_type").alias("variable")).distinct(), 2000, 3)
 
 
 @query("SELECT CAST(coalesce(max(p_partkey), 0) + 1 AS BIGINT) AS model_id FROM part")
@@ -165,6 +166,23 @@ def sinks(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query("""SELECT 'created' AS step, strftime(date, '%Y%m') AS suffix, count(*) AS n FROM {{months}} WHERE px_close > 20 GROUP BY ALL UNION ALL SELECT 'inserted', strftime(date, '%Y%m'), count(*) FROM {{months}} GROUP BY ALL
+    UNION ALL SELECT 'dated', '199512', count(*) FROM {{months}} WHERE date <= DATE '1995-12-31' UNION ALL SELECT 'dated', '199612', count(*) FROM {{months}} WHERE date <= DATE '1996-12-31'""")
+def catalog_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of the catalogue: created as a SELECT, inserted into by one, and with the month as a suffix of their name."""
+    rows, base = months(spark, d).select("ticker", "date", "px_close"), shared_folder(spark, "catalog")
+    name = f"months_{base.rsplit('-', 1)[1]}"
+    create_as(rows.where("px_close > 20"), f"{name}_created", f"{base}/created")
+    create_as(rows.where("px_close > 20"), f"{name}_inserted", f"{base}/inserted")
+    insert_into(rows.where("px_close <= 20 or px_close is null"), f"{name}_inserted")
+    for day in ("1995-12-31", "1996-12-31"):
+        create_as(rows.where(F.col("date") <= F.lit(day).cast("date")), dated_name(name, day), f"{base}/{day}")
+    suffix = F.date_format("date", "yyyyMM").alias("suffix")
+    parts = [spark.table(f"{name}_{k}").groupBy(suffix).agg(F.count("*").alias("n")).select(F.lit(k).alias("step"), "suffix", "n") for k in ("created", "inserted")]
+    parts += [spark.table(f"{name}_{s}").agg(F.count("*").alias("n")).select(F.lit("dated").alias("step"), F.lit(s).alias("suffix"), "n") for s in ("199512", "199612")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query()
 def walk_forward_regressor(spark: SparkSession, d: str) -> DataFrame:
     out = models.walk_forward(_rows(spark, d), "next_month_return", VARIABLES, cutoff=60, algorithm="gbt_reg", n=10, maxIter=3, maxDepth=3, seed=1)

@@ -177,7 +177,10 @@ def best_params(spark: SparkSession, d: str) -> DataFrame:
     return sg.best_parameters(swept(spark, d), ["symbol"])
 
 
-@query("""WITH r AS (SELECT * FROM (VALUES ('a', DATE '2024-01-01', DATE '2024-01-06'), ('a', DATE '2024-01-06', DATE '2024-01-08'), ('b', DATE '2024-01-01', DATE '2024-01-06')) t(symbol, s, e)) SELECT symbol, CASE WHEN e - s < 5 THEN s ELSE e END AS restart FROM r QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY e DESC) = 1""")
+@query("""WITH f AS (SELECT symbol, CAST(min(time_close) AS DATE) AS f, CAST(max(time_close) AS DATE) AS l FROM {{bars15}} GROUP BY 1), w AS (SELECT symbol, CAST(unnest(range(f, l, INTERVAL 5 DAY)) AS DATE) AS s, l FROM f), r AS (SELECT symbol, s, least(s + 5, l) AS e FROM w)
+    SELECT symbol, CASE WHEN e - s < 5 THEN s ELSE e END AS restart FROM r QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY e DESC) = 1""")
 def running_restart(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.sql("SELECT * FROM VALUES ('a', DATE '2024-01-01', DATE '2024-01-06'), ('a', DATE '2024-01-06', DATE '2024-01-08'), ('b', DATE '2024-01-01', DATE '2024-01-06') t(symbol, window_start, window_end)")
-    return sg.unfinished_from(rows)
+    """Where each symbol's backtest in windows of five days goes on: its last window is done anew if it is short."""
+    span = px(spark, d).groupBy("symbol").agg(F.min("time_close").cast("date").alias("f"), F.max("time_close").cast("date").alias("l")).where("f < l")
+    starts = span.select("symbol", "l", F.explode(F.expr("sequence(f, date_sub(l, 1), INTERVAL 5 DAYS)")).alias("window_start"))
+    return sg.unfinished_from(starts.select("symbol", "window_start", F.least(F.date_add("window_start", 5), "l").alias("window_end")))

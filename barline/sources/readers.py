@@ -72,6 +72,27 @@ def write_snapshot(df: DataFrame, path: str, run_date: str) -> None:
     day.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(path)
 
 
+def create_as(df: DataFrame, name: str, path: str | None = None) -> None:
+    """CREATE TABLE .. AS SELECT: a Parquet table of the catalogue, in the warehouse or at ``path``; one of that name is replaced."""
+    df.createOrReplaceTempView("_created")
+    spark = df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE {name} USING parquet {f"LOCATION '{path}'" if path else ''} AS SELECT * FROM _created")
+    spark.catalog.dropTempView("_created")
+
+
+def insert_into(df: DataFrame, name: str) -> None:
+    """INSERT INTO .. SELECT, columns by their names."""
+    df.createOrReplaceTempView("_inserted")
+    df.sparkSession.sql(f"INSERT INTO {name} BY NAME SELECT * FROM _inserted")
+    df.sparkSession.catalog.dropTempView("_inserted")
+
+
+def dated_name(name: str, day: str) -> str:
+    """A table's name with year and month of a date (yyyy-mm-dd) as suffix."""
+    return f"{name}_{day[:4]}{day[5:7]}"
+
+
 def truncate(spark: SparkSession, path: str) -> None:
     """Leaves a Parquet table without rows, with its columns."""
     spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)

@@ -161,7 +161,7 @@ def test_upserts_profiles_and_draws(spark):
     new = spark.createDataFrame([(2, 9.0), (3, 3.0)], "k int, v double")
     assert sorted(map(tuple, relational.upsert(base, new, ["k"]).collect())) == [(1, 1), (2, 9), (3, 3)]
     assert sorted(map(tuple, relational.insert_new(base, new, ["k"]).collect())) == [(1, 1), (2, 2), (3, 3)]
-    assert relational.sample_draws(list("abcdef"), 5, 3, spark).groupBy("draw").count().where("count = 3").count() == 5
+    assert relational.sample_draws(spark.createDataFrame([(c,) for c in "abcdef"], "variable string"), 5, 3).groupBy("draw").count().where("count = 3").count() == 5
     corr = spark.createDataFrame([("a", "b", 0.95), ("b", "c", 0.1)], "var_1 string, var_2 string, corr double")
     imp = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "variable string, importance double")
     assert {r.variable for r in relational.prune_correlated(corr, imp).collect()} == {"b", "c"}
