@@ -35,7 +35,7 @@ TABLE = "model_id string, tree int, node int, variable string, cut double, missi
 
 @dataclass(frozen=True)
 class Spec:
-    """A model to be fitted: its parameters, the rows that train it (``order`` below ``until``, ``fold`` another than its own) and its seed."""
+    """A model to be fitted: its parameters, the rows that train it (``order`` below ``until``, ``fold`` another than its own), the places of the variables it may use, and its seed."""
 
     model_id: str
     trees: int = 10
@@ -49,11 +49,13 @@ class Spec:
     until: int | None = None
     fold: int | None = None
     seed: int = 1
+    only: tuple[int, ...] | None = None
 
     def drawn(self, tree: int, n: int) -> list[int]:
         """Variables that a tree may use."""
-        k = max(1, round(self.columns * n))
-        return sorted(random.Random(f"{self.seed}-{self.model_id}-{tree}").sample(range(n), k)) if k < n else list(range(n))
+        among = list(range(n)) if self.only is None else sorted(self.only)
+        k = max(1, round(self.columns * len(among)))
+        return sorted(random.Random(f"{self.seed}-{self.model_id}-{tree}").sample(among, k)) if k < len(among) else among
 
 
 def quantile_cuts(rows: DataFrame, variables: list[str], bins: int = 32, exact: bool = False) -> dict[str, list[float]]:
@@ -426,3 +428,32 @@ def _confusion(rows: DataFrame, y: str, table: DataFrame, variables: list[str],
 
     own = rows.select(*[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(variables)], F.col(y).cast("double").alias("_y"), F.col("_fold").cast("long").alias("_fold"))
     return own.mapInArrow(run, "draw int, fold long, tp long, fp long, fn long")
+
+
+def swap_prefixes(train: DataFrame, valid: DataFrame, y: str, variables: list[str], suffixes: dict[str, str], **params) -> DataFrame:
+    """(place, variable, replacement, replaced, f1, f1_replaced): variables put to the test against another form of the same prefix.
+
+    In turn, each ``prefix_suffix`` whose suffix has a counterpart and whose
+    counterpart is a column is replaced by it, where a model with it in its
+    place scores a higher F1 on the later rows; what was replaced stays so for
+    the tests after it. Both models of a test grow together.
+    """
+    tested = []
+    for v in variables:
+        prefix, _, suffix = v.rpartition("_")
+        if (other := f"{prefix}_{suffixes.get(suffix)}") in train.columns and other not in variables:
+            tested.append((v, other))
+    every = [*variables, *[o for _, o in tested]]
+    cuts, chosen, rows = quantile_cuts(train, every), list(variables), []
+    for i, (v, other) in enumerate(tested):
+        trial = [other if c == v else c for c in chosen]
+        specs = [Spec(k, only=tuple(every.index(c) for c in vs), **params) for k, vs in (("kept", chosen), ("swapped", trial))]
+        table = fit_many(train, y, every, specs, cuts=cuts)
+        both = valid.where(F.col(y).isNotNull()).withColumn("model_id", F.explode(F.array(F.lit("kept"), F.lit("swapped"))))
+        said, true = F.col("pred") > 0.5, F.col(y) == 1
+        c = predict(both, table, every).groupBy("model_id").agg(*[F.count(F.when(w, 1)).alias(k) for k, w in (("tp", said & true), ("fp", said & ~true), ("fn", ~said & true))])
+        f1 = {r.model_id: 2 * r.tp / (2 * r.tp + r.fp + r.fn) if r.tp else 0.0 for r in c.collect()}
+        kept, swapped = f1.get("kept", 0.0), f1.get("swapped", 0.0)
+        chosen = trial if swapped > kept else chosen
+        rows.append((i, v, other, swapped > kept, kept, swapped))
+    return train.sparkSession.createDataFrame(rows, "place int, variable string, replacement string, replaced boolean, f1 double, f1_replaced double")

@@ -1,4 +1,8 @@
-"""Ranks combined into portfolios, returns with turnover costs, performance statistics, orders."""
+"""Ranks combined into portfolios, returns with turnover costs, performance statistics, orders.
+
+A portfolio has a row a date before it is chained or summed up; where no key is
+given, that series is one window, of as many rows as there are dates.
+"""
 
 from __future__ import annotations
 

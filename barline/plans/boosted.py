@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barline.functions.columns import stable_round
@@ -10,6 +10,7 @@ from barline.operators import boosting as bt
 from barline.operators import explain as ex
 from barline.operators import portfolio as pf
 from barline.plans.features import rounded
+from barline.plans.portfolios import panel
 from barline.plans.registry import query, view
 from barline.plans.research import VARIABLES, _rows
 
@@ -104,3 +105,39 @@ def forest_explanations(spark: SparkSession, d: str) -> DataFrame:
     forest = models.pipeline("rf_reg", "next_month_return", VARIABLES, numTrees=5, maxDepth=4, seed=1).fit(rows)
     out = ex.explain(rows.select("date", "ticker", F.lit("m").alias("model_id"), *VARIABLES), ex.node_table(forest.stages[-1], VARIABLES), VARIABLES)
     return rounded(ex.contributions(out, VARIABLES, ["date"]).groupBy("date", "variable").agg(F.avg(F.abs("contribution")).alias("mean_size"), F.count("*").alias("n")))
+
+
+@query()
+def swapped_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """Changes over a year against changes over three months, variable by variable."""
+    from barline.operators import models
+
+    w = Window.partitionBy("ticker").orderBy("date")
+    changed = {f"{c}_{name}": F.try_divide(c, F.lag(c, n).over(w)) - 1 for c in ("px_close", "marketcap", "pe") for name, n in (("yoy", 12), ("3mom", 3))}
+    rows = _rows(spark, d).withColumns(changed)
+    early, late = models.split_by_date(rows)
+    return rounded(bt.swap_prefixes(early, late, "y", ["px_close_yoy", "marketcap_yoy", "pe_yoy"], {"yoy": "3mom", "dyoy": "d3mom"}, trees=3, depth=3))
+
+
+REGISTERED = {1: ["px_pct_1m", "pe", "marketcap"], 2: ["px_pct_3m", "pb"]}
+
+
+@query("""WITH v AS (""" + " UNION ALL ".join(f"SELECT {m} AS model_id, '{c}' AS name, round(abs(corr({c}, next_month_return)), 6) AS value FROM {{{{panel}}}}" for m, cs in REGISTERED.items() for c in cs) + """)
+    SELECT CAST(model_id AS BIGINT) AS model_id, 'variable' AS kind, name, CAST(NULL AS VARCHAR) AS text, value FROM v
+    UNION ALL SELECT m, 'parameter', p, CASE p WHEN 'depth' THEN '3' ELSE CAST(m * 10 AS VARCHAR) END, NULL FROM (SELECT unnest([1, 2]) AS m), (SELECT unnest(['depth', 'trees']) AS p)""")
+def model_registry(spark: SparkSession, d: str) -> DataFrame:
+    """Parameters and variables of two models, appended to the registry under the next free id."""
+    from barline.operators import models
+    from barline.session import shared_folder
+
+    base, p = shared_folder(spark, "registry"), panel(spark, d)
+    spark.createDataFrame([], "parameter string, value string, model_id long").write.parquet(f"{base}/parameters")
+    for cs in REGISTERED.values():
+        one = p.agg(*[F.abs(F.corr(c, "next_month_return")).alias(c) for c in cs])
+        number = models.next_id(spark.read.parquet(f"{base}/parameters"))
+        parameters, variables = models.registry_rows(number, {"depth": 3, "trees": number * 10}, one.unpivot([], cs, "variable", "importance"), spark)
+        parameters.write.mode("append").parquet(f"{base}/parameters")
+        variables.write.mode("append").parquet(f"{base}/variables")
+    a = spark.read.parquet(f"{base}/variables").select("model_id", F.lit("variable").alias("kind"), F.col("variable").alias("name"), F.lit(None).cast("string").alias("text"), stable_round("importance", 6).alias("value"))
+    b = spark.read.parquet(f"{base}/parameters").select("model_id", F.lit("parameter").alias("kind"), F.col("parameter").alias("name"), F.col("value").alias("text"), F.lit(None).cast("double").alias("value"))
+    return a.unionByName(b)

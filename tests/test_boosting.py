@@ -171,3 +171,17 @@ def _value(tree, x):
         v, cut, left = tree[node]
         node = 2 * node + (not left if x[v] is None else x[v] > cut)
     return tree[node]
+
+
+def test_swaps_of_prefixes(spark):
+    r = random.Random(3)
+    data = []
+    for i in range(300):
+        a, b, c, d = (round(r.random(), 2) for _ in range(4))
+        data.append((i, a, b, c, d, float(b + 0.2 * r.random() > 0.6)))
+    df = spark.createDataFrame(data, "i int, x_yoy double, x_3mom double, z_yoy double, z_3mom double, y double")
+    got = bt.swap_prefixes(df.where("i < 200"), df.where("i >= 200"), "y", ["x_yoy", "z_yoy", "lone_yoy"][:2], {"yoy": "3mom", "dyoy": "d3mom"}, trees=3, depth=2).orderBy("place").collect()
+    assert [(r.variable, r.replacement) for r in got] == [("x_yoy", "x_3mom"), ("z_yoy", "z_3mom")]
+    assert got[0].replaced and got[0].f1_replaced > 0.9 > got[0].f1 and got[1].f1 == got[0].f1_replaced
+    assert got[1].replaced == (got[1].f1_replaced > got[1].f1)
+    assert bt.swap_prefixes(df, df, "y", ["x_3mom"], {"yoy": "3mom"}, trees=1, depth=1).count() == 0
