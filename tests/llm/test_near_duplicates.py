@@ -58,6 +58,77 @@ def test_keep_one(spark):
     assert ids == [None, 1, 4, 7, 8, 9, 10, 11, 12, 13, 14]
 
 
+def plain_words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def plain_shingles(text: str | None) -> set[bytes]:
+    words = plain_words(text)
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar(texts: dict[int, str]) -> set[tuple[int, int]]:
+    """All pairs of ids whose five-word shingles have Jaccard 0.8 or more; by way of shared shingles, none left out."""
+    sets = {i: plain_shingles(t) for i, t in texts.items()}
+    holders: dict[bytes, list[int]] = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    rare = {i: sorted(s, key=lambda x: (len(holders[x]), x))[: len(s) - -(-4 * len(s) // 5) + 1] for i, s in sets.items()}  # similar texts share one of these
+    pairs = {(min(i, j), max(i, j)) for i, r in rare.items() for x in r for j in holders[x] if i != j}
+    return {(i, j) for i, j in pairs if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+
+
+def plain_copies(texts: dict[int, str | None]) -> dict[int, int]:
+    """Components of near copies, every pair of texts compared."""
+    ids = sorted(texts)
+    sig = np.array([simhash.signature(texts[i]) for i in ids])
+    x = np.bitwise_count(sig[:, None, :] ^ sig[None, :, :])
+    near = (x[:, :, :4] <= simhash.MAX_BITS).any(axis=2) & (x[:, :, 4:].sum(axis=2) <= simhash.SKETCH_BUDGET)
+    sets = [plain_shingles(texts[i]) for i in ids]
+    label = np.arange(len(ids))
+    links = [(a, b) for a, b in zip(*np.nonzero(near), strict=True) if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in ids:
+        before = label.copy()
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+        if (before == label).all():
+            break
+    return {i: ids[label[k]] for k, i in enumerate(ids)}
+
+
+def test_near_copies_by_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert got == plain_copies(texts)
+    pairs = similar(texts)
+    assert all(got[i] == got[j] for i, j in pairs if plain_words(texts[i]) == plain_words(texts[j]))
+    other = [(i, j) for i, j in pairs if plain_words(texts[i]) != plain_words(texts[j])]
+    assert len(other) > 10 and sum(got[i] == got[j] for i, j in other) >= 0.9 * len(other)
+    apart = {i for i in texts if got[i] != i} - {i for p in pairs for i in p}
+    assert not apart  # whoever goes has a copy
+
+
+def test_near_copies_of_edited_texts(spark):
+    """One word of 120 changed, thirty copies of each of twenty texts: nearly all go; texts that share half their words stay."""
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(20):
+        base = [r.choice(vocabulary) for _ in range(120)]
+        for _ in range(30):
+            words = list(base)
+            for k in r.sample(range(120), 1):
+                words[k] = r.choice(vocabulary)
+            rows.append(" ".join(words))
+        rows.append(" ".join(base[:60] + [r.choice(vocabulary) for _ in range(60)]))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {x.doc_id for x in simhash.keep_one(docs).collect()}
+    assert {i for i in range(len(rows)) if i % 31 == 30} <= kept
+    assert len(kept) - 20 <= 0.1 * 600
+
+
 @pytest.mark.parametrize("block", [1024, 40])
 def test_dense_buckets_lose_no_link(spark, block):
     """Fingerprints that differ from one another in few of a dozen bits, in blocks of either size."""

@@ -6,7 +6,7 @@ import corpus_pipeline
 from barline.llm import quality_rules, simhash, substring
 from tests.compare import DATA
 from tests.llm.fixtures import no_labels, odd_documents
-from tests.llm.test_near_duplicates import brute, plain_fingerprint
+from tests.llm.test_near_duplicates import plain_copies
 from tests.llm.test_quality import plain_statistics
 from tests.llm.test_substring import brute as brute_repeats
 
@@ -24,7 +24,7 @@ def test_stages_by_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == want and kept.columns == docs.columns  # too few labels here for any cutoff
 
     one = near(spark, kept, base)
-    comp = brute([(i, plain_fingerprint(rows[i].text)) for i in sorted(want)])
+    comp = plain_copies({i: rows[i].text for i in want})
     want = {i for i, c in comp.items() if i == c}
     assert {r.doc_id for r in one.collect()} == want and one.columns == docs.columns
 
