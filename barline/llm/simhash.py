@@ -75,8 +75,8 @@ def shingle_set(words: list[bytes], width: int = 5) -> np.ndarray:
 
 
 @lru_cache(maxsize=1 << 16)
-def _word_bits(word: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(xxhash.xxh3_128_digest(word, seed=SEED) + xxhash.xxh3_128_digest(word, seed=SEED + 1), dtype=np.uint8))
+def _word_bytes(word: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(word, seed=SEED) + xxhash.xxh3_128_digest(word, seed=SEED + 1)
 
 
 def signature(text: str | None) -> np.ndarray:
@@ -90,26 +90,23 @@ def signature(text: str | None) -> np.ndarray:
     if not words:
         return np.zeros(8, dtype=np.uint64)
     counts = list(Counter(words).items())
-    ones, total = np.zeros(64 * TABLES, dtype=np.int64), 0
+    ones, total = np.zeros(64 * TABLES), 0
     for i in range(0, len(counts), 1024):
         part = counts[i : i + 1024]
-        w = (16 * np.array([c for _, c in part], dtype=np.float64) ** 0.6).astype(np.int64)
-        ones += w @ np.stack([_word_bits(x) for x, _ in part])
-        total += int(w.sum())
-    low = np.full(64 * len(SKETCH), 2**64 - 1, dtype=np.uint64)
-    h = shingle_set(words)
-    for i in range(0, len(h), 512):
-        x = h[i : i + 512, None] * _STEPS
-        x ^= x >> np.uint64(32)
-        x *= _MIX
-        low = np.minimum(low, x.min(axis=0))
-    bits = np.r_[2 * ones > total, ((low >> np.uint64(17)) & np.uint64(1)).astype(bool)]
+        w = np.floor(16 * np.array([c for _, c in part], dtype=np.float64) ** 0.6)  # whole numbers, so sums are exact
+        bits = np.unpackbits(np.frombuffer(b"".join([_word_bytes(x) for x, _ in part]), dtype=np.uint8).reshape(len(part), -1), axis=1)
+        ones += w @ bits.astype(np.float64)
+        total += w.sum()
+    low = np.full(64 * len(SKETCH), 2**32 - 1, dtype=np.uint32)
+    h = shingle_set(words).astype(np.uint32)  # the lower halves order well enough
+    for i in range(0, len(h), 64):
+        np.minimum(low, (h[i : i + 64, None] * _STEPS).min(axis=0), out=low)
+    bits = np.r_[2 * ones > total, (low & 256).astype(bool)]
     return np.packbits(bits).view("<u8")
 
 
 #: Odd multipliers that make an ordering of shingles each.
-_STEPS = np.array([xxhash.xxh64_intdigest(f"{i}", seed=SEED) | 1 for i in range(64 * len(SKETCH))], dtype=np.uint64)
-_MIX = np.uint64(xxhash.xxh64_intdigest("mix", seed=SEED) | 1)
+_STEPS = np.array([xxhash.xxh64_intdigest(f"{i}", seed=SEED) | 1 for i in range(64 * len(SKETCH))], dtype=np.uint64).astype(np.uint32)
 
 
 def _chained(a: np.ndarray, b: np.ndarray, turn: np.ndarray) -> np.ndarray:
