@@ -77,7 +77,7 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 def stream_positions(spark: SparkSession, d: str) -> DataFrame:
     from barline import streaming as st
 
-    out = st.run_available(st.position_stream(_events(spark, d), 60.0, 40.0, LATE, "30 days"))
+    out = st.run_available(st.position_stream(_events(spark, d), 60.0, 40.0, LATE, "30 days", "event_id"))
     return _ntz(out.select("id", "timestamp", "prices", "position"), "timestamp")
 
 

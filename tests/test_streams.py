@@ -81,6 +81,16 @@ def test_positions_carry_over_batches(spark):
     assert [(r.prices, r.position) for r in got] == [(61.0, 1), (39.0, 0), (70.0, 1), (20.0, 0)]
 
 
+def test_positions_of_ticks_at_one_time(spark):
+    """As SQL has peers: the last of them that crosses a level decides, the first is shown."""
+    prices = [[50], [70, 30], [30, 50, 70], [45, 65], [35, 55], [65, 20, 50]]  # by place
+    rows = [(10 * i - k, "a", START + timedelta(hours=i), float(p)) for i, same in enumerate(prices) for k, p in zip(range(len(same), 0, -1), same, strict=True)]
+    df = spark.createDataFrame(rows[::-1] + rows[::3], "event_id long, id string, timestamp timestamp, prices double")  # some twice
+    end = F.struct(F.lit(-1).cast("long").alias("event_id"), F.lit("~end").alias("id"), (F.lit(START) + F.expr("INTERVAL 100 DAYS")).cast("timestamp").alias("timestamp"), F.lit(50.0).alias("prices"))
+    got = st.run_available(st.position_stream(st.replay(df, F.col("timestamp"), 3, end), 60.0, 40.0, "1 hour", "1 day", "event_id")).orderBy("timestamp").collect()
+    assert [(r.timestamp.hour, r.prices, r.position) for r in got] == [(2, 30.0, 1), (4, 35.0, 0)]
+
+
 @pytest.mark.parametrize(("kind", "row", "n"), [(Signals(3, 8, 1), (1.0, 1.0, 1.0), 13), (Positions(60, 40, 1), (50.0,), 2)])
 def test_state_fits_its_schema(kind, row, n):
     tail: list[float] = []
