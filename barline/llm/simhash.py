@@ -12,8 +12,8 @@ chain of two, then of three segments, and only then the full Hamming check.
 three of them, so copies with five-word Jaccard 0.8 differ in 4 to 11 bits and
 few meet at three. ``near_copies`` therefore takes four fingerprints of a text's
 words, where one edit changes one feature: a pair is linked where any of the four
-is within three bits, a sketch of the five-word shingles (256 one-bit minima)
-doesn't rule it out, and then the shingles themselves have Jaccard 0.8 or more.
+is within three bits and the five-word shingles themselves have Jaccard 0.8 or
+more; sketches of the shingles (256 one-bit minima) choose the pairs to compare.
 """
 
 from __future__ import annotations
@@ -37,8 +37,10 @@ MAX_BITS = 3
 BLOCK = 1024
 #: Word fingerprints of ``near_copies``; each more finds more of the pairs at the edge of similarity.
 TABLES = 4
-#: Bits of 256 in which the sketches of a linked pair may differ: Jaccard 0.8 differs in 25.6 on average, with deviation 4.8.
-SKETCH_BUDGET = 30
+#: Bits of 256 in which the sketches of a linked pair may differ: Jaccard 0.8 differs in 25.6 on average, with deviation 4.8, so this is over six deviations away.
+SKETCH_BUDGET = 57
+#: Bits within which pairs are tried first, as those are mostly links.
+FIRST_BUDGET = 30
 SKETCH = ["s0", "s1", "s2", "s3"]
 
 
@@ -123,11 +125,11 @@ def _chained(a: np.ndarray, b: np.ndarray, turn: np.ndarray) -> np.ndarray:
     return out
 
 
-def _alike(sketch: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _alike(sketch: list[np.ndarray], i: np.ndarray, j: np.ndarray, budget: int = FIRST_BUDGET) -> np.ndarray:
     """Where the sketches of rows i and j are within the budget; everywhere, if rows carry none."""
     if not sketch:
         return np.ones(len(j), dtype=bool)
-    return sum(np.bitwise_count(s[i] ^ s[j]).astype(np.int64) for s in sketch) <= SKETCH_BUDGET
+    return sum(np.bitwise_count(s[i] ^ s[j]).astype(np.int64) for s in sketch) <= budget
 
 
 def _forest(fp: np.ndarray, sketch: list[np.ndarray], turn: int) -> list[tuple[int, int]]:
@@ -170,6 +172,24 @@ def _links(rows: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+def _across(rows: list[np.ndarray]) -> pa.RecordBatch:
+    """All pairs within SKETCH_BUDGET between different parts of a group; rows are sorted by group."""
+    turn, group, fp, node, *sketch, part = rows
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    a, b = [], []
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(group)], strict=True):
+        if (part[s:e] == part[s]).all():
+            continue
+        for i in range(s, e - 1):
+            j = i + 1 + np.flatnonzero(part[i + 1 : e] != part[i])
+            j = j[_chained(fp[j], np.full(len(j), fp[i]), turn[j])]
+            j = j[_alike(sketch, np.full(len(j), i), j, SKETCH_BUDGET)]
+            a.append(np.full(len(j), node[i]))
+            b.append(node[j])
+    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
 def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b): node pairs that connect all distinct fingerprints (fp, node) at most three bits apart.
 
@@ -178,9 +198,11 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     into blocks and each pair of blocks goes to a task of its own, so that no
     task ever holds more than about three blocks. Where ``distinct`` has the
     columns of SKETCH, linked rows must be alike by them too; where it has
-    ``slot``, only rows with the same slot (0 to 2^20) meet.
+    ``slot``, only rows with the same slot (0 to 2^20) meet. Where it has
+    ``part``, all pairs of different parts are returned, and none within one.
     """
-    carried = ["fp", "node"] + [c for c in SKETCH if c in distinct.columns]
+    apart = "part" in distinct.columns
+    carried = ["fp", "node"] + [c for c in [*SKETCH, "part"] if c in distinct.columns]
     turn = lambda r: F.expr(f"(shiftrightunsigned(fp, {16 * r}) | shiftleft(fp, {(64 - 16 * r) % 64}))") if r else F.col("fp")
     keys = F.array(*[F.struct(F.lit(2 * r + h).alias("slot"), turn(r).bitwiseAND(F.lit((0xFFFF | (0xFF << (16 + 8 * h))))).alias("val")) for r in range(4) for h in range(2)])
     slot = F.shiftleft(F.col("slot").cast("long"), 40) if "slot" in distinct.columns else F.lit(0)
@@ -212,7 +234,7 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     def grouped(rows: list[np.ndarray]) -> pa.RecordBatch:
         key, pair, *rest = rows
         group = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])
-        return _links([(key & 7) >> 1, group, *rest])
+        return (_across if apart else _links)([(key & 7) >> 1, group, *rest])
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -242,13 +264,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id), a row for each row of ``docs`` that has an id.
 
-    Texts are linked where one of four word fingerprints is within three bits,
-    the sketches of the five-word shingles differ in at most SKETCH_BUDGET bits
-    of 256, and the sets of shingles have Jaccard 0.8 or more. The shingles of
-    linked texts alone are gathered for that. Blocks of over twelve candidates
-    give a forest by the sketches, so a link there can be lost behind one that
-    the shingles then refuse; smaller ones give all links. ``component_id`` is the smallest doc_id reachable, the
-    document's own included. Texts without a word (null and empty ones) are
+    Texts are linked where one of four word fingerprints is within three bits
+    and the sets of five-word shingles have Jaccard 0.8 or more. A first pass
+    takes a forest of each block by the sketches and compares the shingles of
+    its edges; a second one compares every pair of a block whose texts are still
+    in different components, so that no link is lost behind an edge that the
+    shingles refused. Only pairs whose sketches differ in more than SKETCH_BUDGET
+    bits of 256, which is over six deviations away, are not compared. The shingles
+    of candidates alone are gathered. ``component_id`` is the smallest doc_id
+    reachable, the document's own included. Texts without a word (null and empty ones) are
     linked with each other only; texts of one to four words only with texts of
     the same words. Rows without an id link nothing and have no row. Repeated rows stay
     repeated; an empty table gives an empty result.
@@ -264,17 +288,30 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows = checkpoint(map_arrow(own, f"doc_id long, {', '.join(f'{c} long' for c in names)}", run))
     distinct = checkpoint(rows.groupBy(*names).agg(F.min("doc_id").alias("node")))
     tables = F.posexplode(F.array(*names[:TABLES])).alias("slot", "fp")
-    near = written(links(distinct.select("node", *SKETCH, tables)).where("a <> b").distinct(), "links")
-    ends = written(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
+    keyed = distinct.select("node", *SKETCH, tables)
+    near = written(links(keyed).where("a <> b").distinct(), "links")
 
     def sets(b: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingle_set((t or "").encode("utf-8", "surrogatepass").lower().split()).view(np.int64) for t in b.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
-    known = written(map_arrow(own.join(ends, "doc_id", "left_semi"), "doc_id long, shingles array<long>", sets), "shingles")
-    sure = near.join(known.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(known.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    sure = sure.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")  # common / all >= 4 / 5
+    def shingled(ends: DataFrame) -> DataFrame:
+        return written(map_arrow(own.join(ends, "doc_id", "left_semi"), "doc_id long, shingles array<long>", sets), "shingles")
+
+    def confirmed(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        side = lambda c, of: known.select(F.col("doc_id").alias(c), F.col("shingles").alias(of))
+        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+        return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")  # common / all >= 4 / 5
+
+    ends_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sure = checkpoint(confirmed(near, shingled(written(ends_of(near), "ends"))))
+    # what the first pass can lose: links behind an edge of a forest that the shingles refused, and those beyond the first budget of the sketch
     found = components(sure)
+    parts = checkpoint(distinct.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("part")))
+    rest = written(links(keyed.join(parts, "node")).distinct().join(near, ["a", "b"], "left_anti"), "links")
+    if not rest.isEmpty():
+        more = checkpoint(confirmed(rest, shingled(written(ends_of(rest), "ends"))))
+        found = components(sure.unionByName(more))
     ids = checkpoint(distinct.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id")))
     return rows.join(ids, names).select("doc_id", "component_id")
 

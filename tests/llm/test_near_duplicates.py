@@ -129,6 +129,29 @@ def test_near_copies_of_edited_texts(spark):
     assert len(kept) - 20 <= 0.1 * 600
 
 
+def edited(groups: int, variants: int, seed: int) -> dict[int, str]:
+    """Variants of texts of 300 words with one to six words changed each: pairs lie on both sides of Jaccard 0.8, dozens in a bucket."""
+    r = random.Random(seed)
+    vocabulary, out = [f"w{i}" for i in range(3000)], []
+    for _ in range(groups):
+        base = [r.choice(vocabulary) for _ in range(300)]
+        for _ in range(variants):
+            words = list(base)
+            for k in r.sample(range(300), r.randrange(1, 7)):
+                words[k] = r.choice(vocabulary)
+            out.append(" ".join(words))
+    r.shuffle(out)
+    return dict(enumerate(out))
+
+
+def test_refused_pairs_hide_no_link(spark):
+    """All pairs within three bits of a fingerprint and at Jaccard 0.8 are linked, also in blocks where many pairs are refused."""
+    texts = edited(8, 40, 11)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert got == plain_copies(texts)
+
+
 @pytest.mark.parametrize("block", [1024, 40])
 def test_dense_buckets_lose_no_link(spark, block):
     """Fingerprints that differ from one another in few of a dozen bits, in blocks of either size."""
