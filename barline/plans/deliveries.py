@@ -13,7 +13,7 @@ from barline.session import shared_folder
 from barline.sources.pages import THREE_DAYS, read_pages, save_pages
 from barline.sources.readers import read_table
 
-PER_PAGE = 25
+PER_PAGE, RUN = 25, 500
 _MARKET = "id string, symbol string, market_cap double, market_cap_rank int, fully_diluted_valuation double"
 
 
@@ -48,10 +48,10 @@ def paged_markets(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_MARKETS)
 def page_source(spark: SparkSession, d: str) -> DataFrame:
-    """The same list from saved replies, a partition for each page."""
+    """The same list from saved replies, a partition for each run of pages."""
     path = f"{shared_folder(spark, 'replies')}/markets"
     save_pages(_market_pages(spark, d).withColumnRenamed("page", "key"), path)
-    return _markets(read_pages(spark, path, f"key long, {_MARKET}", until_empty=True).withColumnRenamed("key", "page"))
+    return _markets(read_pages(spark, path, f"key long, {_MARKET}", RUN, until_empty=True).withColumnRenamed("key", "page"))
 
 
 @query("SELECT symbol, time_open, open, high, low, close, volume FROM {{ohlc}}")

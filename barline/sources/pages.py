@@ -5,8 +5,8 @@ the start of a window in milliseconds, and every line of a file is the body of
 a reply, a JSON array of objects or of arrays (whose values stand for the
 columns in order). ``key`` is a column of the result where the schema has it.
 
-Batch: a partition for each ``span`` of numbers (1: a page each; three days in
-milliseconds: a window each). With ``until_empty`` the first page that holds
+Batch: a partition for each ``span`` of numbers (1: a page each; 500: runs of
+pages, for long lists; three days in milliseconds: a window each). With ``until_empty`` the first page that holds
 nothing ends the list. Stream: the offset is the highest number read, so that a
 restart from its checkpoint reads nothing twice; numbers below it that come
 later are not read.
@@ -27,6 +27,8 @@ from pyspark.sql.types import StructType
 NAME = "barline_pages"
 #: Rows of one batch that a reader passes on; three days, the span of a window of candles.
 ROWS, THREE_DAYS = 10_000, 3 * 86_400_000
+#: Bytes below which a reply may hold nothing; only such are opened by the planner.
+TINY = 64
 
 
 @dataclass
@@ -56,12 +58,17 @@ class Replies:
         from pyarrow import fs
 
         store, root = self.folder()
-        found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
-        keys = sorted(int(f.base_name[4:]) for f in found if f.type == fs.FileType.Directory and f.base_name.startswith("key=") and f.base_name[4:].lstrip("-").isdigit())
-        keys = [k for k in keys if above is None or k > above]
+        number = lambda name: int(name[4:]) if name.startswith("key=") and name[4:].lstrip("-").isdigit() else None
+        sizes: dict[int, int] = {}
+        for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=self.until_empty)):  # sizes by one listing, not one for each number
+            if f.type == fs.FileType.Directory and f.path.rsplit("/", 2)[-2] == root.rstrip("/").rsplit("/", 1)[-1] and (k := number(f.base_name)) is not None:
+                sizes.setdefault(k, 0)
+            elif f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")) and (k := number(f.path.rsplit("/", 2)[-2])) is not None:
+                sizes[k] = sizes.get(k, 0) + f.size
+        keys = sorted(k for k in sizes if above is None or k > above)
         if self.until_empty:
             for i, k in enumerate(keys):
-                if self.tiny(k) and not any(True for _ in self.items(k)):
+                if sizes[k] < TINY and not any(True for _ in self.items(k)):
                     return keys[:i]
         return keys
 
@@ -72,10 +79,6 @@ class Replies:
         found = store.get_file_info(fs.FileSelector(f"{root}/key={key}"))
         return sorted((f for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))), key=lambda f: f.base_name)
 
-    def tiny(self, key: int) -> bool:
-        """Whether a reply is so small that it may hold nothing; only those are opened by the planner."""
-        return sum(f.size for f in self.files(key)) < 64
-
     def items(self, key: int) -> Iterator:
         """The elements of a number's bodies; one that isn't a JSON array has none."""
         store, _ = self.folder()
@@ -187,5 +190,10 @@ def read_pages(spark: SparkSession, path: str, schema: str, span: int = 1, until
 
 
 def save_pages(bodies: DataFrame, path: str, mode: str = "append") -> None:
-    """(key, value): bodies into the layout of the source; what is read later must have higher numbers than what has been."""
-    bodies.select("key", "value").repartition("key").write.mode(mode).partitionBy("key").text(path)
+    """(key, value): bodies into the layout of the source; what is read later must have higher numbers than what has been.
+
+    Tasks put their files in place themselves: there is one for each number,
+    and moving them one by one would be the driver's work.
+    """
+    w = bodies.select("key", "value").repartition("key").write.mode(mode).partitionBy("key")
+    w.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
