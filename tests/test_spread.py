@@ -92,3 +92,12 @@ def test_intervals(spark, most):
     b = spark.createDataFrame(points, "j int, t timestamp_ntz")
     got = sorted((x.i, x.j) for x in sp.interval_join(a, b, "i", "low", "high", "t", 86_400, most).collect())
     assert got == sorted((i, j) for i, lo, hi in spans for j, t in points if lo and hi and t and lo <= t <= hi)
+
+
+def test_parts_are_not_sent_through_the_driver(spark):
+    """Lines meet their parts by a merge, however small the parts are."""
+    from barline.sources import canonical
+    from tests.compare import DATA
+
+    plan = canonical.prices(spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
