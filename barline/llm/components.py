@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import checkpoint
+from barline.llm.common import written
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -17,18 +17,21 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     each round, so rounds, and jumps within a round, are logarithmic. Nothing is
     collected: only the count of edges left reaches the driver. Degrees may be
     skewed: minima are combined before the shuffle, and joins are ordinary
-    sort-merge joins that adaptive execution may split. Self-loops and repeated
-    edges are harmless; an empty table gives an empty result.
+    sort-merge joins that adaptive execution may split. Tables between the steps
+    are files, whose size Spark knows: a checkpoint keeps the estimate of its plan,
+    a join's is the product of its inputs', and after some jumps that number alone
+    takes minutes. Self-loops and repeated edges are harmless; an empty table
+    gives an empty result.
     """
-    left = checkpoint(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct())
+    left = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "edges")
     labels = None
     for _ in range(rounds):
         if left.isEmpty():
             break
         ends = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(left.select(F.col("b"), F.col("a")))
-        low = checkpoint(ends.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("p")))
+        low = written(ends.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("p")), "low")
         while True:
-            jump = checkpoint(low.join(low.select(F.col("node").alias("p"), F.col("p").alias("q")), "p").select("node", "p", "q"))
+            jump = written(low.join(low.select(F.col("node").alias("p"), F.col("p").alias("q")).hint("merge"), "p").select("node", "p", "q"), "jump")
             low = jump.select("node", F.col("q").alias("p"))
             if jump.where("p <> q").isEmpty():
                 break
@@ -37,10 +40,10 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
             labels = moved.select("node", F.col("p").alias("component"))
         else:
             nxt = moved.select(F.col("node").alias("component"), F.col("p").alias("_p"))
-            labels = labels.join(nxt, "component", "left").select("node", F.coalesce("_p", "component").alias("component"))
-        labels = checkpoint(labels)
-        to = lambda c: moved.select(F.col("node").alias(c), F.col("p").alias(f"_{c}"))
-        left = checkpoint(left.join(to("a"), "a").join(to("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a <> b").distinct())
+            labels = labels.join(nxt.hint("merge"), "component", "left").select("node", F.coalesce("_p", "component").alias("component"))
+        labels = written(labels, "labels")
+        to = lambda c: moved.select(F.col("node").alias(c), F.col("p").alias(f"_{c}")).hint("merge")
+        left = written(left.join(to("a"), "a").join(to("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a <> b").distinct(), "edges")
     else:
         raise RuntimeError("components did not converge")
     if labels is None:

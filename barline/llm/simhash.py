@@ -42,6 +42,9 @@ SKETCH_BUDGET = 57
 #: Bits within which pairs are tried first, as those are mostly links.
 FIRST_BUDGET = 30
 SKETCH = ["s0", "s1", "s2", "s3"]
+#: Texts of one cluster whose shingles are compared as one block, blocks of a cluster, and shingles of a block: more texts make
+#: larger blocks, not more copies of each, until a block would not fit a task.
+EXACT_BLOCK, EXACT_BLOCKS, EXACT_SHINGLES = 256, 16, 1 << 21
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -125,22 +128,25 @@ def _chained(a: np.ndarray, b: np.ndarray, turn: np.ndarray) -> np.ndarray:
     return out
 
 
-def _alike(sketch: list[np.ndarray], i: np.ndarray, j: np.ndarray, budget: int = FIRST_BUDGET) -> np.ndarray:
-    """Where the sketches of rows i and j are within the budget; everywhere, if rows carry none."""
-    if not sketch:
-        return np.ones(len(j), dtype=bool)
-    return sum(np.bitwise_count(s[i] ^ s[j]).astype(np.int64) for s in sketch) <= budget
+def _alike(sketch: list[np.ndarray], part: np.ndarray | None, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Where the sketches of rows i and j are within the budget, and the parts differ; everywhere, if rows carry neither."""
+    ok = np.ones(len(j), dtype=bool) if part is None else part[i] != part[j]
+    if sketch:
+        ok &= sum(np.bitwise_count(s[i] ^ s[j]).astype(np.int64) for s in sketch) <= (FIRST_BUDGET if part is None else SKETCH_BUDGET)
+    return ok
 
 
-def _forest(fp: np.ndarray, sketch: list[np.ndarray], turn: int) -> list[tuple[int, int]]:
+def _forest(fp: np.ndarray, sketch: list[np.ndarray], part: np.ndarray | None, turn: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links in one block: each row is compared with those not yet reached."""
     todo, out = np.arange(len(fp)), []
+    if part is not None and (part == part[0]).all():
+        return out
     while len(todo):
         stack, todo = [int(todo[0])], todo[1:]
         while stack and len(todo):
             i = stack.pop()
             hit = _chained(fp[todo], np.full(len(todo), fp[i]), np.full(len(todo), turn))
-            hit[hit] = _alike(sketch, np.full(int(hit.sum()), i), todo[hit])
+            hit[hit] = _alike(sketch, part, np.full(int(hit.sum()), i), todo[hit])
             near = todo[hit]
             if len(near):
                 out += [(i, int(j)) for j in near]
@@ -149,9 +155,10 @@ def _forest(fp: np.ndarray, sketch: list[np.ndarray], turn: int) -> list[tuple[i
     return out
 
 
-def _links(rows: list[np.ndarray]) -> pa.RecordBatch:
-    """Links among rows sorted by group; a group's rows are consecutive."""
+def _links(rows: list[np.ndarray], apart: bool) -> pa.RecordBatch:
+    """Links among rows sorted by group, or among those of different parts; a group's rows are consecutive."""
     turn, group, fp, node, *sketch = rows
+    part = sketch.pop() if apart else None
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
     a, b = [], []
@@ -161,33 +168,44 @@ def _links(rows: list[np.ndarray]) -> pa.RecordBatch:
         if not len(i):
             break
         i = i[_chained(fp[i], fp[i + d], turn[i])]
-        i = i[_alike(sketch, i, i + d)]
+        i = i[_alike(sketch, part, i, i + d)]
         a.append(node[i])
         b.append(node[i + d])
     for s, n in zip(starts[sizes > 12], sizes[sizes > 12], strict=True):
-        e = np.array(_forest(fp[s : s + n], [x[s : s + n] for x in sketch], int(turn[s])), dtype=np.int64).reshape(-1, 2) + s
+        e = np.array(_forest(fp[s : s + n], [x[s : s + n] for x in sketch], part[s : s + n] if apart else None, int(turn[s])), dtype=np.int64).reshape(-1, 2) + s
         a.append(node[e[:, 0]])
         b.append(node[e[:, 1]])
     a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def _across(rows: list[np.ndarray]) -> pa.RecordBatch:
-    """All pairs within SKETCH_BUDGET between different parts of a group; rows are sorted by group."""
-    turn, group, fp, node, *sketch, part = rows
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    a, b = [], []
-    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(group)], strict=True):
-        if (part[s:e] == part[s]).all():
+def _exact(sig: np.ndarray, part: np.ndarray, own: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A forest of the links between parts of a block, or of two blocks: a row is compared with those of parts not yet joined to its own."""
+    sizes = np.array([len(x) for x in sets])
+    cut = np.r_[0, np.cumsum(sizes)]
+    found, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    hit, part, out = np.zeros(len(found), dtype=bool), part.copy(), []
+    two = (own != own[0]).any()  # pairs within either block are another group's
+    for i in range(len(sets) - 1):
+        j = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
+        if two:
+            j = j[own[j] != own[i]]
+        j = j[(np.bitwise_count(sig[j, :TABLES] ^ sig[i, :TABLES]) <= MAX_BITS).any(axis=1)]
+        j = j[np.bitwise_count(sig[j, TABLES:] ^ sig[i, TABLES:]).sum(axis=1) <= SKETCH_BUDGET]
+        least = -(-4 * (sizes[i] + sizes[j]) // 9)  # common / all >= 4 / 5
+        fits = np.minimum(sizes[i], sizes[j]) >= least
+        j, least = j[fits], least[fits]
+        if not len(j):
             continue
-        for i in range(s, e - 1):
-            j = i + 1 + np.flatnonzero(part[i + 1 : e] != part[i])
-            j = j[_chained(fp[j], np.full(len(j), fp[i]), turn[j])]
-            j = j[_alike(sketch, np.full(len(j), i), j, SKETCH_BUDGET)]
-            a.append(np.full(len(j), node[i]))
-            b.append(node[j])
-    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        mine = ids[cut[i] : cut[i + 1]]
+        hit[mine] = True
+        common = np.add.reduceat(hit[np.concatenate([ids[cut[k] : cut[k + 1]] for k in j])], np.r_[0, np.cumsum(sizes[j])[:-1]], dtype=np.int64)
+        hit[mine] = False
+        for k in j[common >= least].tolist():
+            if part[k] != part[i]:
+                part[part == part[k]] = part[i]
+                out.append((i, k))
+    return out
 
 
 def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -199,7 +217,8 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     task ever holds more than about three blocks. Where ``distinct`` has the
     columns of SKETCH, linked rows must be alike by them too; where it has
     ``slot``, only rows with the same slot (0 to 2^20) meet. Where it has
-    ``part``, all pairs of different parts are returned, and none within one.
+    ``part``, the forest is one of the pairs of different parts (then up to
+    SKETCH_BUDGET), and none within a part is returned.
     """
     apart = "part" in distinct.columns
     carried = ["fp", "node"] + [c for c in [*SKETCH, "part"] if c in distinct.columns]
@@ -234,7 +253,7 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     def grouped(rows: list[np.ndarray]) -> pa.RecordBatch:
         key, pair, *rest = rows
         group = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])
-        return (_across if apart else _links)([(key & 7) >> 1, group, *rest])
+        return _links([(key & 7) >> 1, group, *rest], apart)
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -261,15 +280,59 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return fps.join(checkpoint(ids), "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def exact_links(ends: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): nodes of different parts that link all parts of a cluster which any link joins.
+
+    ``ends`` has a row for each node with its signature, part and cluster,
+    ``known`` the shingles of each node. A cluster of many texts is cut into
+    blocks, and each pair of blocks is compared by itself.
+    """
+    names = [f"f{i}" for i in range(TABLES)] + SKETCH
+    rows = ends.join(known.withColumnRenamed("doc_id", "node"), "node")
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("all"))
+    sizes = checkpoint(sizes.select("cluster", F.greatest(F.least(F.ceil(F.col("n") / EXACT_BLOCK), F.lit(EXACT_BLOCKS)), F.ceil(F.col("all") / EXACT_SHINGLES)).cast("int").alias("nb")))
+    rows = rows.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    pairs = F.explode(F.expr("transform(sequence(0, nb - 1), j -> least(own, j) * nb + greatest(own, j))")).alias("pair")
+    rows = rows.select("cluster", pairs, "own", "part", "node", *names, "shingles").repartition("cluster", "pair").sortWithinPartitions("cluster", "pair")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, list[np.ndarray]]] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(b.num_columns - 1)], axis=1)
+            lists = b.column(b.num_columns - 1)
+            at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            starts = np.flatnonzero(np.r_[True, (flat[1:, :2] != flat[:-1, :2]).any(axis=1)]).tolist()
+            for s, e in zip(starts, [*starts[1:], len(flat)], strict=True):
+                if last != (last := tuple(flat[s, :2].tolist())) and kept:
+                    yield grouped(kept)
+                    kept = []
+                kept.append((flat[s:e, 2:], [values[at[k] : at[k + 1]] for k in range(s, e)]))
+        if kept:
+            yield grouped(kept)
+
+    def grouped(kept: list[tuple[np.ndarray, list[np.ndarray]]]) -> pa.RecordBatch:
+        own, part, node, *sig = np.concatenate([x for x, _ in kept]).T
+        e = np.array(_exact(np.stack(sig, axis=1).view(np.uint64), part, own, [x for _, sets in kept for x in sets]), dtype=np.int64).reshape(-1, 2)
+        a, b = node[e[:, 0]], node[e[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id), a row for each row of ``docs`` that has an id.
 
     Texts are linked where one of four word fingerprints is within three bits
     and the sets of five-word shingles have Jaccard 0.8 or more. A first pass
     takes a forest of each block by the sketches and compares the shingles of
-    its edges; a second one compares every pair of a block whose texts are still
+    its edges; a second one compares every pair of candidates whose texts are still
     in different components, so that no link is lost behind an edge that the
-    shingles refused. Only pairs whose sketches differ in more than SKETCH_BUDGET
+    shingles refused. Its pairs are never listed: a forest of them joins texts to
+    clusters, and the tasks that compare blocks of a cluster return a forest of the
+    links. Only pairs whose sketches differ in more than SKETCH_BUDGET
     bits of 256, which is over six deviations away, are not compared. The shingles
     of candidates alone are gathered. ``component_id`` is the smallest doc_id
     reachable, the document's own included. Texts without a word (null and empty ones) are
@@ -308,9 +371,10 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     # what the first pass can lose: links behind an edge of a forest that the shingles refused, and those beyond the first budget of the sketch
     found = components(sure)
     parts = checkpoint(distinct.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("part")))
-    rest = written(links(keyed.join(parts, "node")).distinct().join(near, ["a", "b"], "left_anti"), "links")
-    if not rest.isEmpty():
-        more = checkpoint(confirmed(rest, shingled(written(ends_of(rest), "ends"))))
+    clusters = components(links(keyed.join(parts, "node")))
+    if not clusters.isEmpty():
+        ends = written(distinct.join(parts, "node").join(clusters, "node").select("node", *names, "part", F.col("component").alias("cluster")), "ends")
+        more = checkpoint(exact_links(ends, shingled(ends.select(F.col("node").alias("doc_id")))))
         found = components(sure.unionByName(more))
     ids = checkpoint(distinct.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id")))
     return rows.join(ids, names).select("doc_id", "component_id")

@@ -152,6 +152,26 @@ def test_refused_pairs_hide_no_link(spark):
     assert got == plain_copies(texts)
 
 
+def test_second_pass_lists_no_pairs(spark):
+    """Rows alike, each a part of its own, as after refusals: a forest for each of the eight keys, not the 44,850 pairs, and still one cluster."""
+    rows = [(1 << (i % 3), i, 0, 0, 0, i, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "fp long, node long, s0 long, s1 long, s2 long, s3 long, part long")
+    edges = simhash.links(df)
+    assert edges.count() <= 8 * len(rows)
+    assert {r.component for r in components(edges).collect()} == {0}
+    assert simhash.links(df.withColumn("part", df.part * 0)).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [16, 3])
+def test_blocks_of_a_cluster_lose_no_link(spark, monkeypatch, blocks):
+    """Clusters cut into pairs of blocks give the same components."""
+    monkeypatch.setattr(simhash, "EXACT_BLOCK", 7)
+    monkeypatch.setattr(simhash, "EXACT_BLOCKS", blocks)
+    texts = edited(4, 40, 17)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == plain_copies(texts)
+
+
 @pytest.mark.parametrize("block", [1024, 40])
 def test_dense_buckets_lose_no_link(spark, block):
     """Fingerprints that differ from one another in few of a dozen bits, in blocks of either size."""
@@ -171,3 +191,11 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(100, 161)} == {100} and {got[k] for k in range(200, 260)} == {7} and got[9] == 8 and 5 not in got
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_keep_estimates_small(spark):
+    """Spark's estimate of a table's size follows the rows, not the product over all joins before."""
+    edges = [(i, i + 1) for i in range(300)]
+    found = components(spark.createDataFrame(edges, "a long, b long"))
+    assert int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 10**9
+    assert {r.component for r in found.collect()} == {0}
